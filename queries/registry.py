@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from queries import relational
+from queries import graph, relational
 
-_MODULES = [relational]
+_MODULES = [relational, graph]
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
