@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from nodeloom.plans.store import fresh_path
 
@@ -61,7 +61,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream")
             df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
         query = writer.outputMode(mode).foreachBatch(sink).start()
-        schema = StructType(stream.schema.fields).add("epoch", "bigint")
+        schema = StructType([*stream.schema.fields, StructField("epoch", LongType())])
     query.awaitTermination()
     return spark.read.schema(schema).parquet(out)
 
