@@ -223,6 +223,29 @@ def _heads_score(df: DataFrame, left: np.ndarray, right: np.ndarray) -> DataFram
     )
 
 
+def _finish(vec: Column, bias: np.ndarray | None, act: str | None) -> Column:
+    if bias is not None:
+        vec = F.zip_with(vec, F.array(*[F.lit(float(b)) for b in bias]), lambda x, b: x + b)
+    return F.transform(vec, lambda x: F.greatest(x, F.lit(0.0))) if act == "relu" else vec
+
+
+def _sage(edges: DataFrame, feat: DataFrame, nodes: DataFrame, w: Mapping[str, np.ndarray], by: list[str],
+          act: str | None) -> DataFrame:
+    rows, cols = np.asarray(w["neigh"]).shape
+    if rows <= cols:
+        agg = aggregate_mean(edges, feat, nodes, by)
+        return dense(agg, {"feat": w["self"], "neigh": w["neigh"]}, w.get("b"), act, "h").withColumnRenamed("h", "feat")
+    # The mean is linear: project first and move the shorter vectors.
+    both = dense(feat.select(*by, "node_id", "feat"), {"feat": np.hstack([w["neigh"], w["self"]])}, out="z")
+    both = materialize(both, "project")
+    sent = _send(edges, both.select(*by, "node_id", F.slice("z", 1, cols).alias("feat")), by)
+    means = _vector_sum(sent, [*by, F.col("dst").alias("node_id")], "feat", metric="mean")
+    own = both.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
+    own = own.select(*by, "node_id", F.slice("z", cols + 1, cols).alias("own")).join(means, [*by, "node_id"], "left")
+    total = F.zip_with("own", F.coalesce("_out", _zeros_like("own")), lambda a, b: a + b)
+    return own.select(*by, "node_id", _finish(total, w.get("b"), act).alias("feat"))
+
+
 def conv(kind: str, edges: DataFrame, feat: DataFrame, nodes: DataFrame, w: Mapping[str, np.ndarray],
          by: Sequence[str] = (), act: str | None = None, last: bool = False) -> DataFrame:
     """One layer: (node_id, feat) of the destinations ``nodes``.
@@ -234,11 +257,15 @@ def conv(kind: str, edges: DataFrame, feat: DataFrame, nodes: DataFrame, w: Mapp
     by = list(by)
     bias = w.get("b")
     if kind == "sage":
-        agg = aggregate_mean(edges, feat, nodes, by)
-        return dense(agg, {"feat": w["self"], "neigh": w["neigh"]}, bias, act, "h").withColumnRenamed("h", "feat")
+        return _sage(edges, feat, nodes, w, by, act)
     if kind in ("gcn", "sage_gcn"):
-        agg = (aggregate_gcn if kind == "gcn" else aggregate_sage_gcn)(edges, feat, nodes, by)
-        return dense(agg, {"neigh": w["W"]}, bias, act, "feat")
+        combine = aggregate_gcn if kind == "gcn" else aggregate_sage_gcn
+        rows, cols = np.asarray(w["W"]).shape
+        if rows > cols:  # the sum is linear: project first and move the shorter vectors
+            short = materialize(dense(feat.select(*by, "node_id", "feat"), {"feat": w["W"]}, out="z"), "project")
+            agg = combine(edges, short.withColumnRenamed("z", "feat"), nodes, by)
+            return agg.select(*by, "node_id", _finish(F.col("neigh"), bias, act).alias("feat"))
+        return dense(combine(edges, feat, nodes, by), {"neigh": w["W"]}, bias, act, "feat")
     if kind != "gat":
         raise ValueError(f"unknown layer kind {kind!r}")
     heads, width = np.asarray(w["al"]).shape
