@@ -379,9 +379,9 @@ def stack_hops(propagated: DataFrame) -> DataFrame:
 
 
 def predict(model, table: DataFrame) -> DataFrame:
-    """(node_id, prediction)."""
-    scored = model.transform(table.select("node_id", _vector("features").alias("features")))
-    return scored.select("node_id", F.col("prediction").cast("bigint").alias("prediction"))
+    """(node_id, prediction): the class with the largest margin, ties to the lowest."""
+    margins = dense(table, {"features": model.coefficientMatrix.toArray().T}, model.interceptVector.toArray(), out="margin")
+    return with_argmax(margins, "margin").select("node_id", "prediction")
 
 
 def evaluate(model, table: DataFrame, nodes: DataFrame, split: str = "test") -> DataFrame:
