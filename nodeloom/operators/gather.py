@@ -36,10 +36,13 @@ def encode_type_offset(ids: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def decode_type_offset(rows: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Back from a global row to (ntype, node_id); one broadcast row per node type."""
-    o = F.broadcast(offsets.select("ntype", "key_off", "size"))
-    inside = (F.col("row_id") >= F.col("key_off")) & (F.col("row_id") < F.col("key_off") + F.col("size"))
-    return rows.join(o, inside).withColumn("node_id", F.col("row_id") - F.col("key_off")).drop("key_off", "size")
+    """Back from a global row to (ntype, node_id). The offsets, one row per node type of the
+    schema, become a CASE expression, so there is no range join."""
+    ntype, start = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    for o in offsets.collect():
+        inside = F.col("row_id").between(o.key_off, o.key_off + o.size - 1)
+        ntype, start = F.when(inside, o.ntype).otherwise(ntype), F.when(inside, o.key_off).otherwise(start)
+    return rows.withColumn("ntype", ntype).withColumn("node_id", F.col("row_id") - start)
 
 
 def gather_features_hetero(index: DataFrame, features: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -71,13 +71,30 @@ def _vector(col: str) -> Column:
     return array_to_vector(F.col(col).cast("array<double>"))
 
 
+MAX_COLUMNS = 128  # widest vector summed as plain columns; generated code grows with it
+
+
+def _width(df: DataFrame, col: str = "feat") -> int:
+    """Length of the vectors, from one row."""
+    row = df.select(F.size(col)).first()
+    return row[0] if row else 0
+
+
 def _vector_sum(df: DataFrame, keys: Sequence[str | Column], col: str, weight: Column | None = None,
-                metric: str = "sum") -> DataFrame:
-    summary = Summarizer.metrics(metric).summary(F.col("_v"), F.col("_w")) if weight is not None else \
-        Summarizer.metrics(metric).summary(F.col("_v"))
+                metric: str = "sum", width: int = 0) -> DataFrame:
+    """Element-wise sum or mean per key as ``_out``. Up to :data:`MAX_COLUMNS` entries are
+    summed as columns in generated code, longer vectors by the vector summarizer."""
+    if 0 < width <= MAX_COLUMNS:
+        entry = lambda i: F.col(col)[i].cast("double") if weight is None else F.col(col)[i] * weight
+        sums = df.groupBy(*keys).agg(*[F.sum(entry(i)).alias(f"_c{i}") for i in range(width)], F.count(F.lit(1)).alias("_n"))
+        parts = [F.col(f"_c{i}") / F.col("_n") if metric == "mean" else F.col(f"_c{i}") for i in range(width)]
+        kept = [c for c in sums.columns if not c.startswith("_c") and c != "_n"]
+        return sums.select(*kept, F.array(*parts).alias("_out"))
     df = df.withColumn("_v", _vector(col))
     if weight is not None:
         df = df.withColumn("_w", weight)
+    args = [F.col("_v")] if weight is None else [F.col("_v"), F.col("_w")]
+    summary = Summarizer.metrics(metric).summary(*args)
     return df.groupBy(*keys).agg(summary.alias("_s")).select("*", vector_to_array(F.col(f"_s.{metric}")).alias("_out")).drop("_s")
 
 
@@ -96,7 +113,7 @@ def aggregate_mean(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None =
     ``nodes`` limits the output to the destinations asked for.
     """
     by = list(by)
-    means = _vector_sum(_send(edges, feat, by), [*by, F.col("dst").alias("node_id")], "feat", metric="mean")
+    means = _vector_sum(_send(edges, feat, by), [*by, F.col("dst").alias("node_id")], "feat", metric="mean", width=_width(feat))
     own = feat if nodes is None else feat.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     joined = own.select(*by, "node_id", "feat").join(means, [*by, "node_id"], "left")
     return joined.select(*by, "node_id", "feat", F.coalesce("_out", _zeros_like("feat")).alias("neigh"))
@@ -109,7 +126,8 @@ def aggregate_gcn(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None = N
     out_deg = edges.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("_od"))
     in_deg = edges.groupBy(*by, F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_id"))
     scaled = _send(edges, feat, by).join(out_deg, [*by, "src"])
-    sums = _vector_sum(scaled, [*by, F.col("dst").alias("node_id")], "feat", weight=1 / F.sqrt(F.col("_od").cast("double")))
+    sums = _vector_sum(scaled, [*by, F.col("dst").alias("node_id")], "feat", weight=1 / F.sqrt(F.col("_od").cast("double")),
+                       width=_width(feat))
     sums = sums.join(in_deg, [*by, "node_id"]).withColumn("_n", F.sqrt(F.col("_id").cast("double")))
     sums = sums.select(*by, "node_id", F.transform("_out", lambda x: x / F.col("_n")).alias("_out"))
     own = feat if nodes is None else feat.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
@@ -126,7 +144,7 @@ def aggregate_sage_gcn(edges: DataFrame, feat: DataFrame, nodes: DataFrame | Non
     if nodes is not None:
         sent = sent.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     rows = sent.unionByName(own.select(*by, "node_id", "feat"))
-    return _vector_sum(rows, [*by, "node_id"], "feat", metric="mean").withColumnRenamed("_out", "neigh")
+    return _vector_sum(rows, [*by, "node_id"], "feat", metric="mean", width=_width(feat)).withColumnRenamed("_out", "neigh")
 
 
 def edge_softmax(edges: DataFrame, logits: Sequence[str] = ("logit",), by: Sequence[str] = ()) -> DataFrame:
@@ -171,7 +189,7 @@ def aggregate_attention(edges: DataFrame, z: DataFrame, heads: int = 1, by: Sequ
     sent = _send(alphas, z, by)
     width = F.size("feat") / F.lit(heads)
     scaled = F.transform("feat", lambda x, i: x * F.element_at("_a", F.floor(i / width).cast("int") + 1))
-    sums = _vector_sum(sent.withColumn("_f", scaled), [*by, F.col("dst").alias("node_id")], "_f")
+    sums = _vector_sum(sent.withColumn("_f", scaled), [*by, F.col("dst").alias("node_id")], "_f", width=_width(z))
     return sums.withColumnRenamed("_out", "neigh")
 
 
@@ -239,7 +257,7 @@ def _sage(edges: DataFrame, feat: DataFrame, nodes: DataFrame, w: Mapping[str, n
     both = dense(feat.select(*by, "node_id", "feat"), {"feat": np.hstack([w["neigh"], w["self"]])}, out="z")
     both = materialize(both, "project")
     sent = _send(edges, both.select(*by, "node_id", F.slice("z", 1, cols).alias("feat")), by)
-    means = _vector_sum(sent, [*by, F.col("dst").alias("node_id")], "feat", metric="mean")
+    means = _vector_sum(sent, [*by, F.col("dst").alias("node_id")], "feat", metric="mean", width=cols)
     own = both.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     own = own.select(*by, "node_id", F.slice("z", cols + 1, cols).alias("own")).join(means, [*by, "node_id"], "left")
     total = F.zip_with("own", F.coalesce("_out", _zeros_like("own")), lambda a, b: a + b)
@@ -325,7 +343,8 @@ def gnn_infer_hetero(typed_edges: DataFrame, feat: DataFrame, weights: Sequence[
         for etype, src_type, dst_type in sorted(kinds):
             outs.append(_typed_conv(inner, typed_edges, h, etype, src_type, dst_type, layer[etype]))
         stacked = fold(DataFrame.unionByName, outs)
-        h = _vector_sum(stacked, ["ntype", "node_id"], "feat", metric=metric).withColumnRenamed("_out", "feat")
+        stacked = materialize(stacked, "relations")
+        h = _vector_sum(stacked, ["ntype", "node_id"], "feat", metric=metric, width=_width(stacked)).withColumnRenamed("_out", "feat")
         if i + 1 < len(weights):
             h = h.withColumn("feat", F.transform("feat", lambda x: F.greatest(x, F.lit(0.0))))
         h = materialize(h, "relational")

@@ -9,6 +9,7 @@ its index rows are spread by (dst, ord).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,27 +17,38 @@ from pyspark.sql import functions as F
 
 from nodeloom.functions.hashing import digest, hash_long, pick_ordinals, uniform
 from nodeloom.plans.scan import grouped_rank, prefix_scan, top_k_per_group
-from nodeloom.plans.store import materialize, save
+from nodeloom.plans.store import bucket_count, materialize, save, save_bucketed
 
 Sampler = Callable[..., "tuple[DataFrame, DataFrame]"]
 
 
-def edge_index(edges: DataFrame, name: str = "edge_index") -> DataFrame:
-    """Written in-edge index (dst, ord, src): the ordinal of each in-neighbour by id."""
-    return materialize(grouped_rank(edges.select("src", "dst"), ["dst"], "src", "ord"), name)
+@dataclass
+class EdgeIndex:
+    """``rows`` is (dst, ord, src), ``degrees`` is (dst, deg); both written, for any number of draws."""
 
+    rows: DataFrame
+    degrees: DataFrame
 
-def in_degrees(index: DataFrame) -> DataFrame:
-    return index.groupBy("dst").agg(F.count(F.lit(1)).alias("deg"))
 
+def edge_index(edges: DataFrame) -> EdgeIndex:
+    """Number each node's in-neighbours by id. A large index is bucketed by (dst, ord): a draw
+    then shuffles the drawn ordinals only, and a hub fills no bucket."""
+    degrees = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("deg"))
+    ranked = grouped_rank(edges.select("src", "dst"), ["dst"], "src", "ord").select("dst", "ord", "src")
+    degrees = materialize(degrees, "degrees")
+    total = degrees.agg(F.sum("deg")).first()[0] or 0
+    buckets = bucket_count(edges.sparkSession, total)
+    saved = save_bucketed(ranked, "edge_index", ["dst", "ord"], buckets) if buckets else save(ranked, "edge_index")
+    return EdgeIndex(saved.df, degrees)
 
-def sample_layer(index: DataFrame, frontier: DataFrame, fanout: int, seed: int, epoch: int, layer: int,
+
+def sample_layer(index: EdgeIndex, frontier: DataFrame, fanout: int, seed: int, epoch: int, layer: int,
                  tag: str = "") -> DataFrame:
     """(batch_id, src, dst): up to ``fanout`` uniform in-neighbours of every frontier node."""
-    asked = frontier.select("batch_id", F.col("node_id").alias("dst")).join(in_degrees(index), "dst")
+    asked = frontier.select("batch_id", F.col("node_id").alias("dst")).join(index.degrees, "dst")
     ords = pick_ordinals(F.col("deg"), fanout, seed, epoch, layer, tag, F.col("batch_id"), F.col("dst"))
     draws = asked.select("batch_id", "dst", F.explode(ords).alias("ord"))
-    return draws.join(index, ["dst", "ord"]).select("batch_id", "src", "dst")
+    return draws.join(index.rows, ["dst", "ord"]).select("batch_id", "src", "dst")
 
 
 def _grow(frontier: DataFrame, block: DataFrame) -> DataFrame:
@@ -45,13 +57,13 @@ def _grow(frontier: DataFrame, block: DataFrame) -> DataFrame:
 
 def sample_neighbors(
     edges: DataFrame, seeds: DataFrame, fanouts: Sequence[int], seed: int = 0, epoch: int = 0, *,
-    index: DataFrame | None = None,
+    index: EdgeIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Multi-layer sampling: (blocks, input nodes).
 
     ``seeds`` is (batch_id, node_id). The last fan-out applies to the seeds; the next frontier
     is the union of a layer's sources and destinations. Blocks are (batch_id, layer, src, dst),
-    with layer 0 next to the input features.
+    with layer 0 next to the input features. Pass ``index`` to reuse one over epochs.
     """
     index = edge_index(edges) if index is None else index
     frontier = materialize(seeds.select("batch_id", "node_id").distinct(), "frontier")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.plans.store import Saved, save
+from nodeloom.plans.store import Saved, bucket_count, save, save_bucketed
 
 
 @dataclass
@@ -31,25 +31,30 @@ class SpreadTable:
 
 
 def spread(df: DataFrame, key: str, *, shares: int = 256, min_rows: int = 1_000_000) -> SpreadTable:
-    """Write ``df`` once, with every key above ``total / shares`` rows cut into pieces.
+    """Write ``df`` once for many joins on ``key``, every key above ``total / shares`` rows cut up.
 
     At most ``shares`` keys can be that large, which bounds the broadcast map. Keys below
-    ``min_rows`` are never worth cutting.
+    ``min_rows`` are never worth cutting. A large table is written in buckets of its join
+    columns, so the rounds that follow never shuffle it again.
     """
     plain = save(df, "edges")
     limit = max(plain.rows // shares, min_rows)
-    if plain.rows < limit:
+    buckets = bucket_count(df.sparkSession, plain.rows)
+    hot = _hot_keys(plain.df, key, limit) if plain.rows >= limit else None
+    if hot is None and not buckets:
         return SpreadTable(plain, key, None)
-    counts = plain.df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = save(
-        counts.filter(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_shares")),
-        "hot",
-    )
-    if hot.rows == 0:
-        return SpreadTable(plain, key, None)
-    others = [c for c in df.columns if c != key]
-    salt = F.pmod(F.xxhash64(*others), F.coalesce("_shares", F.lit(1)).cast("bigint")).cast("int")
-    salted = plain.df.join(F.broadcast(hot.df), key, "left").withColumn("_salt", salt).drop("_shares")
-    table = save(salted, "spread")
+    table, keys = plain.df, [key]
+    if hot is not None:
+        others = [c for c in df.columns if c != key]
+        salt = F.pmod(F.xxhash64(*others), F.coalesce("_shares", F.lit(1)).cast("bigint")).cast("int")
+        table = table.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_shares")
+        keys = [key, "_salt"]
+    spreaded = save_bucketed(table, "spread", keys, buckets) if buckets else save(table, "spread")
     plain.drop()
-    return SpreadTable(table, key, hot.df)
+    return SpreadTable(spreaded, key, hot)
+
+
+def _hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame | None:
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    hot = save(counts.select(key, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_shares")), "hot")
+    return hot.df if hot.rows else None

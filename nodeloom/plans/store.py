@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -64,6 +65,30 @@ def save(df: DataFrame, name: str = "table") -> Saved:
     return Saved(spark.read.schema(df.schema).parquet(path), int(seen.get["n"]), path)
 
 
+ROWS_PER_BUCKET = 8_000_000
+
+
+def bucket_count(spark: SparkSession, rows: int) -> int:
+    """Buckets for a table of narrow rows, 0 when it is too small to profit.
+
+    At least as many as shuffle partitions, or a join would rather shuffle both sides.
+    """
+    if rows < 2 * ROWS_PER_BUCKET:
+        return 0
+    return max(-(-rows // ROWS_PER_BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> Saved:
+    """Write ``df`` hashed into buckets by ``keys``: later joins on them leave it in place."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = f"nodeloom_{name}_{uuid.uuid4().hex[:12]}"
+    seen = Observation()
+    (df.repartition(buckets, *keys).observe(seen, F.count(F.lit(1)).alias("n"))
+     .write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    return Saved(spark.table(table), int(seen.get["n"]), path)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return save(df, name).df
 

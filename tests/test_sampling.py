@@ -117,3 +117,22 @@ def test_zipf_pattern_is_skewed_and_in_range(make):
     arr = make.table([(i, i * i) for i in range(800)], "i bigint, v bigint")
     total = sampling.gather_sum(sampling.access_pattern(slots, 800, "zipf", seed=2, rows_per_page=8), arr).first()
     assert (total.reads, total.total) == (5000, int((pos.astype(object) ** 2).sum()))
+
+
+def test_large_index_is_bucketed_and_never_shuffled(spark, make, monkeypatch):
+    from nodeloom.plans import store
+
+    pairs = hub_graph()
+    seeds = make.table([(0, 0), (1, 5)], BATCHED)
+    plain, _ = sampling.sample_neighbors(make.edges(pairs), seeds, [3], seed=1)
+    monkeypatch.setattr(store, "ROWS_PER_BUCKET", 40)
+    index = sampling.edge_index(make.edges(pairs))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        layer = sampling.sample_layer(index, seeds, 3, 1, 0, 0)
+        plan = layer._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("nodeloom_edge_index") - 400:]
+        assert "Bucketed: true" in side and "Exchange" not in side
+        assert rows(layer, "batch_id", "src", "dst") == rows(plain, "batch_id", "src", "dst")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
