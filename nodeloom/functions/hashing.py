@@ -36,11 +36,13 @@ def pick_ordinals(count: Column, wanted: int, *parts: Column | str | int) -> Col
     """
     everything = F.sequence(F.lit(0).cast("bigint"), count - 1)
 
-    def step(acc: Column, j: Column) -> Column:
-        draw = hash_long(*parts, j) % (j + 1)
-        return F.concat(acc, F.array(F.when(F.array_contains(acc, draw), j).otherwise(draw)))
-
+    # Draws are hashed once, before the fold that looks at each of them twice.
+    draws = F.transform(
+        F.sequence(count - wanted, count - 1),
+        lambda j: F.struct(j.alias("j"), (hash_long(*parts, j) % (j + 1)).alias("t")),
+    )
     drawn = F.aggregate(
-        F.sequence(count - wanted, count - 1), F.array().cast("array<bigint>"), step
+        draws, F.array().cast("array<bigint>"),
+        lambda acc, d: F.concat(acc, F.array(F.when(F.array_contains(acc, d["t"]), d["j"]).otherwise(d["t"]))),
     )
     return F.when(count <= wanted, everything).otherwise(drawn)

@@ -110,12 +110,13 @@ def pagerank(
 
 def _rank_rounds(table: SpreadTable, deg: Saved, damp: float, k: int, write_every: int) -> DataFrame:
     n = deg.rows
+    # Zero rows keep nodes without in-edges and carry the degree; the previous state appears
+    # once per round, so unwritten rounds stay a chain.
+    base = deg.df.select("node_id", F.lit(0.0).alias("x"), "deg")
     state = deg.df.select("node_id", "deg", F.lit(1.0 / max(n, 1)).alias("score"))
     for i in range(k):
         sent = table.join(state.select(F.col("node_id").alias("src"), (F.col("score") / F.col("deg")).alias("x")))
-        rows = sent.select(F.col("dst").alias("node_id"), "x", F.lit(None).cast("bigint").alias("deg")).unionByName(
-            state.select("node_id", F.lit(0.0).alias("x"), "deg")
-        )
+        rows = sent.select(F.col("dst").alias("node_id"), "x", F.lit(None).cast("bigint").alias("deg")).unionByName(base)
         state = rows.groupBy("node_id").agg(F.max("deg").alias("deg"), F.sum("x").alias("x")).select(
             "node_id", "deg", (F.lit((1 - damp) / max(n, 1)) + F.lit(damp) * F.col("x")).alias("score")
         )

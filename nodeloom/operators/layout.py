@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from nodeloom.operators.gather import gather_features
 from nodeloom.operators.ordering import processing_order, top_low_degree
@@ -42,7 +43,7 @@ def rank_neighbors(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """
     ranked = materialize(global_rank(scores, [F.col("score").desc(), F.col("node_id")], "_g").select(
         F.col("node_id").alias("dst"), "_g"), "score_rank")
-    listed = edges.select("src", "dst").distinct().join(ranked, "dst")
+    listed = materialize(edges.select("src", "dst").distinct().join(ranked, "dst"), "listed")
     return grouped_rank(listed, ["src"], "_g", "npos").select("src", "dst", "npos")
 
 
@@ -56,8 +57,9 @@ def chunk_groups(ranked: DataFrame, k: int, max_groups: int) -> DataFrame:
         "src", F.floor((F.col("rn") - 1) / F.lit(k)).cast("bigint").alias("g"),
         ((F.col("rn") - 1) % F.lit(k)).cast("bigint").alias("slot"), F.col("dst").alias("node_id"),
     )
-    full = placed.filter(F.col("slot") == k - 1).select("src", "g")
-    return placed.join(full, ["src", "g"], "left_semi")
+    # At most k rows per window group, and the rows already lie by src.
+    size = F.count(F.lit(1)).over(W.partitionBy("src", "g"))
+    return placed.withColumn("_n", size).filter(F.col("_n") == k).drop("_n")
 
 
 def _walk(adj: DataFrame, order: DataFrame, k: int, max_groups: int, exclusive: bool) -> DataFrame:

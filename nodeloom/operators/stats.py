@@ -134,8 +134,9 @@ def label_profile(nodes: DataFrame, sample: int = 10) -> DataFrame:
     )
     head = nodes.filter(~missing).orderBy("node_id").limit(sample).select("node_id", "label")
     shown = head.agg(F.sort_array(F.collect_list(F.struct("node_id", "label"))).alias("_s"))
-    first = F.transform("_s", lambda s: s["label"]).alias("sample")
-    return totals.withColumn("_k", F.lit(1)).join(shown.withColumn("_k", F.lit(1)), "_k").select(*totals.columns, first)
+    shown = shown.select(F.transform("_s", lambda s: s["label"]).alias("sample"))
+    both = totals.unionByName(shown, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in totals.columns], F.first("sample", ignorenulls=True).alias("sample"))
 
 
 def synthesize_labels(nodes: DataFrame, fraction: float, classes: int, seed: int) -> DataFrame:

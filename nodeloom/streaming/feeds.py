@@ -17,11 +17,15 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: s
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def stream_gather(index_stream: DataFrame, features: DataFrame) -> DataFrame:
+def stream_gather(index_stream: DataFrame, features: DataFrame, tasks: int | None = None) -> DataFrame:
     """Feature rows for arriving index rows: a stream-static join, nothing kept in state.
 
     A left join, so an index row without features shows up as NULL and can be counted.
+    ``tasks`` deals the narrow rows out before the wide ones are fetched, for sources that
+    deliver few large files.
     """
+    if tasks:
+        index_stream = index_stream.repartition(tasks)
     return index_stream.join(features.select("node_id", "feat"), "node_id", "left")
 
 

@@ -196,7 +196,8 @@ def _item_stream(spark, sf):
 
 @query(sql(f"SELECT t.batch_id, t.node_id, {feat_digest_sql('n.feat')} AS feat_md5 FROM trace t JOIN nodes n USING (node_id)", "trace", "nodes"))
 def stream_gather(spark, sf):
-    out = feeds.stream_gather(_item_stream(spark, sf), fx.nodes(spark, sf).select("node_id", "feat"))
+    tasks = spark.sparkContext.defaultParallelism
+    out = feeds.stream_gather(_item_stream(spark, sf), fx.nodes(spark, sf).select("node_id", "feat"), tasks)
     return feeds.run_to_table(out.select("batch_id", "node_id", feat_digest().alias("feat_md5")), "append", "gathered")
 
 
