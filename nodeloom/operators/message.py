@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce as fold
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -207,21 +207,25 @@ def dense(df: DataFrame, weights: Mapping[str, np.ndarray], bias: np.ndarray | N
     shift = None if bias is None else np.asarray(bias, dtype=np.float64)
     kept = [c for c in df.columns if c not in mats and c != out]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if pdf.empty:
+    def block(column: pa.Array, rows: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
                 continue
-            total = sum(np.stack(pdf[c].to_numpy()).astype(np.float64) @ w for c, w in mats.items())
+            total = sum(block(batch.column(c), n) @ w for c, w in mats.items())
             if shift is not None:
                 total = total + shift
             if act == "relu":
                 total = np.maximum(total, 0.0)
-            result = pdf[kept].copy()
-            result[out] = list(total)
-            yield result
+            ends = np.arange(0, total.size + 1, total.shape[1], dtype=np.int32)
+            result = pa.ListArray.from_arrays(pa.array(ends), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], result], [*kept, out])
 
     schema = df.select(*kept, F.array(F.lit(0.0)).alias(out)).schema
-    return df.select(*kept, *mats).mapInPandas(run, schema)
+    return df.select(*kept, *mats).mapInArrow(run, schema)
 
 
 def _heads_score(df: DataFrame, left: np.ndarray, right: np.ndarray) -> DataFrame:
@@ -339,28 +343,46 @@ def gnn_infer_hetero(typed_edges: DataFrame, feat: DataFrame, weights: Sequence[
              for r in typed_edges.select("etype", "src_type", "dst_type").distinct().collect()]  # one row per edge type
     h = feat
     for i, layer in enumerate(weights):
-        outs = []
-        for etype, src_type, dst_type in sorted(kinds):
-            outs.append(_typed_conv(inner, typed_edges, h, etype, src_type, dst_type, layer[etype]))
-        stacked = fold(DataFrame.unionByName, outs)
-        stacked = materialize(stacked, "relations")
+        stacked = materialize(_relational_layer(inner, typed_edges, h, sorted(kinds), layer), "relations")
         h = _vector_sum(stacked, ["ntype", "node_id"], "feat", metric=metric, width=_width(stacked)).withColumnRenamed("_out", "feat")
-        if i + 1 < len(weights):
-            h = h.withColumn("feat", F.transform("feat", lambda x: F.greatest(x, F.lit(0.0))))
-        h = materialize(h, "relational")
+        act = "relu" if i + 1 < len(weights) else None
+        h = materialize(h.withColumn("feat", _finish(F.col("feat"), None, act)), "relational")
     head = dense(h.filter(F.col("ntype") == target).select("node_id", "feat"), {"feat": linear[0]}, linear[1], out="logits")
     return with_argmax(head, "logits")
 
 
-def _typed_conv(kind: str, typed_edges: DataFrame, h: DataFrame, etype: str, src_type: str, dst_type: str,
-                w: Mapping[str, np.ndarray]) -> DataFrame:
-    """One edge type as a plain graph: destinations get ids of their own side by negation, so a
-    source and a destination with the same number stay apart."""
-    edges = typed_edges.filter(F.col("etype") == etype).select("src", (-F.col("dst") - 1).alias("dst"))
-    src = h.filter(F.col("ntype") == src_type).select("node_id", "feat")
-    dst = h.filter(F.col("ntype") == dst_type).select((-F.col("node_id") - 1).alias("node_id"), "feat")
-    out = conv(kind, edges, src.unionByName(dst), dst.select("node_id"), w)
-    return out.select(F.lit(dst_type).alias("ntype"), (-F.col("node_id") - 1).alias("node_id"), "feat")
+def _relational_layer(kind: str, typed_edges: DataFrame, h: DataFrame, kinds: Sequence[tuple[str, str, str]],
+                      layer: Mapping[str, Mapping[str, np.ndarray]]) -> DataFrame:
+    """(ntype, node_id, feat): one row per edge type and destination.
+
+    All edge types are aggregated together, told apart by ``etype``; only the projections differ.
+    Destinations get ids of their own side by negation, so a source and a destination with the
+    same number stay apart.
+    """
+    parts = []
+    for etype, src_type, dst_type in kinds:
+        w = layer[etype]
+        src = h.filter(F.col("ntype") == src_type).select("node_id", "feat")
+        dst = h.filter(F.col("ntype") == dst_type).select((-F.col("node_id") - 1).alias("node_id"), "feat")
+        x = src.unionByName(dst).select(F.lit(etype).alias("etype"), "node_id", F.col("feat").alias("x"))
+        z = dense(x, {"x": w["W"]}, out="feat")
+        parts.append(_heads_score(z, np.asarray(w["al"]), np.asarray(w["ar"])) if kind == "gat" else z)
+    z = materialize(fold(DataFrame.unionByName, parts), "project")
+    edges = typed_edges.select("etype", "src", (-F.col("dst") - 1).alias("dst"))
+    nodes = z.filter("node_id < 0").select("etype", "node_id")
+    if kind == "gat":
+        heads, width = np.asarray(layer[kinds[0][0]]["al"]).shape
+        sums = aggregate_attention(edges, z, heads, ["etype"])
+        zeros = F.array(*[F.lit(0.0)] * (heads * width))
+        out = nodes.join(sums, ["etype", "node_id"], "left").withColumn("neigh", F.coalesce("neigh", zeros))
+    else:
+        out = (aggregate_gcn if kind == "gcn" else aggregate_sage_gcn)(edges, z, nodes, ["etype"])
+    ntype, vec = F.lit(None).cast("string"), F.col("neigh")
+    for etype, _, dst_type in kinds:
+        here = F.col("etype") == etype
+        ntype = F.when(here, dst_type).otherwise(ntype)
+        vec = F.when(here, _finish(F.col("neigh"), layer[etype].get("b"), None)).otherwise(vec)
+    return out.select(ntype.alias("ntype"), (-F.col("node_id") - 1).alias("node_id"), vec.alias("feat"))
 
 
 # Propagated features and a classifier -------------------------------------------
