@@ -170,20 +170,34 @@ def select_layer_nodes(prob: DataFrame, k: int, seed: int = 0, layer: int = 0, r
     return _draw_with_replacement(live, k, seed, layer)
 
 
+def _locate(draws: DataFrame, intervals: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    """The interval each draw falls into: (*keys, slot, u, hit).
+
+    ``draws`` is (*keys, slot, u), ``intervals`` is (*keys, id, lo, hi), all within [0, 1]. An
+    interval lists the equal cells it touches, so the lookup is an equality join; of the
+    intervals starting at or before the draw the last one is taken, so rounding at an end can
+    neither lose nor repeat a draw.
+    """
+    grid = F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))
+    covered = intervals.withColumn("_cell", F.explode(grid))
+    placed = draws.withColumn("_cell", F.least(F.floor(F.col("u") * cells), F.lit(cells - 1)))
+    near = placed.join(covered, [*keys, "_cell"]).filter("lo <= u")
+    return near.groupBy(*keys, "slot", "u").agg(F.max(F.struct("lo", "id", "hi")).alias("hit"))
+
+
 def _draw_with_replacement(live: DataFrame, k: int, seed: int, layer: int) -> DataFrame:
-    """Draws land in equal cells of [0, total); each candidate lists the cells it covers, so
-    the lookup is an equality join, and a heavy candidate adds at most k cells."""
+    """k inverse-CDF draws per batch over k cells: about one draw per cell, so the join yields
+    about one row per candidate and draw."""
     ranked = materialize(grouped_rank(live, ["batch_id"], "node_id", "_i"), "cdf")
     ends = _running_by_batch(ranked)
     totals = materialize(ends.groupBy("batch_id").agg(F.max("_hi").alias("_total")), "totals")
-    width = F.col("_total") / F.lit(k)
-    cells = F.sequence(F.floor(F.col("_lo") / width), F.least(F.floor(F.col("_hi") / width), F.lit(k - 1)))
-    covered = ends.join(totals, "batch_id").withColumn("_cell", F.explode(cells))
-    draws = totals.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    draws = draws.withColumn("_u", uniform(seed, layer, F.col("batch_id"), F.col("draw")) * F.col("_total"))
-    draws = draws.select("batch_id", "draw", "_u", F.least(F.floor(F.col("_u") / width), F.lit(k - 1)).alias("_cell"))
-    hit = draws.join(covered, ["batch_id", "_cell"])
-    return hit.filter("_u >= _lo AND _u < _hi").select("batch_id", "draw", "node_id", "prob")
+    intervals = ends.join(totals, "batch_id").select(
+        "batch_id", F.col("node_id").alias("id"), (F.col("_lo") / F.col("_total")).alias("lo"), (F.col("_hi") / F.col("_total")).alias("hi"))
+    draws = totals.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
+    draws = draws.withColumn("u", uniform(seed, layer, F.col("batch_id"), F.col("slot")))
+    hits = _locate(draws, intervals, ["batch_id"], k)
+    hits = hits.select("batch_id", F.col("slot").alias("draw"), F.col("hit.id").alias("node_id"))
+    return hits.join(live.select("batch_id", "node_id", "prob"), ["batch_id", "node_id"])
 
 
 def _running_by_batch(ranked: DataFrame, block: int = 1 << 16) -> DataFrame:
@@ -302,23 +316,30 @@ def access_pattern(slots: DataFrame, n: int, kind: str, seed: int = 0, stride: i
     return slots.select("slot", pos.cast("bigint").alias("pos"))
 
 
-def _zipf(slots: DataFrame, n: int, seed: int, s: float, rows_per_page: int, cells: int = 65_536) -> DataFrame:
-    """Inverse CDF of 1/rank^s over pages. The CDF is a distributed running total; draws meet it
-    by an equality join on equal cells of [0, 1)."""
-    spark = slots.sparkSession
+def _zipf(slots: DataFrame, n: int, seed: int, s: float, rows_per_page: int, block: int = 1 << 16) -> DataFrame:
+    """Inverse CDF of 1/rank^s over pages, found in two steps: the block of pages, then the page.
+
+    The tail of a power law puts very many pages into the last equal cell of [0, 1); inside a
+    block the pages are alike, so its own cells hold few.
+    """
     pages = max(n // rows_per_page, 1)
-    table = spark.range(pages).select(F.col("id").alias("page"), F.pow(F.col("id") + 1.0, F.lit(-s)).alias("w"))
-    cdf = materialize(prefix_scan(table, "page", "w", "hi"), "cdf")
+    table = slots.sparkSession.range(pages).select(F.col("id").alias("page"), F.pow(F.col("id") + 1.0, F.lit(-s)).alias("w"))
+    cdf = materialize(prefix_scan(table, "page", "w", "hi", block=block), "cdf")
+    cdf = cdf.withColumn("blk", F.floor(F.col("page") / F.lit(block)))
     total = cdf.agg(F.max("hi")).first()[0]
-    lo, hi = (F.col("hi") - F.col("w")) / F.lit(total), F.col("hi") / F.lit(total)
-    cdf = cdf.select("page", lo.alias("lo"), hi.alias("hi"))
-    grid = F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))
-    covered = cdf.withColumn("cell", F.explode(grid))
+    blocks = cdf.groupBy("blk").agg(F.min(F.col("hi") - F.col("w")).alias("from"), F.max("hi").alias("to"))
+    blocks = materialize(blocks, "blocks")
     draws = slots.select("slot", uniform(seed, F.col("slot")).alias("u"))
-    draws = draws.withColumn("cell", F.floor(F.col("u") * cells))
-    # The first cell is the hot one (rank 1 covers most cells): the page side stays small.
-    hit = draws.join(covered, "cell").filter("u >= lo AND u < hi")
-    return hit.select("slot", (F.col("page") * F.lit(rows_per_page)).cast("bigint").alias("pos"))
+    tops = blocks.select(F.col("blk").alias("id"), (F.col("from") / F.lit(total)).alias("lo"), (F.col("to") / F.lit(total)).alias("hi"))
+    found = _locate(draws, tops, [], block)
+    inner = (F.col("u") - F.col("hit.lo")) / (F.col("hit.hi") - F.col("hit.lo"))
+    found = found.select("slot", F.col("hit.id").alias("blk"), F.least(F.greatest(inner, F.lit(0.0)), F.lit(1.0)).alias("u"))
+    span = F.col("to") - F.col("from")
+    within = cdf.join(blocks, "blk").select(
+        "blk", F.col("page").alias("id"), F.greatest((F.col("hi") - F.col("w") - F.col("from")) / span, F.lit(0.0)).alias("lo"),
+        ((F.col("hi") - F.col("from")) / span).alias("hi"))
+    hits = _locate(found, within, ["blk"], block)
+    return hits.select("slot", (F.col("hit.id") * F.lit(rows_per_page)).cast("bigint").alias("pos"))
 
 
 def gather_sum(positions: DataFrame, arr: DataFrame, value: str = "v") -> DataFrame:

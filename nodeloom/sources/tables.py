@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from nodeloom.plans.scan import prefix_scan
 
 _LONG = T.LongType()
+CHUNK = 1 << 16
 
 EDGES = T.StructType([T.StructField("src", _LONG), T.StructField("dst", _LONG)])
 FEATURES = T.StructType([T.StructField("node_id", _LONG), T.StructField("feat", T.ArrayType(T.FloatType()))])
@@ -82,17 +83,17 @@ def type_offsets(nodes: DataFrame, order: list[str]) -> DataFrame:
 def read_trace(ids: DataFrame, lengths: DataFrame) -> DataFrame:
     """(ord, node_id) and (batch_id, size) to (batch_id, pos, node_id).
 
-    Batch starts are the exclusive running total of sizes. A batch covers the cells of
-    ``CELL`` ordinals it touches, so the range lookup is an equality join on the cell.
+    Batch starts are the exclusive running total of sizes. Batches are cut into chunks of at
+    most ``CHUNK`` ordinals and each chunk lists its own, so the join key is the ordinal itself:
+    unique on both sides however long or short the batches are.
     """
-    cell = 4096
     starts = prefix_scan(lengths, "batch_id", "size", "start", inclusive=False).filter(F.col("size") > 0)
     stop = F.col("start") + F.col("size")
-    cells = starts.withColumn(
-        "_cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((stop - 1) / cell)))
-    )
-    placed = ids.withColumn("_cell", F.floor(F.col("ord") / F.lit(cell))).join(cells, "_cell")
-    placed = placed.filter((F.col("ord") >= F.col("start")) & (F.col("ord") < stop))
+    chunks = F.sequence(F.floor(F.col("start") / CHUNK), F.floor((stop - 1) / CHUNK))
+    cut = starts.withColumn("_c", F.explode(chunks))
+    first, last = F.greatest("start", F.col("_c") * CHUNK), F.least(stop, (F.col("_c") + 1) * CHUNK) - 1
+    places = cut.select("batch_id", "start", F.explode(F.sequence(first, last)).alias("ord"))
+    placed = ids.join(places, "ord")
     return placed.select("batch_id", (F.col("ord") - F.col("start")).cast("bigint").alias("pos"), "node_id")
 
 

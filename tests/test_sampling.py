@@ -136,3 +136,13 @@ def test_large_index_is_bucketed_and_never_shuffled(spark, make, monkeypatch):
         assert rows(layer, "batch_id", "src", "dst") == rows(plain, "batch_id", "src", "dst")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_zipf_over_many_blocks_equals_the_inverse_cdf(spark, make):
+    from nodeloom.functions.hashing import uniform
+
+    slots = make.nodes(range(2000)).withColumnRenamed("node_id", "slot")
+    got = dict(rows(sampling._zipf(slots, 500, 3, 1.2, 1, block=16), "slot", "pos"))
+    cdf = np.cumsum(np.arange(1, 501) ** -1.2)
+    u = dict(rows(slots.select("slot", uniform(3, F.col("slot")).alias("u"))))
+    assert got == {s: int(np.searchsorted(cdf / cdf[-1], x, side="right")) for s, x in u.items()}
