@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import quality
+from nodeloom.llm import contamination, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR 2 * word_chars < 3 * n_words) AS kept
 FROM f
 """
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+SQL["op2_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS win
+  FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS u(i) WHERE len(w) > 0
+), ks AS (
+  SELECT DISTINCT k FROM bw
+), dw AS (
+  SELECT rid, i, k, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM d, ks, unnest(range(1, len(w) - k + 2)) AS u(i)
+), h AS (
+  SELECT rid, i, k, item_id FROM dw JOIN bw USING (k, win)
+), n AS (
+  SELECT rid, count(DISTINCT i + j) AS n FROM (SELECT DISTINCT rid, i, k FROM h), unnest(range(0, k)) AS u(j) GROUP BY rid
+), m AS (
+  SELECT rid, count(*) AS n, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(m.n, 0) AS BIGINT) AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256,
+  coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+"""
