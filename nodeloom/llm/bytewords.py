@@ -29,9 +29,15 @@ SLICE_BYTES = 4 << 20
 
 @dataclass
 class Words:
-    """Words of consecutive texts: ``data[start[i]:end[i]]``; text ``t`` has words ``first[t]..first[t+1]``."""
+    """Words of consecutive texts: ``data[start[i]:end[i]]``.
 
+    Text ``t`` has words ``first[t]..first[t+1]`` and bytes ``bounds[t]..bounds[t+1]``;
+    ``raw`` holds the bytes as they were.
+    """
+
+    raw: np.ndarray
     data: np.ndarray
+    bounds: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
@@ -88,9 +94,9 @@ def words_of(column: pa.Array, table: np.ndarray) -> Words:
     column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    source = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     bounds = offsets - offsets[0]
-    data = table[data]
+    data = table[source]
     inside = data != 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -101,4 +107,4 @@ def words_of(column: pa.Array, table: np.ndarray) -> Words:
     cuts = bounds[1:][bounds[1:] > 0] - 1
     ends[cuts] |= inside[cuts]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, start, end, np.searchsorted(start, bounds))
+    return Words(source, data, bounds, start, end, np.searchsorted(start, bounds))

@@ -1,0 +1,42 @@
+"""Connected components by contraction.
+
+Each round every node points to its smallest neighbour (or itself), edges are renamed to the
+ends' pointers, and loops and repeats go. The graph shrinks by a constant factor a round, a hub
+only ever meets a minimum (combined before the shuffle), and both sides of every join are
+written tables, so adaptive execution can split a hot node's edges. The pointers of all rounds are
+then followed for every node.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from nodeloom.plans.store import Saved, save
+
+
+def components(edges: DataFrame) -> Saved:
+    """(node, label) for every node of ``edges`` (a, b); the label is a node of its component."""
+    both = edges.select("a", "b").filter("a <> b")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    held, pointers = save(both, "cc_edges"), []
+    while held.rows:
+        least = held.df.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
+        step = save(least.withColumnRenamed("a", "node"), "cc_step")
+        pointers.append(step)
+        left, right = step.df.toDF("a", "to_a"), step.df.toDF("b", "to_b")
+        moved = held.df.join(left, "a").join(right, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        after = save(moved.filter("a <> b").distinct(), "cc_edges")
+        held.drop()
+        held = after
+    held.drop()
+    if not pointers:
+        return save(edges.sparkSession.createDataFrame([], both.select(F.col("a").alias("node"), F.col("a").alias("label")).schema), "cc")
+    label = pointers[0].df.select("node", F.col("to").alias("label"))
+    for step in pointers[1:]:
+        nxt = step.df.toDF("label", "_to")
+        label = label.join(nxt, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    done = save(label, "cc")
+    for step in pointers:
+        step.drop()
+    return done

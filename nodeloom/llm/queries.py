@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import contamination, quality
+from nodeloom.llm import contamination, maincontent, nearcopies, packing, pii, quality, secrets, urlrules, warc, weaklabel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +94,88 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGIN
   coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
 """
+
+#: The rules of the URL filter query.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@query
+def op7_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf, "pages"), rules)
+
+
+SQL["op7_url_filters"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), r(h, q, v) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), m AS (
+  SELECT rid, h || q AS rule, v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+), b AS (
+  SELECT rid, rule, v FROM m QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, rule DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN b USING (rid)
+"""
+
+
+@query
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.report(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.report(table(spark, sf, "documents"))
+
+
+@query
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.report(table(spark, sf, "pages"))
+
+
+SQL["op4_warc"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages
+), b AS (
+  SELECT rid, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST(concat('0x', substr(d, 1 + 10 * g, 10)) AS BIGINT)) >> (35 - 5 * k)) & 31 AS INTEGER) + 1, 1), '' ORDER BY g, k) AS digest
+  FROM p, unnest(range(0, 4)) AS u(g), unnest(range(0, 8)) AS v(k) GROUP BY rid
+), m AS (
+  SELECT d, max(page_id) AS first FROM p GROUP BY d
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM p JOIN m USING (d) JOIN b USING (rid)
+"""
+
+
+@query
+def op8_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return maincontent.report(table(spark, sf, "pages"))
+
+
+@query
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.report(table(spark, sf, "documents"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return weaklabel.report(table(spark, sf, "documents"))
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return nearcopies.report(table(spark, sf, "documents"))
