@@ -72,15 +72,17 @@ def hashed_rules(rules: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
     """One row per page: key, host, path, the deciding rule (or null) and the verdict."""
-    odd = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & ~F.col("path").endswith("/"))
-    lengths = sorted(r["n"] for r in odd.select(F.length("path").alias("n")).distinct().collect())  # path lengths: bounded by URL length
+    paths = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
+    longest = paths.agg(F.max(F.length("path")).alias("n")).first()["n"] or 0
+    odd = paths.where(~F.col("path").endswith("/")).select(F.length("path").alias("n")).distinct()
+    lengths = sorted(r["n"] for r in odd.collect())  # at most as many as a rule path has characters
     held = save(hashed_rules(rules), "url_rules")
     known = F.broadcast(held.df) if held.rows <= BROADCAST_RULES else held.df
     cuts = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
 
     split = pages.select(F.col(key).alias("k"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     row = split.withColumn("row", F.monotonically_increasing_id())
-    spread = row.withColumn("expression", F.explode_outer(expressions(F.col("host"), F.col("path"), cuts)))
+    spread = row.withColumn("expression", F.explode_outer(expressions(F.col("host"), F.substring("path", 1, longest), cuts)))
     spread = spread.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     found = spread.join(known, F.col("prefix") == F.col("r_prefix"), "left")
     sure = F.when(F.col("digest") == F.col("r_digest"), F.struct(F.length("rule").alias("n"), "rule", "verdict"))
