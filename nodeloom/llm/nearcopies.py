@@ -40,10 +40,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 48
 #: Prefix lengths tried in turn, longest first.
-DEPTHS = (12, 10, 8)
-TARGET_RECALL = 0.995
+DEPTHS = (10, 8, 6)
+TARGET_RECALL = 0.998
 #: Bounds of one block: nodes and shingles.
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 400_000
+BLOCK_NODES, BLOCK_SHINGLES = 512, 200_000
 #: Incidence columns multiplied at once.
 COLUMNS = 4096
 BINS = 8
@@ -73,11 +73,11 @@ def constants(count: int) -> tuple[np.ndarray, np.ndarray]:
     return (seed[:count] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seed[count:] >> np.uint64(32)).astype(np.uint32)
 
 
-def tree_keys(hashes: np.ndarray, first: np.ndarray, trees: int, depths: tuple[int, ...]) -> list[np.ndarray]:
-    """For each depth the (text, tree) keys of the signature prefixes of that length; texts need a shingle."""
-    texts, deepest = len(first) - 1, max(depths)
-    factor, offset = constants(trees * deepest)
-    keys = np.zeros((len(depths), texts, trees), np.uint64)
+def tree_keys(hashes: np.ndarray, first: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """The (text, tree) keys of the signature prefixes of length ``depth``; every text needs a shingle."""
+    texts = len(first) - 1
+    factor, offset = constants(trees * max(depth, DEPTHS[0]))
+    keys = np.zeros((texts, trees), np.uint64)
     short = ((hashes >> np.uint64(32)) ^ hashes).astype(np.uint32)
     step, begin = 1 << 15, 0
     while begin < texts:  # some texts at a time, so that their hashes stay in the cache
@@ -86,15 +86,14 @@ def tree_keys(hashes: np.ndarray, first: np.ndarray, trees: int, depths: tuple[i
         buffer = np.empty_like(part)
         for tree in range(trees):
             key = np.full(stop - begin, tree + 1, np.uint64)
-            for level in range(deepest):
-                i = tree * deepest + level
+            for level in range(depth):
+                i = level * trees + tree  # a shorter prefix has the same first values
                 np.multiply(part, factor[i], out=buffer)
                 np.add(buffer, offset[i], out=buffer)
                 key = mix(key ^ np.minimum.reduceat(buffer, at))
-                if level + 1 in depths:
-                    keys[depths.index(level + 1), begin:stop, tree] = key
+            keys[begin:stop, tree] = key
         begin = stop
-    return list(keys)
+    return keys
 
 
 def recall_at(similarity: np.ndarray, depth: int, trees: int) -> np.ndarray:
@@ -121,12 +120,11 @@ class Settings:
     block_shingles: int = BLOCK_SHINGLES
 
 
-def _signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """(id, digest, size, keys per depth) of every document, without its text."""
-    names = [f"keys{d}" for d in settings.depths]
+def _signed(docs: DataFrame, key: str, text: str, trees: int, depth: int) -> DataFrame:
+    """(id, digest, size, keys) of every document, without its text."""
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()),
-        *[T.StructField(n, T.ArrayType(T.LongType())) for n in names]])
+        T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +133,10 @@ def _signed(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFra
                 hashes, first = shingles(words_of(part.column(2), ALNUM))
                 size = np.diff(first)
                 some = np.flatnonzero(size)
-                offsets = np.zeros(part.num_rows + 1, np.int32)
-                offsets[1:] = np.cumsum(np.where(size > 0, settings.trees, 0))
-                starts = np.append(first[:-1][some], first[-1])
-                keys = tree_keys(hashes, starts, settings.trees, settings.depths) if len(some) else [np.zeros(0, np.uint64)] * len(names)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(k.reshape(-1).view(np.int64))) for k in keys]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), *lists], schema.names)
+                offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, trees, 0))]).astype(np.int32)
+                keys = tree_keys(hashes, np.append(first[:-1][some], first[-1]), trees, depth) if len(some) else np.zeros(0, np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), lists], schema.names)
 
     rows = docs.select(F.col(key).cast("bigint").alias("id"), _digest(text).alias("digest"), F.col(text).alias("t"))
     return rows.mapInArrow(run, schema)
@@ -150,9 +146,9 @@ def _digest(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def _candidates(nodes: DataFrame, column: str) -> DataFrame:
+def _candidates(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) from each node to the least node of every bucket it shares; a hot bucket is only counted and minimised."""
-    rows = nodes.select("node", F.explode(column).alias("bucket"))
+    rows = nodes.select("node", F.explode("keys").alias("bucket"))
     least = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = save(least.select("bucket", "least"), "lsh_buckets")
     return rows.join(held.df, "bucket").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
@@ -224,7 +220,8 @@ def _verified(docs: DataFrame, key: str, text: str, placed: DataFrame, settings:
     texts = docs.select(F.col(key).cast("bigint").alias("d_id"), _digest(text).alias("d_digest"), F.col(text).alias("t"))
     held = save(placed, "lsh_placed").df
     one = held.select("node", "id", "digest").distinct()
-    whole = texts.join(one, (F.col("d_digest") == F.col("digest")) & F.col("d_id").eqNullSafe(F.col("id"))).select("node", "t")
+    # A sort-merge join whatever the sizes: neither side is bounded.
+    whole = texts.join(one.hint("merge"), (F.col("d_digest") == F.col("digest")) & F.col("d_id").eqNullSafe(F.col("id"))).select("node", "t")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,30 +286,29 @@ class Links:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> Links:
     """Find all pairs of different texts at the threshold; see the module for what is kept of them."""
     settings = settings or Settings()
-    signed = save(_signed(docs, key, text, settings), "lsh_signed").df
-    names = [f"keys{d}" for d in settings.depths]
-    unique = signed.groupBy("digest").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), *[F.first(n).alias(n) for n in names])
-    nodes = save(unique.withColumn("node", F.monotonically_increasing_id()), "lsh_nodes").df
-    depth, recall = settings.depths[0], 0.0
     for depth in settings.depths:
-        edges = _candidates(nodes, f"keys{depth}")
-        placed = _blocks(nodes, components(edges).df, settings)
+        signed = save(_signed(docs, key, text, settings.trees, depth), "lsh_signed")
+        unique = signed.df.groupBy("digest").agg(
+            F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.first("keys").alias("keys"))
+        nodes = save(unique.withColumn("node", F.monotonically_increasing_id()), "lsh_nodes")
+        placed = _blocks(nodes.df, components(_candidates(nodes.df)).df, settings)
         found = save(_verified(docs, key, text, placed, settings), "lsh_found")
         counted = found.df.filter(F.col("bins").isNotNull()).select(F.posexplode("bins")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
         bins = np.zeros(BINS)
         for row in counted:
             bins[row["pos"]] = row["n"]
         recall = estimated_recall(bins, settings.threshold, depth, settings.trees)
-        if recall >= settings.target:
+        if recall >= settings.target or depth == settings.depths[-1]:
             break
+        for table in (signed, nodes, found):
+            table.drop()
     linked = found.df.filter(F.col("node").isNotNull())
     labels = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))).df.toDF("l_node", "label")
     links = linked.groupBy("node").agg(F.sum("links").alias("links")).toDF("k_node", "links")
-    whole = nodes.select("node", "digest", "id", "copies").join(labels, F.col("node") == F.col("l_node"), "left")
+    whole = nodes.df.select("node", "digest", "id", "copies").join(labels, F.col("node") == F.col("l_node"), "left")
     whole = whole.join(links, F.col("node") == F.col("k_node"), "left").select(
         "node", "digest", "id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    return Links(save(whole, "lsh_links"), signed.select("id", "digest"), depth, recall)
+    return Links(save(whole, "lsh_links"), signed.df.select("id", "digest"), depth, recall)
 
 
 def _named(links: Links) -> Saved:
