@@ -18,6 +18,7 @@ they are, row by row; other columns are dropped; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import struct
 from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -38,10 +39,17 @@ LONG_STRETCH, FORCED_STEP = 256, 64
 #: Penalties of a cut, in tokens of padding: at a sentence end, inside a sentence.
 SENTENCE_CUT, FORCED_CUT = 4, 32
 #: Words the tokenizer cache holds (about 170 bytes each); it starts anew beyond.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 2_000_000
 CACHED_CHARS = 64
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character byte-level BPE writes each byte as: itself if printable, else one from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of a word, as bytes; filled on demand."""
 
@@ -50,21 +58,37 @@ class WordIds(dict):
 
         super().__init__()
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
-        marks = (self.tokenizer.token_to_id(f"{c}</w>") for c in ".!?")
-        self.sentence_ends = np.array([i for i in marks if i is not None], np.uint32)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.sentence_end = np.zeros(1 << 17, bool)
+        for mark in ".!?":
+            found = self.tokenizer.token_to_id(f"{mark}</w>")
+            if found is not None:
+                self.sentence_end[found] = True
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode_letters(self, word: str) -> bytes:
+        """A word of lower-case Latin letters: the tokenizer neither changes nor splits it before its merges."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: str) -> bytes:
         if len(word) > CACHED_CHARS:
             return self.encode(word)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if word.isascii() and not word.islower() and (lower := word.lower()) != word:
-            found = self[lower]  # the tokenizer lower-cases
-        elif len(word) > 1 and word[-1] in ".,": # a mark after a letter or digit is a token of its own
-            found = self[word[:-1]] + self[word[-1]] if word[-2].isascii() and word[-2].isalnum() else self.encode(word)
+        if word.isascii() or max(word) <= "\xff":  # plain Latin: lower case and composition are simple
+            if (lower := word.lower()) != word:
+                found = self[lower]
+            elif word.isalpha():
+                found = self.encode_letters(word)
+            elif word[-1:] in (".", ",") and word[:-1].isalpha():  # a mark after letters is a token of its own
+                found = self[word[:-1]] + self[word[-1]]
+            else:
+                found = self.encode(word)
         else:
             found = self.encode(word)
         self[word] = found
@@ -97,19 +121,17 @@ class Doc(NamedTuple):
     total: int
 
 
-def cut_points(ids: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions a document may be cut at, and their penalties; its end is the last and free."""
-    ends = np.flatnonzero(np.isin(ids, sentence_ends)) + 1 if len(sentence_ends) else np.zeros(0, np.int64)
-    ends = ends[ends < len(ids) - 1]  # the end id alone is no sentence
-    marks = np.concatenate([[0], ends, [len(ids)]])
-    points, costs = [ends], [np.full(len(ends), SENTENCE_CUT)]
-    for i in np.flatnonzero(np.diff(marks) > LONG_STRETCH):
-        forced = np.arange(marks[i] + FORCED_STEP, marks[i + 1], FORCED_STEP)
-        points.append(forced)
-        costs.append(np.full(len(forced), FORCED_CUT))
-    points, costs = np.concatenate(points), np.concatenate(costs)
+def cut_points(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions joined documents may be cut at, rising from 0, and their penalties; document ends are free."""
+    inside = np.flatnonzero(sentence_end[ids]) + 1
+    inside = inside[~np.isin(inside + 1, ends)]  # the end id alone is no sentence
+    inside = inside[~np.isin(inside, ends)]
+    marks = np.sort(np.concatenate([[0], inside, ends]))
+    forced = [np.arange(marks[i] + FORCED_STEP, marks[i + 1], FORCED_STEP) for i in np.flatnonzero(np.diff(marks) > LONG_STRETCH)]
+    points = np.concatenate([[0], ends, inside, *forced]).astype(np.int64)
+    costs = np.concatenate([np.zeros(1 + len(ends)), np.full(len(inside), SENTENCE_CUT), *[np.full(len(f), FORCED_CUT) for f in forced]])
     order = np.argsort(points, kind="stable")
-    return np.append(points[order], len(ids)), np.append(costs[order], 0)
+    return points[order], costs[order].astype(np.int64)
 
 
 def choose_cuts(position: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
@@ -123,21 +145,22 @@ def choose_cuts(position: np.ndarray, cost: np.ndarray, length: int) -> list[int
         size *= 2
     pos, pay = position.tolist(), cost.tolist()
     best, back = [0] * len(pos), [0] * len(pos)
-    queue: deque[int] = deque()
+    queue = deque([(0, 0, 0)])  # (cheapest cost plus position, position, index), rising in all
     for j in range(1, len(pos)):
-        here, i = pos[j], j - 1
-        key = best[i] + pos[i]
-        while queue and best[queue[-1]] + pos[queue[-1]] >= key:
-            queue.pop()
-        queue.append(i)
-        while here - pos[queue[0]] > length:
+        here = pos[j]
+        while here - queue[0][1] > length:
             queue.popleft()
-        i = queue[0]
-        low = best[i] + pos[i] + length - here
-        for k in exact.get(j, ()):
-            if best[k] < low:
-                low, i = best[k], k
+        low, _, i = queue[0]
+        low += length - here
+        if j in exact:
+            for k in exact[j]:
+                if best[k] < low:
+                    low, i = best[k], k
         best[j], back[j] = low + pay[j], i
+        key = best[j] + here
+        while queue and queue[-1][0] >= key:
+            queue.pop()
+        queue.append((key, here, j))
     cuts, j = [], len(pos) - 1
     while j:
         cuts.append(j)
@@ -159,14 +182,8 @@ def _pieces(docs: list[Doc], cuts: list[int]) -> Iterator[tuple[int, int, int, i
                 window, begin = window + 1, at
 
 
-def _plan(docs: list[Doc], ends: np.ndarray, length: int) -> list[int]:
-    points, costs, base = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0
-    for doc in docs:
-        p, c = cut_points(doc.ids, ends)
-        points.append(p + base)
-        costs.append(c)
-        base += len(doc.ids)
-    position, cost = np.concatenate(points), np.concatenate(costs)
+def _plan(docs: list[Doc], sentence_end: np.ndarray, length: int) -> list[int]:
+    position, cost = cut_points(np.concatenate([d.ids for d in docs]), np.cumsum([len(d.ids) for d in docs]), sentence_end)
     return position[choose_cuts(position, cost, length)].tolist()
 
 
@@ -191,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
 
         def emit(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal waiting, tokens, sequence
-            cuts = _plan(waiting, words.sentence_ends, length)
+            cuts = _plan(waiting, words.sentence_end, length)
             if not last:
                 cuts.pop()  # the open window goes on in the next block
             rows, done = [], [0] * len(waiting)
