@@ -25,7 +25,7 @@ WINDOW = 5
 SAMPLE_ROWS = 2000
 #: Characters of a sampled text; verdicts always use whole texts.
 SAMPLE_CHARS = 20_000
-_WORDS, _LINES = "__nl_q_words", "__nl_q_lines"
+_WORDS = "__nl_q_words"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,42 +33,37 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def with_words(docs: DataFrame, text: str) -> DataFrame:
-    """Add the word and line arrays the rules read."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({
-        _WORDS: F.array_remove(F.split(whole, SPACE), ""),
-        _LINES: F.filter(F.split(whole, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")),
-    })
+def words_of(text: str) -> Column:
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), "")
 
 
-def n_words() -> Column:
-    return F.size(_WORDS).cast("bigint")
+def lines_of(text: str) -> Column:
+    """Lines with a word."""
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
 
 
-def word_chars() -> Column:
-    return F.length(F.concat_ws("", F.col(_WORDS))).cast("bigint")
+def n_words(words: Column) -> Column:
+    return F.size(words).cast("bigint")
 
 
-def n_symbols(text: str) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SYMBOLS, "")).cast("bigint")
+def word_chars(words: Column) -> Column:
+    return F.length(F.concat_ws("", words)).cast("bigint")
 
 
-def n_lines() -> Column:
-    return F.size(_LINES).cast("bigint")
+def n_symbols(text: str) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SYMBOLS, "")).cast("bigint")
 
 
-def n_dup_lines() -> Column:
-    return (F.size(_LINES) - F.size(F.array_distinct(_LINES))).cast("bigint")
+def n_dup_lines(lines: Column) -> Column:
+    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
 
 
-def n_repeat_words() -> Column:
+def n_repeat_words(words: Column) -> Column:
     """Words inside 5-word windows that occur twice or more in the text.
 
     Window hashes tell in linear time whether any window can repeat. Only then are windows
     sorted with their text, so that a hash collision cannot count.
     """
-    words = F.col(_WORDS)
     starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
     parts = [lambda i, k=k: F.get(words, i + k) for k in range(WINDOW)]
     hashes = F.transform(starts, lambda i: F.xxhash64(*[p(i) for p in parts]))
@@ -92,20 +87,24 @@ def n_repeat_words() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule rejects where its predicate is true; the predicate is never null."""
+    """A rule rejects where its predicate over the word array is true; the predicate is never null."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Column], Column]
 
 
 def production_rules(text: str = "text") -> list[Rule]:
     """The base rules (few words, repeated windows) and the method's own."""
+
+    def repeated_lines(words: Column) -> Column:
+        return _let(lines_of(text), lambda lines: (n_dup_lines(lines) >= 3) & (10 * n_dup_lines(lines) > 3 * F.size(lines)))
+
     return [
-        Rule("few_words", n_words() < 10),
-        Rule("repeated_windows", 100 * n_repeat_words() > 20 * n_words()),
-        Rule("symbols", 10 * n_symbols(text) > 3 * n_words()),
-        Rule("repeated_lines", (n_dup_lines() >= 3) & (10 * n_dup_lines() > 3 * n_lines())),
-        Rule("letter_spacing", 2 * word_chars() < 3 * n_words()),
+        Rule("few_words", lambda words: n_words(words) < 10),
+        Rule("repeated_windows", lambda words: 100 * n_repeat_words(words) > 20 * n_words(words)),
+        Rule("symbols", lambda words: 10 * n_symbols(text) > 3 * n_words(words)),
+        Rule("repeated_lines", repeated_lines),
+        Rule("letter_spacing", lambda words: 2 * word_chars(words) < 3 * n_words(words)),
     ]
 
 
@@ -124,15 +123,18 @@ def measure(docs: DataFrame, text: str, rules: Sequence[Rule], sample_rows: int
     """Cost above a bare scan, and share of rejected rows, of each rule on a bounded written sample."""
     # Taken from the first partitions, one after another: no shuffle, whatever the table's size.
     rows = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias(text)).head(sample_rows)
-    split = with_words(docs.sparkSession.createDataFrame(rows, f"`{text}` string"), text)
+    split = docs.sparkSession.createDataFrame(rows, f"`{text}` string").withColumn(_WORDS, words_of(text))
 
-    def timed(column: Column) -> tuple[float, int]:
+    def timed(rejects: Callable[[Column], Column]) -> tuple[float, int]:
         begin = time.perf_counter()
-        hit = split.agg(F.count(F.when(column, 1)).alias("n"), F.count(F.when(n_words() >= 0, 1)).alias("m")).first()["n"]
-        return time.perf_counter() - begin, hit
+        seen = split.agg(F.count(F.when(rejects(F.col(_WORDS)), 1)).alias("n"), F.max(F.size(_WORDS)).alias("m")).first()
+        return time.perf_counter() - begin, seen["n"]
+
+    def nothing(words: Column) -> Column:
+        return F.size(words) < 0
 
-    timed(F.lit(True))
-    bare, _ = timed(F.lit(True))
+    timed(nothing)
+    bare, _ = timed(nothing)
     out = []
     for rule in rules:
         seconds, hit = timed(rule.rejects)
@@ -145,32 +147,40 @@ def ordered(rules: Sequence[Rule], stats: Sequence[RuleStats]) -> list[Rule]:
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
-def verdict(rules: Sequence[Rule]) -> Column:
+def verdict(rules: Sequence[Rule], words: Column) -> Column:
     """True for kept documents; later rules are not evaluated once one rejects."""
     kept = F.lit(True)
     for rule in reversed(rules):
-        kept = F.when(rule.rejects, F.lit(False)).otherwise(kept)
+        kept = F.when(rule.rejects(words), F.lit(False)).otherwise(kept)
     return kept
 
 
-def cascade(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None) -> tuple[DataFrame, Column]:
-    """``docs`` with the helper columns, and the verdict in the measured order."""
+def cascade(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None) -> list[Rule]:
+    """The rules in the order measured on a sample of ``docs``."""
     rules = list(rules or production_rules(text))
-    return with_words(docs, text), verdict(ordered(rules, measure(docs, text, rules)))
+    return ordered(rules, measure(docs, text, rules))
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents that no rule rejects, with the columns of ``docs``."""
-    split, kept = cascade(docs, text)
-    return split.filter(kept).select(*docs.columns)
+    """Documents that no rule rejects, with the columns of ``docs``.
+
+    The predicate splits the text itself and binds the words once, so it stays whole wherever
+    the optimiser moves it.
+    """
+    rules = cascade(docs, text)
+    return docs.filter(_let(words_of(text), lambda words: verdict(rules, words)))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the counts, the base verdict and the cascade's verdict."""
-    split, kept = cascade(docs.select(key, text), text)
+    own = docs.select(key, text)
+    rules = cascade(own, text)
+    split = own.withColumn(_WORDS, words_of(text))
+    words = F.col(_WORDS)
     counted = split.select(
-        F.col(key), n_words().alias("n_words"), word_chars().alias("word_chars"), n_symbols(text).alias("n_symbols"),
-        n_dup_lines().alias("n_dup_lines"), n_repeat_words().alias("n_repeat_words"), kept.alias("kept"))
+        F.col(key), n_words(words).alias("n_words"), word_chars(words).alias("word_chars"), n_symbols(text).alias("n_symbols"),
+        _let(lines_of(text), n_dup_lines).alias("n_dup_lines"), n_repeat_words(words).alias("n_repeat_words"),
+        verdict(rules, words).alias("kept"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")

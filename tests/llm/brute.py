@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -19,7 +20,8 @@ def quality(text):
     w = SPACED.findall(text)
     lines = [x for x in text.split("\n") if SPACED.search(x)]
     grams = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
-    hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)}
+    times = Counter(grams)
+    hit = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(5)}
     n = len(w)
     symbols = len(re.findall(r"[#*$%&|<>]", text))
     dup = sum(x in lines[:i] for i, x in enumerate(lines))
