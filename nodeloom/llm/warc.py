@@ -4,7 +4,7 @@ Writing: of pages with equal payloads the one with the largest key is a ``respon
 are ``revisit`` records without the payload. A response's block is an HTTP message whose body is
 in chunked transfer framing; a block beyond ``segment_bytes`` is cut into a first segment and
 ``continuation`` records. Records are written by Spark's text writer with CRLF CRLF as the line
-end, which makes each part file a valid WARC file of at most ``records_per_file`` records.
+end, which makes each part file a valid (gzipped) WARC file of at most ``records_per_file`` records.
 
 Reading: files are parsed record by record. Segments are grouped by origin identifier, ordered by
 segment number, checked to be gapless and of the stated total length, and joined; then the
@@ -19,6 +19,7 @@ are null; an incomplete or damaged record fails the read with a message that nam
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -107,7 +108,8 @@ def records_of(row: str, key: int | None, url: str | None, html: bytes | None, s
 
 
 def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html",
-          segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+          segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, records_per_file: int = RECORDS_PER_FILE,
+          compression: str = "gzip") -> None:
     """Write ``pages`` as WARC files under ``path``, any file system Spark can write to."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"), payload.alias("html"))
@@ -142,7 +144,7 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
     records = tagged.mapInArrow(run, "record binary")
     # The cast keeps the bytes as they are; the text writer copies them and adds the record end.
     (records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode())
-     .option("maxRecordsPerFile", records_per_file).text(path))
+     .option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path))
     shared.drop()
 
 
@@ -158,7 +160,9 @@ _PARTS_ARROW = pa.schema([
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record of a WARC file; header names are lower-cased."""
+    """(headers, block) of every record of a WARC file, gzipped or not; header names are lower-cased."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         if data[at:at + 5] != b"WARC/":

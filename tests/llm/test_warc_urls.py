@@ -44,7 +44,7 @@ def test_round_trip_with_segments_chunks_and_repeats(spark, tmp_path):
 
 def test_damage_is_reported(spark, tmp_path):
     path = tmp_path / "warc"
-    warc.write(pages(spark, [(1, "u", "x" * 5000)]).repartition(1), str(path), segment_bytes=1000)
+    warc.write(pages(spark, [(1, "u", "x" * 5000)]).repartition(1), str(path), segment_bytes=1000, compression="none")
     part = next(p for p in path.glob("part-*") if p.stat().st_size)
     data = part.read_bytes()
     records = re.split(rb"(?=WARC/1\.1\r\n)", data)
@@ -63,7 +63,7 @@ def test_damage_is_reported(spark, tmp_path):
 def test_segments_are_ordered_whatever_the_order_of_records(spark, tmp_path):
     body = "".join(chr(97 + i % 26) for i in range(9000))
     path = tmp_path / "warc"
-    warc.write(pages(spark, [(1, "u", body), (2, "v", body[::-1])]).repartition(1), str(path), segment_bytes=500)
+    warc.write(pages(spark, [(1, "u", body), (2, "v", body[::-1])]).repartition(1), str(path), segment_bytes=500, compression="none")
     out = tmp_path / "mixed"
     out.mkdir()
     records = [r for p in path.glob("part-*") for r in re.split(rb"(?=WARC/1\.1\r\n)", p.read_bytes()) if r]
