@@ -329,6 +329,14 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def cleaned(text: str, spans: list[Span]) -> str:
+    """The masked text; what a mask leaves standing alone (digits beside a masked address, say) is matched again."""
+    while spans:
+        text = masked(text, spans)
+        spans = base_spans(text)
+    return text
+
+
 def _over(docs: DataFrame, text: str, schema: T.StructType, model: Model | None, finish: Callable) -> DataFrame:
     index = docs.columns.index(text)
 
@@ -361,7 +369,7 @@ def mask(docs: DataFrame, text: str = "text", size: str | None = None, model: Mo
         if not any(found):
             return part
         old, columns = part.column(index).to_pylist(), list(part.columns)
-        new = [masked(t, spans) if spans else o for o, t, spans in zip(old, texts, found, strict=True)]
+        new = [cleaned(t, spans) if spans else o for o, t, spans in zip(old, texts, found, strict=True)]
         columns[index] = pa.array(new, part.schema.field(index).type)
         if sized is not None:
             before = part.column(sized).to_pylist()

@@ -19,7 +19,7 @@ def plain(docs, items):
     for i, t in kept:
         first[classes[i][0]] = min(first.get(classes[i][0], (i, t)), (i, t))
     clean = [(i, t) for i, t in first.values() if not brute.contamination(t, items)[3]]
-    return [(i, pii.masked(t, brute.personal(t))) for i, t in clean]
+    return [(i, pii.cleaned(t, brute.personal(t))) for i, t in clean]
 
 
 def test_pipeline_matches_plain_version(spark):

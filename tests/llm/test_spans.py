@@ -157,3 +157,5 @@ def test_mask_changes_text_and_length_only(spark):
     assert [r["n_chars"] for r in got] == [16, 10, None, 13]
     assert pii.mask(table, size="n_chars").columns == table.columns
     assert pii.masked("abcdef", [("ip", 1, 4), ("card", 3, 5)]) == "a[IP]f"
+    beside = "4111111111111111 1.2.3.4"
+    assert [k for k, _, _ in pii.base_spans(beside)] == ["ip"] and pii.cleaned(beside, pii.base_spans(beside)) == "[CARD] [IP]"
