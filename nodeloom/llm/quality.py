@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +23,6 @@ SYMBOLS = "[^#*$%&|<>]+"
 WINDOW = 5
 #: Rows of the sample that costs and rejection rates are measured on.
 SAMPLE_ROWS = 2000
-#: Characters of a sampled text; verdicts always use whole texts.
-SAMPLE_CHARS = 20_000
 _WORDS = "__nl_q_words"
 
 
@@ -85,26 +83,43 @@ def n_repeat_words(words: Column) -> Column:
     return F.when(many & F.when(many, collide).otherwise(False), _let(windows, covered)).otherwise(0).cast("bigint")
 
 
+@dataclass(frozen=True)
+class Counts:
+    """The counts that rules read, as columns: expressions over a text, or columns that hold them."""
+
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    n_lines: Column
+    n_dup_lines: Column
+    n_repeat_words: Column
+
+    @classmethod
+    def of(cls, words: Column, text: str) -> Counts:
+        return cls(n_words(words), word_chars(words), n_symbols(text), F.size(lines_of(text)).cast("bigint"),
+                   _let(lines_of(text), n_dup_lines), n_repeat_words(words))
+
+    @classmethod
+    def stored(cls) -> Counts:
+        return cls(*[F.col(f.name) for f in fields(cls)])
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A rule rejects where its predicate over the word array is true; the predicate is never null."""
+    """A rule rejects where its predicate over the counts is true; the predicate is never null."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Counts], Column]
 
 
-def production_rules(text: str = "text") -> list[Rule]:
+def production_rules() -> list[Rule]:
     """The base rules (few words, repeated windows) and the method's own."""
-
-    def repeated_lines(words: Column) -> Column:
-        return _let(lines_of(text), lambda lines: (n_dup_lines(lines) >= 3) & (10 * n_dup_lines(lines) > 3 * F.size(lines)))
-
     return [
-        Rule("few_words", lambda words: n_words(words) < 10),
-        Rule("repeated_windows", lambda words: 100 * n_repeat_words(words) > 20 * n_words(words)),
-        Rule("symbols", lambda words: 10 * n_symbols(text) > 3 * n_words(words)),
-        Rule("repeated_lines", repeated_lines),
-        Rule("letter_spacing", lambda words: 2 * word_chars(words) < 3 * n_words(words)),
+        Rule("few_words", lambda c: c.n_words < 10),
+        Rule("repeated_windows", lambda c: 100 * c.n_repeat_words > 20 * c.n_words),
+        Rule("symbols", lambda c: 10 * c.n_symbols > 3 * c.n_words),
+        Rule("repeated_lines", lambda c: (c.n_dup_lines >= 3) & (10 * c.n_dup_lines > 3 * c.n_lines)),
+        Rule("letter_spacing", lambda c: 2 * c.word_chars < 3 * c.n_words),
     ]
 
 
@@ -120,25 +135,28 @@ class RuleStats:
 
 
 def measure(docs: DataFrame, text: str, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[RuleStats]:
-    """Cost above a bare scan, and share of rejected rows, of each rule on a bounded written sample."""
-    # Taken from the first partitions, one after another: no shuffle, whatever the table's size.
-    rows = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias(text)).head(sample_rows)
-    split = docs.sparkSession.createDataFrame(rows, f"`{text}` string").withColumn(_WORDS, words_of(text))
+    """Cost above a bare split, and share of rejected rows, of each rule on a bounded sample.
+
+    The sample is what the first partitions hold, read one after another until there are enough
+    rows: no shuffle and no scan of the table, whatever its size.
+    """
+    split = docs.select(F.col(text)).withColumn(_WORDS, words_of(text))
+    counts = Counts.of(F.col(_WORDS), text)
 
-    def timed(rejects: Callable[[Column], Column]) -> tuple[float, int]:
+    def timed(rejects: Callable[[Counts], Column]) -> tuple[float, float]:
         begin = time.perf_counter()
-        seen = split.agg(F.count(F.when(rejects(F.col(_WORDS)), 1)).alias("n"), F.max(F.size(_WORDS)).alias("m")).first()
-        return time.perf_counter() - begin, seen["n"]
+        rows = split.select(rejects(counts).alias("hit"), F.size(_WORDS).alias("n")).head(sample_rows)
+        return time.perf_counter() - begin, sum(r["hit"] for r in rows) / max(len(rows), 1)
 
-    def nothing(words: Column) -> Column:
-        return F.size(words) < 0
+    def nothing(c: Counts) -> Column:
+        return c.n_words < 0
 
     timed(nothing)
     bare, _ = timed(nothing)
     out = []
     for rule in rules:
-        seconds, hit = timed(rule.rejects)
-        out.append(RuleStats(rule.name, max(seconds - bare, 1e-4), hit / max(len(rows), 1)))
+        seconds, share = timed(rule.rejects)
+        out.append(RuleStats(rule.name, max(seconds - bare, 1e-4), share))
     return out
 
 
@@ -147,17 +165,17 @@ def ordered(rules: Sequence[Rule], stats: Sequence[RuleStats]) -> list[Rule]:
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
-def verdict(rules: Sequence[Rule], words: Column) -> Column:
+def verdict(rules: Sequence[Rule], counts: Counts) -> Column:
     """True for kept documents; later rules are not evaluated once one rejects."""
     kept = F.lit(True)
     for rule in reversed(rules):
-        kept = F.when(rule.rejects(words), F.lit(False)).otherwise(kept)
+        kept = F.when(rule.rejects(counts), F.lit(False)).otherwise(kept)
     return kept
 
 
 def cascade(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None) -> list[Rule]:
     """The rules in the order measured on a sample of ``docs``."""
-    rules = list(rules or production_rules(text))
+    rules = list(rules or production_rules())
     return ordered(rules, measure(docs, text, rules))
 
 
@@ -165,22 +183,24 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents that no rule rejects, with the columns of ``docs``.
 
     The predicate splits the text itself and binds the words once, so it stays whole wherever
-    the optimiser moves it.
+    the optimiser moves it, and a count is made only when the cascade reaches its rule.
     """
     rules = cascade(docs, text)
-    return docs.filter(_let(words_of(text), lambda words: verdict(rules, words)))
+    return docs.filter(_let(words_of(text), lambda words: verdict(rules, Counts.of(words, text))))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: the counts, the base verdict and the cascade's verdict."""
-    own = docs.select(key, text)
-    rules = cascade(own, text)
-    split = own.withColumn(_WORDS, words_of(text))
-    words = F.col(_WORDS)
-    counted = split.select(
-        F.col(key), n_words(words).alias("n_words"), word_chars(words).alias("word_chars"), n_symbols(text).alias("n_symbols"),
-        _let(lines_of(text), n_dup_lines).alias("n_dup_lines"), n_repeat_words(words).alias("n_repeat_words"),
-        verdict(rules, words).alias("kept"))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    """One row per document: the counts, the base verdict and the cascade's verdict.
+
+    All counts are returned here, so the cascade reads the columns that hold them.
+    """
+    own = docs.select(F.col(key).alias("__nl_q_key"), F.col(text).alias("__nl_q_text"))
+    rules = cascade(own, "__nl_q_text")
+    counts = Counts.of(F.col(_WORDS), "__nl_q_text")
+    counted = own.withColumn(_WORDS, words_of("__nl_q_text")).select(
+        F.col("__nl_q_key").alias(key), *[getattr(counts, f.name).alias(f.name) for f in fields(Counts)])
+    held = Counts.stored()
+    failed = (held.n_words < 10) | (100 * held.n_repeat_words > 20 * held.n_words)
     return counted.select(
-        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        verdict(rules, held).alias("kept"))

@@ -73,8 +73,8 @@ def test_quality_keeps_columns_with_clashing_names(spark):
 def test_order_never_changes_a_verdict(spark):
     docs = table(spark, TEXTS).withColumn("w", quality.words_of("text"))
     rules = quality.production_rules()
-    a = docs.select("n_words", quality.verdict(rules, docs["w"]).alias("k")).collect()
-    b = docs.select("n_words", quality.verdict(rules[::-1], docs["w"]).alias("k")).collect()
+    a = docs.select("n_words", quality.verdict(rules, quality.Counts.of(docs["w"], "text")).alias("k")).collect()
+    b = docs.select("n_words", quality.verdict(rules[::-1], quality.Counts.of(docs["w"], "text")).alias("k")).collect()
     assert a == b
     stats = [quality.RuleStats("few_words", 0.1, 0.0), quality.RuleStats("symbols", 0.1, 0.5), quality.RuleStats("repeated_windows", 2.0, 0.5),
              quality.RuleStats("repeated_lines", 0.2, 0.5), quality.RuleStats("letter_spacing", 0.1, 0.1)]
