@@ -18,6 +18,7 @@ they are, row by row; other columns are dropped; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections import deque
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ LONG_STRETCH, FORCED_STEP = 256, 64
 #: Penalties of a cut, in tokens of padding: at a sentence end, inside a sentence.
 SENTENCE_CUT, FORCED_CUT = 4, 32
 #: Words the tokenizer cache holds (about 170 bytes each); it starts anew beyond.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_200_000
 CACHED_CHARS = 64
 
 
@@ -50,6 +51,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Words of Latin letters, digits and marks (no apostrophe, no odd white space, no superscript digit): the tokenizer
+#: lower-cases them and splits them into runs of letters, single digits and runs of marks.
+_PLAIN = re.compile(r"[!-&(-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u00ff]+")
+_PARTS = re.compile(r"[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids of a word, as bytes; filled on demand."""
 
@@ -80,15 +87,13 @@ class WordIds(dict):
             return self.encode(word)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if word.isascii() or max(word) <= "\xff":  # plain Latin: lower case and composition are simple
+        if _PLAIN.fullmatch(word):
             if (lower := word.lower()) != word:
                 found = self[lower]
-            elif word.isalpha():
-                found = self.encode_letters(word)
-            elif word[-1:] in (".", ",") and word[:-1].isalpha():  # a mark after letters is a token of its own
-                found = self[word[:-1]] + self[word[-1]]
+            elif len(parts := _PARTS.findall(word)) > 1:
+                found = b"".join(map(self.__getitem__, parts))
             else:
-                found = self.encode(word)
+                found = self.encode_letters(word) if word.isalpha() else self.encode(word)
         else:
             found = self.encode(word)
         self[word] = found
