@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from nodeloom.plans.components import components
 from nodeloom.plans.skew import SpreadTable, spread
 from nodeloom.plans.store import Saved, materialize, save
 
@@ -18,7 +19,6 @@ from nodeloom.plans.store import Saved, materialize, save
 def propagate_min(
     edges: SpreadTable, start: DataFrame, message: Callable[[], Column], *,
     group: list[str] | None = None, max_rounds: int | None = None,
-    shortcut: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Spread minima along edges until nothing changes.
 
@@ -37,10 +37,9 @@ def propagate_min(
         )
         merged = rows.groupBy(*keys).agg(F.min("val").alias("val"), F.min("_old").alias("_old"))
         merged = merged.select(*keys, "val", (F.col("_old").isNull() | (F.col("val") < F.col("_old"))).alias("fell"))
-        if shortcut is not None:
-            merged = shortcut(merged)
-        following = save(merged, "state")
-        moved = following.df.filter("fell").count()
+        seen = Observation()
+        following = save(merged.observe(seen, F.count_if("fell").alias("moved")), "state")
+        moved = seen.get["moved"]
         state.drop()
         state, rounds = following, rounds + 1
     return state.df.drop("fell")
@@ -66,25 +65,15 @@ def sssp(edges_w: DataFrame, roots: DataFrame, weight: str = "w") -> DataFrame:
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node_id, comp): the least node id of the undirected component.
 
-    Labels travel along edges; after each round every label is replaced by its own label's
-    label, which halves long chains. Only labels that moved enter that join.
+    Found by contraction (:mod:`nodeloom.plans.components`): no join has a label as its key,
+    so a giant component never meets in one task.
     """
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = materialize(edges.select("src", "dst").unionByName(back).distinct(), "both")
-    ids = both.select(F.col("src").alias("node_id"))
+    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    ids = edges.select(F.col("src").alias("node_id")).unionByName(edges.select(F.col("dst").alias("node_id")))
     if nodes is not None:
         ids = ids.unionByName(nodes.select("node_id"))
-    start = ids.distinct().select("node_id", F.col("node_id").alias("val"))
-
-    def jump(merged: DataFrame) -> DataFrame:
-        now = materialize(merged, "hook")
-        moved = now.filter("val < node_id").select(F.col("node_id").alias("val"), F.col("val").alias("_to"))
-        roots = now.select("val").distinct().join(moved, "val")
-        return now.join(roots, "val", "left").select(
-            "node_id", F.coalesce("_to", "val").alias("val"), (F.col("fell") | F.col("_to").isNotNull()).alias("fell")
-        )
-
-    return propagate_min(spread(both, "src"), start, lambda: F.col("val"), shortcut=jump).withColumnRenamed("val", "comp")
+    found = components(pairs).df.withColumnRenamed("node", "node_id")
+    return ids.distinct().join(found, "node_id", "left").select("node_id", F.coalesce("label", "node_id").alias("comp"))
 
 
 def pagerank(

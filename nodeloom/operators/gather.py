@@ -11,20 +11,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.operators.ordering import top_nodes
-from nodeloom.plans.store import broadcast_if_small, materialize
+from nodeloom.plans.store import materialize
 
+_FOUND = "_found"
 
-def _require(df: DataFrame, column: str, what: str, key: str = "node_id") -> DataFrame:
-    """Fail the job when an index entry found no row."""
-    error = F.raise_error(F.concat(F.lit(f"no {what} for "), F.col(key).cast("string")))
-    return df.withColumn(column, F.coalesce(F.col(column), error))
+
+def _found(df: DataFrame, key: str = "node_id") -> DataFrame:
+    """``df`` with the marker :func:`require` looks for after a left join."""
+    return df.withColumn(_FOUND, F.col(key))
+
+
+def require(df: DataFrame, what: str, key: str = "node_id") -> DataFrame:
+    """Fail the job when an index entry found no row.
+
+    The check is a filter on the marker, so it runs whichever columns are read afterwards.
+    """
+    error = F.raise_error(F.concat(F.lit(f"no {what} for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return df.filter(F.when(F.col(_FOUND).isNull(), error).otherwise(F.lit(True))).drop(_FOUND)
 
 
 def gather_features(index: DataFrame, features: DataFrame, key_off: int = 0) -> DataFrame:
     """feat[index + key_off] for every index row; a missing row is an error."""
     if key_off:
         features = features.withColumn("node_id", F.col("node_id") - F.lit(key_off))
-    return _require(index.join(features.select("node_id", "feat"), "node_id", "left"), "feat", "feature row")
+    return require(index.join(_found(features.select("node_id", "feat")), "node_id", "left"), "feature row")
 
 
 def encode_type_offset(ids: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -49,15 +59,16 @@ def gather_features_hetero(index: DataFrame, features: DataFrame, offsets: DataF
     """Typed ids against one global feature table (node_id = global row)."""
     rows = encode_type_offset(index, offsets)
     wide = features.select(F.col("node_id").alias("row_id"), "feat")
-    return _require(rows.join(wide, "row_id", "left"), "feat", "feature row", "row_id")
+    return require(rows.join(_found(wide, "row_id"), "row_id", "left"), "feature row", "row_id")
 
 
 def gather_batches(batches: DataFrame, features: DataFrame) -> DataFrame:
-    """Many mini-batches in one pass. Only rows some batch asks for are shuffled: the wide
-    side is first cut to the distinct ids, and the join reuses that partitioning."""
+    """Many mini-batches in one pass. The wide side is first cut to the distinct ids some batch
+    asks for and written; both sides of the join are then shuffled for it alone, so that a
+    node which is in every batch can be split."""
     wanted = batches.select("node_id").distinct()
-    needed = features.select("node_id", "feat").join(wanted, "node_id", "left_semi")
-    return _require(batches.join(needed, "node_id", "left"), "feat", "feature row")
+    needed = materialize(features.select("node_id", "feat").join(wanted, "node_id", "left_semi"), "needed")
+    return require(batches.join(_found(needed), "node_id", "left"), "feature row")
 
 
 def pin_features(features: DataFrame, ranking: DataFrame, share: float) -> DataFrame:
@@ -66,31 +77,32 @@ def pin_features(features: DataFrame, ranking: DataFrame, share: float) -> DataF
     return features.select("node_id", "feat").join(hot.select("node_id"), "node_id")
 
 
-def tag_tier(index: DataFrame, pinned: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Which tier serves each index row: ``pinned`` or ``storage``."""
+def tag_tier(index: DataFrame, pinned: DataFrame) -> DataFrame:
+    """Which tier serves each index row: ``pinned`` or ``storage``.
+
+    Spark broadcasts the pinned ids while their measured bytes are below its threshold.
+    """
     ids = pinned.select("node_id", F.lit("pinned").alias("tier"))
-    return index.join(broadcast_if_small(ids, max_rows), "node_id", "left").withColumn(
-        "tier", F.coalesce("tier", F.lit("storage"))
-    )
+    return index.join(ids, "node_id", "left").withColumn("tier", F.coalesce("tier", F.lit("storage")))
 
 
-def gather_tiered(index: DataFrame, features: DataFrame, pinned: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def gather_tiered(index: DataFrame, features: DataFrame, pinned: DataFrame) -> DataFrame:
     """Same rows as a plain gather plus the serving tier.
 
-    ``pinned`` is (node_id, feat). Hot rows come from it, by broadcast while it is small;
-    the others take the shuffle join, which thereby loses its hottest keys.
+    ``pinned`` is (node_id, feat). Rows of pinned nodes take their vector from it, by broadcast
+    while Spark measures it below its threshold; the others take the shuffle join, which
+    thereby loses its hottest keys.
     """
-    tagged = tag_tier(index, pinned)
-    hot = broadcast_if_small(pinned.select("node_id", "feat"), max_rows)
-    near = tagged.filter("tier = 'pinned'").join(hot, "node_id")
-    far = tagged.filter("tier = 'storage'").join(features.select("node_id", "feat"), "node_id", "left")
-    return near.unionByName(_require(far, "feat", "feature row"))
+    near = index.join(pinned.select("node_id", "feat"), "node_id").withColumn("tier", F.lit("pinned"))
+    far = index.join(pinned.select("node_id"), "node_id", "left_anti").withColumn("tier", F.lit("storage"))
+    far = require(far.join(_found(features.select("node_id", "feat")), "node_id", "left"), "feature row")
+    return near.unionByName(far)
 
 
 def remap_ids(index: DataFrame, layout: DataFrame) -> DataFrame:
     """Position of every index row in a layout; a replicated node maps to its first slot."""
-    first = layout.groupBy("node_id").agg(F.min("pos").alias("slot"))
-    return _require(index.join(first, "node_id", "left"), "slot", "layout slot")
+    first = materialize(layout.groupBy("node_id").agg(F.min("pos").alias("slot")), "slots")
+    return require(index.join(_found(first), "node_id", "left"), "layout slot")
 
 
 def block_to_global(block_edges: DataFrame, src_nodes: DataFrame, dst_nodes: DataFrame) -> DataFrame:

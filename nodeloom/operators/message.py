@@ -1,7 +1,7 @@
 """Message passing as joins and aggregations, and the data steps of graph learning.
 
-Vectors are ``array<float|double>`` columns. Sums and means of vectors use Spark's vector
-summarizer, which combines inside each task first: a hub sends one partial vector per task.
+Vectors are ``array<float|double>`` columns. Sums and means of vectors are combined inside each
+task first: a hub sends one partial vector per task.
 ``by`` names extra key columns (for example ``batch_id``) that separate independent graphs.
 """
 
@@ -12,8 +12,7 @@ from functools import reduce as fold
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,31 +70,27 @@ def _vector(col: str) -> Column:
     return array_to_vector(F.col(col).cast("array<double>"))
 
 
-MAX_COLUMNS = 128  # widest vector summed as plain columns; generated code grows with it
+CHUNK = 64  # entries of a vector that are summed as the columns of one row
 
 
-def _width(df: DataFrame, col: str = "feat") -> int:
-    """Length of the vectors, from one row."""
-    row = df.select(F.size(col)).first()
-    return row[0] if row else 0
+def _vector_sum(df: DataFrame, keys: Sequence[str | Column], col: str, metric: str = "sum") -> DataFrame:
+    """Element-wise sum or mean per key as ``_out``, the same way for every width.
 
-
-def _vector_sum(df: DataFrame, keys: Sequence[str | Column], col: str, weight: Column | None = None,
-                metric: str = "sum", width: int = 0) -> DataFrame:
-    """Element-wise sum or mean per key as ``_out``. Up to :data:`MAX_COLUMNS` entries are
-    summed as columns in generated code, longer vectors by the vector summarizer."""
-    if 0 < width <= MAX_COLUMNS:
-        entry = lambda i: F.col(col)[i].cast("double") if weight is None else F.col(col)[i] * weight
-        sums = df.groupBy(*keys).agg(*[F.sum(entry(i)).alias(f"_c{i}") for i in range(width)], F.count(F.lit(1)).alias("_n"))
-        parts = [F.col(f"_c{i}") / F.col("_n") if metric == "mean" else F.col(f"_c{i}") for i in range(width)]
-        kept = [c for c in sums.columns if not c.startswith("_c") and c != "_n"]
-        return sums.select(*kept, F.array(*parts).alias("_out"))
-    df = df.withColumn("_v", _vector(col))
-    if weight is not None:
-        df = df.withColumn("_w", weight)
-    args = [F.col("_v")] if weight is None else [F.col("_v"), F.col("_w")]
-    summary = Summarizer.metrics(metric).summary(*args)
-    return df.groupBy(*keys).agg(summary.alias("_s")).select("*", vector_to_array(F.col(f"_s.{metric}")).alias("_out")).drop("_s")
+    Vectors are cut into rows of :data:`CHUNK` entries. The entries of a row are summed as columns in
+    generated code, combined inside each task first; then the chunks of a key are put together.
+    """
+    keyed = df.select(*keys, F.col(col).alias("_v"))
+    names = keyed.columns[:-1]
+    last = F.greatest(F.ceil(F.size("_v") / F.lit(CHUNK)).cast("int") - 1, F.lit(0))
+    rows = keyed.withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select(*names, "_i", F.slice("_v", F.col("_i") * CHUNK + 1, F.lit(CHUNK)).alias("_v"))
+    sums = rows.groupBy(*names, "_i").agg(
+        *[F.sum(F.get("_v", F.lit(j)).cast("double")).alias(f"_c{j}") for j in range(CHUNK)],
+        F.max(F.size("_v")).alias("_k"), F.count(F.lit(1)).alias("_n"))
+    entries = [F.col(f"_c{j}") / F.col("_n") if metric == "mean" else F.col(f"_c{j}") for j in range(CHUNK)]
+    chunk = F.struct("_i", F.slice(F.array(*entries), F.lit(1), F.col("_k")).alias("_v"))
+    whole = sums.select(*names, chunk.alias("_p")).groupBy(*names).agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    return whole.select(*names, F.flatten(F.transform("_p", lambda p: p["_v"])).alias("_out"))
 
 
 def _send(edges: DataFrame, feat: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -113,7 +108,7 @@ def aggregate_mean(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None =
     ``nodes`` limits the output to the destinations asked for.
     """
     by = list(by)
-    means = _vector_sum(_send(edges, feat, by), [*by, F.col("dst").alias("node_id")], "feat", metric="mean", width=_width(feat))
+    means = _vector_sum(_send(edges, feat, by), [*by, F.col("dst").alias("node_id")], "feat", "mean")
     own = feat if nodes is None else feat.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     joined = own.select(*by, "node_id", "feat").join(means, [*by, "node_id"], "left")
     return joined.select(*by, "node_id", "feat", F.coalesce("_out", _zeros_like("feat")).alias("neigh"))
@@ -125,9 +120,11 @@ def aggregate_gcn(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None = N
     by = list(by)
     out_deg = edges.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("_od"))
     in_deg = edges.groupBy(*by, F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_id"))
-    scaled = _send(edges, feat, by).join(out_deg, [*by, "src"])
-    sums = _vector_sum(scaled, [*by, F.col("dst").alias("node_id")], "feat", weight=1 / F.sqrt(F.col("_od").cast("double")),
-                       width=_width(feat))
+    # The degree goes onto the node table, so the edges are joined once, against a written table.
+    norm = F.sqrt(F.col("_od").cast("double"))
+    scaled = feat.join(out_deg.withColumnRenamed("src", "node_id"), [*by, "node_id"])
+    scaled = materialize(scaled.select(*by, "node_id", F.transform("feat", lambda x: x / norm).alias("feat")), "scaled")
+    sums = _vector_sum(_send(edges, scaled, by), [*by, F.col("dst").alias("node_id")], "feat")
     sums = sums.join(in_deg, [*by, "node_id"]).withColumn("_n", F.sqrt(F.col("_id").cast("double")))
     sums = sums.select(*by, "node_id", F.transform("_out", lambda x: x / F.col("_n")).alias("_out"))
     own = feat if nodes is None else feat.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
@@ -144,21 +141,22 @@ def aggregate_sage_gcn(edges: DataFrame, feat: DataFrame, nodes: DataFrame | Non
     if nodes is not None:
         sent = sent.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     rows = sent.unionByName(own.select(*by, "node_id", "feat"))
-    return _vector_sum(rows, [*by, "node_id"], "feat", metric="mean", width=_width(feat)).withColumnRenamed("_out", "neigh")
+    return _vector_sum(rows, [*by, "node_id"], "feat", "mean").withColumnRenamed("_out", "neigh")
 
 
 def edge_softmax(edges: DataFrame, logits: Sequence[str] = ("logit",), by: Sequence[str] = ()) -> DataFrame:
     """Adds one ``alpha_<logit>`` per logit column: softmax over the edges entering each dst.
 
-    Aggregations and joins instead of a window per dst, so a hub is never one task's group.
+    Maxima and sums per dst are aggregated (combined inside each task first) and written before they
+    are joined back: a join splits a hub only when both of its sides are shuffled for it.
     """
-    keys = [*by, "dst"]
-    tops = edges.groupBy(*keys).agg(*[F.max(c).alias(f"_m_{c}") for c in logits])
-    shifted = edges.join(tops, keys).select(*edges.columns, *[F.exp(F.col(c) - F.col(f"_m_{c}")).alias(f"_p_{c}") for c in logits])
-    sums = shifted.groupBy(*keys).agg(*[F.sum(f"_p_{c}").alias(f"_z_{c}") for c in logits])
-    return shifted.join(sums, keys).select(
-        *edges.columns, *[(F.col(f"_p_{c}") / F.col(f"_z_{c}")).alias(f"alpha_{c}") for c in logits]
-    )
+    keys, held = [*by, "dst"], materialize(edges, "logits")
+    tops = materialize(held.groupBy(*keys).agg(*[F.max(c).alias(f"_m_{c}") for c in logits]), "tops")
+    part = lambda c: F.exp(F.col(c) - F.col(f"_m_{c}"))
+    shifted = held.join(tops, keys)
+    sums = materialize(shifted.groupBy(*keys).agg(
+        *[F.max(f"_m_{c}").alias(f"_m_{c}") for c in logits], *[F.sum(part(c)).alias(f"_z_{c}") for c in logits]), "sums")
+    return held.join(sums, keys).select(*edges.columns, *[(part(c) / F.col(f"_z_{c}")).alias(f"alpha_{c}") for c in logits])
 
 
 def attention_logits(edges: DataFrame, score_u: DataFrame, score_v: DataFrame, heads: int = 1, slope: float = 0.2,
@@ -189,7 +187,7 @@ def aggregate_attention(edges: DataFrame, z: DataFrame, heads: int = 1, by: Sequ
     sent = _send(alphas, z, by)
     width = F.size("feat") / F.lit(heads)
     scaled = F.transform("feat", lambda x, i: x * F.element_at("_a", F.floor(i / width).cast("int") + 1))
-    sums = _vector_sum(sent.withColumn("_f", scaled), [*by, F.col("dst").alias("node_id")], "_f", width=_width(z))
+    sums = _vector_sum(sent.withColumn("_f", scaled), [*by, F.col("dst").alias("node_id")], "_f")
     return sums.withColumnRenamed("_out", "neigh")
 
 
@@ -261,7 +259,7 @@ def _sage(edges: DataFrame, feat: DataFrame, nodes: DataFrame, w: Mapping[str, n
     both = dense(feat.select(*by, "node_id", "feat"), {"feat": np.hstack([w["neigh"], w["self"]])}, out="z")
     both = materialize(both, "project")
     sent = _send(edges, both.select(*by, "node_id", F.slice("z", 1, cols).alias("feat")), by)
-    means = _vector_sum(sent, [*by, F.col("dst").alias("node_id")], "feat", metric="mean", width=cols)
+    means = _vector_sum(sent, [*by, F.col("dst").alias("node_id")], "feat", "mean")
     own = both.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     own = own.select(*by, "node_id", F.slice("z", cols + 1, cols).alias("own")).join(means, [*by, "node_id"], "left")
     total = F.zip_with("own", F.coalesce("_out", _zeros_like("own")), lambda a, b: a + b)
@@ -297,11 +295,12 @@ def conv(kind: str, edges: DataFrame, feat: DataFrame, nodes: DataFrame, w: Mapp
     out = nodes.select(*by, "node_id").join(sums, [*by, "node_id"], "left")
     zeros = F.array(*[F.lit(0.0)] * (heads * width))
     out = out.select(*by, "node_id", F.coalesce("neigh", zeros).alias("x"))
-    mix = np.eye(heads * width)
+    vec = F.col("x")
     if last:
-        mix = np.vstack([np.eye(width)] * heads) / heads
+        mean = lambda i: fold(lambda a, b: a + b, [F.col("x")[i + h * width] for h in range(heads)]) / F.lit(heads)
+        vec = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), mean)
         bias = None if bias is None else np.asarray(bias).reshape(heads, width).mean(0)
-    return dense(out, {"x": mix}, bias, act, "feat")
+    return out.select(*by, "node_id", _finish(vec, bias, act).alias("feat"))
 
 
 def gnn_infer(blocks: Sequence[DataFrame], feat: DataFrame, weights: Sequence[Mapping[str, np.ndarray]], kind: str,
@@ -344,7 +343,7 @@ def gnn_infer_hetero(typed_edges: DataFrame, feat: DataFrame, weights: Sequence[
     h = feat
     for i, layer in enumerate(weights):
         stacked = materialize(_relational_layer(inner, typed_edges, h, sorted(kinds), layer), "relations")
-        h = _vector_sum(stacked, ["ntype", "node_id"], "feat", metric=metric, width=_width(stacked)).withColumnRenamed("_out", "feat")
+        h = _vector_sum(stacked, ["ntype", "node_id"], "feat", metric).withColumnRenamed("_out", "feat")
         act = "relu" if i + 1 < len(weights) else None
         h = materialize(h.withColumn("feat", _finish(F.col("feat"), None, act)), "relational")
     head = dense(h.filter(F.col("ntype") == target).select("node_id", "feat"), {"feat": linear[0]}, linear[1], out="logits")

@@ -9,7 +9,7 @@ from nodeloom.functions.hashing import digest
 from nodeloom.operators.stats import low_degree_candidates
 from nodeloom.plans.scan import global_rank, hash_rank
 
-SMALL_TOP = 10_000  # up to here a per-partition heap and one final merge is cheapest
+SMALL_TOP = 10_000  # default of ``small``: up to here a per-partition heap and one final merge is cheapest
 
 
 def sort_edges(edges: DataFrame) -> DataFrame:
@@ -18,16 +18,16 @@ def sort_edges(edges: DataFrame) -> DataFrame:
 
 
 def top_nodes(scores: DataFrame, k: int | None = None, share: float | None = None,
-              score: str = "score") -> DataFrame:
+              score: str = "score", small: int | None = None) -> DataFrame:
     """The first ``k`` nodes (or ``int(N * share)``) by descending score, ties by id, with rank.
 
-    A small k is a heap per partition; a large one is a distributed rank and a filter, as
-    merging it would pull all winners through one task.
+    A k up to ``small`` is a heap per partition; a larger one is a distributed rank and a filter,
+    as merging it would pull all winners through one task. Both give the same rows.
     """
     if k is None:
         k = int(scores.count() * share)
     order = [F.col(score).desc(), F.col("node_id").asc()]
-    if k <= SMALL_TOP:
+    if k <= (SMALL_TOP if small is None else small):
         scores = scores.orderBy(*order).limit(k)
     return global_rank(scores, order).filter(F.col("rank") < k)
 

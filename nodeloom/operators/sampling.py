@@ -8,7 +8,7 @@ its index rows are spread by (dst, ord).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,8 +19,6 @@ from nodeloom.functions.hashing import digest, hash_long, pick_ordinals, uniform
 from nodeloom.plans.scan import grouped_rank, prefix_scan, top_k_per_group
 from nodeloom.plans.store import bucket_count, materialize, save, save_bucketed
 
-Sampler = Callable[..., "tuple[DataFrame, DataFrame]"]
-
 
 @dataclass
 class EdgeIndex:
@@ -144,7 +142,7 @@ def sample_group_neighbors(
 def edge_weights_by_dst(edges: DataFrame, weight: str | None = None) -> DataFrame:
     """w = 1 / (sum of the weights entering dst); unit weights by default."""
     value = F.col(weight).cast("double") if weight else F.lit(1.0)
-    sums = edges.groupBy("dst").agg((F.lit(1.0) / F.sum(value)).alias("w"))
+    sums = materialize(edges.groupBy("dst").agg((F.lit(1.0) / F.sum(value)).alias("w")), "weights")
     return edges.select("src", "dst").join(sums, "dst").select("src", "dst", "w")
 
 
@@ -219,9 +217,10 @@ def layer_block(edges_w: DataFrame, picked: DataFrame, seeds: DataFrame) -> Data
     kept = edges_w.join(seeds.select("batch_id", F.col("node_id").alias("dst")), "dst")
     chosen = picked.select("batch_id", F.col("node_id").alias("src"), "prob").distinct()
     kept = kept.join(chosen, ["batch_id", "src"])
-    kept = kept.select("batch_id", "src", "dst", (F.col("w") / F.col("prob")).alias("_t"))
+    # Written, as is the sum: a join splits a hub only when both of its sides are shuffled for it.
+    kept = materialize(kept.select("batch_id", "src", "dst", (F.col("w") / F.col("prob")).alias("_t")), "kept")
     sums = kept.groupBy("batch_id", "dst").agg((F.count(F.lit(1)) / F.sum("_t")).alias("_scale"))
-    return kept.join(sums, ["batch_id", "dst"]).select(
+    return kept.join(materialize(sums, "scales"), ["batch_id", "dst"]).select(
         "batch_id", "src", "dst", (F.col("_t") * F.col("_scale")).alias("w")
     )
 

@@ -77,12 +77,22 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> Da
     return ranked.withColumn(out, (F.col("_off") + F.col("_pos")).cast("bigint")).select(*df.columns, out)
 
 
-def hash_rank(df: DataFrame, hex_col: str, tie: str, out: str = "rank", digits: int = 3) -> DataFrame:
+def block_digits(rows: int, block: int = BLOCK) -> int:
+    """Leading hex digits that cut ``rows`` uniform digests into blocks of at most about ``block``."""
+    digits = 2
+    while rows > block * 16 ** digits:
+        digits += 1
+    return digits
+
+
+def hash_rank(df: DataFrame, hex_col: str, tie: str, out: str = "rank", digits: int | None = None) -> DataFrame:
     """0-based rank by a uniform hex digest, ties by ``tie``; no sampling, no written table.
 
     The leading ``digits`` hex digits are the block: uniform by construction, so blocks
-    are even. Raise ``digits`` with the data (4 gives 65,536 blocks).
+    are even. Their number follows from the row count unless it is given.
     """
+    if digits is None:
+        digits = block_digits(df.count())
     block = F.conv(F.substring(F.col(hex_col), 1, digits), 16, 10).cast("bigint")
     cut = df.withColumn("_blk", block)
     sums = cut.groupBy("_blk").agg(F.count(F.lit(1)).alias("_n"))
@@ -132,11 +142,13 @@ def top_k_per_group(
     """First ``k`` rows per group (1-based ``out``).
 
     For k up to 1000 Spark itself keeps only k rows per key before the exchange
-    (WindowGroupLimit). For larger k a salted first pass does the same by hand.
+    (WindowGroupLimit). For larger k a salted first pass does the same by hand, with fewer
+    salts the larger k is, so that the second pass meets a bounded number of rows.
     """
     keys = list(keys)
     if k > 1000:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
+        salts = max(2, min(64, 1_000_000 // k))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
         first = W.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r", "_salt")
     ranked = df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -14,7 +14,8 @@ from nodeloom.plans.store import Saved, bucket_count, save, save_bucketed
 class SpreadTable:
     """A written table whose hot keys are cut into salted shares.
 
-    ``hot`` maps a hot key to its number of shares and is None when no key is hot.
+    ``hot`` maps a hot key to its number of shares and is None when no key is hot. Spark's own
+    threshold decides whether the map is broadcast.
     """
 
     saved: Saved
@@ -26,19 +27,23 @@ class SpreadTable:
         if self.hot is None:
             return self.saved.df.join(other, self.key)
         shares = F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)
-        spread = other.join(F.broadcast(self.hot), self.key, "left").withColumn("_salt", F.explode(shares))
+        spread = other.join(self.hot, self.key, "left").withColumn("_salt", F.explode(shares))
         return self.saved.df.join(spread.drop("_shares"), [self.key, "_salt"]).drop("_salt")
 
 
-def spread(df: DataFrame, key: str, *, shares: int = 256, min_rows: int = 1_000_000) -> SpreadTable:
-    """Write ``df`` once for many joins on ``key``, every key above ``total / shares`` rows cut up.
+#: Rows of one key a single task should read at most.
+KEY_ROWS = 1_000_000
 
-    At most ``shares`` keys can be that large, which bounds the broadcast map. Keys below
-    ``min_rows`` are never worth cutting. A large table is written in buckets of its join
+
+def spread(df: DataFrame, key: str, *, key_rows: int = KEY_ROWS) -> SpreadTable:
+    """Write ``df`` once for many joins on ``key``, every key above ``key_rows`` rows cut up.
+
+    The limit is what one task should read, whatever the size of the table; the map of hot keys
+    has at most total / ``key_rows`` rows. A large table is written in buckets of its join
     columns, so the rounds that follow never shuffle it again.
     """
     plain = save(df, "edges")
-    limit = max(plain.rows // shares, min_rows)
+    limit = key_rows
     buckets = bucket_count(df.sparkSession, plain.rows)
     hot = _hot_keys(plain.df, key, limit) if plain.rows >= limit else None
     if hot is None and not buckets:
@@ -47,7 +52,7 @@ def spread(df: DataFrame, key: str, *, shares: int = 256, min_rows: int = 1_000_
     if hot is not None:
         others = [c for c in df.columns if c != key]
         salt = F.pmod(F.xxhash64(*others), F.coalesce("_shares", F.lit(1)).cast("bigint")).cast("int")
-        table = table.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_shares")
+        table = table.join(hot, key, "left").withColumn("_salt", salt).drop("_shares")
         keys = [key, "_salt"]
     spreaded = save_bucketed(table, "spread", keys, buckets) if buckets else save(table, "spread")
     plain.drop()

@@ -46,10 +46,13 @@ class Saved:
     df: DataFrame
     rows: int
     path: str
+    table: str | None = None
 
     def drop(self) -> None:
-        """Delete the files; call only when nothing lazy still reads them."""
+        """Delete the files and the catalog entry; call only when nothing lazy still reads them."""
         spark = self.df.sparkSession
+        if self.table:
+            spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(self.path)
         conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -66,6 +69,9 @@ def save(df: DataFrame, name: str = "table") -> Saved:
 
 
 ROWS_PER_BUCKET = 8_000_000
+#: Spark refuses more than 100,000 buckets; beyond this many they grow in size instead, and a
+#: bucket is still a bounded share of the table.
+MAX_BUCKETS = 65_536
 
 
 def bucket_count(spark: SparkSession, rows: int) -> int:
@@ -75,7 +81,8 @@ def bucket_count(spark: SparkSession, rows: int) -> int:
     """
     if rows < 2 * ROWS_PER_BUCKET:
         return 0
-    return max(-(-rows // ROWS_PER_BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = max(-(-rows // ROWS_PER_BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(wanted, MAX_BUCKETS)
 
 
 def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> Saved:
@@ -86,7 +93,7 @@ def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -
     seen = Observation()
     (df.repartition(buckets, *keys).observe(seen, F.count(F.lit(1)).alias("n"))
      .write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
-    return Saved(spark.table(table), int(seen.get["n"]), path)
+    return Saved(spark.table(table), int(seen.get["n"]), path, table)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -7,6 +7,7 @@ that. Paths may be plain (a shared mount) or any URI Arrow's file systems know.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,15 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-ROWS_PER_TASK = 4_000_000  # values are fixed-width, so this bounds a task's bytes as well
+ROWS_PER_TASK = 4_000_000
 BATCH = 65_536
+#: Bytes a task and a batch read at most, whatever the width of a row.
+TASK_BYTES, BATCH_BYTES = 256 << 20, 16 << 20
+
+
+def _fitting(rows: int, limit: int, row_bytes: int) -> int:
+    """``rows``, or as many as ``limit`` bytes hold."""
+    return max(1, min(rows, limit // max(row_bytes, 1)))
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -88,12 +96,15 @@ class NpyReader(DataSourceReader):
         base = 0
         for shard in _shards(self.path):
             header = _npy_header(shard)
+            if self.edges and header.fortran and len(header.shape) == 2:
+                # Two columns by column are the same bytes as two rows by row.
+                header = _Header(header.path, header.shape[::-1], header.dtype, False, header.start)
             wide = self.edges and len(header.shape) == 2 and header.shape[0] == 2
             rows = header.shape[1] if wide else header.shape[0]
-            if header.fortran and len(header.shape) > 1:
-                raise ValueError(f"{shard}: column-major arrays are not supported")
-            for begin in range(0, rows, self.rows_per_task):
-                parts.append(_Rows(header, begin, min(begin + self.rows_per_task, rows), base + begin, wide))
+            width = 2 if wide else int(np.prod(header.shape[1:], dtype=np.int64))
+            step = _fitting(self.rows_per_task, TASK_BYTES, 8 * width)
+            for begin in range(0, rows, step):
+                parts.append(_Rows(header, begin, min(begin + step, rows), base + begin, wide))
             base += rows
         return parts or [_Rows(_Header(self.path, (0,), "<i8", False, 0), 0, 0, 0, False)]
 
@@ -104,14 +115,19 @@ class NpyReader(DataSourceReader):
         dtype = np.dtype(head.dtype)
         system, place = _open(head.path)
         with system.open_input_file(place) as f:
-            for begin in range(part.begin, part.end, BATCH):
-                n = min(BATCH, part.end - begin)
+            width = int(np.prod(head.shape[1:], dtype=np.int64)) if len(head.shape) > 1 else 1
+            size = BATCH if part.wide else _fitting(BATCH, BATCH_BYTES, 8 * width)
+            for begin in range(part.begin, part.end, size):
+                n = min(size, part.end - begin)
                 if part.wide:
                     src = _read_span(f, head.start + begin * dtype.itemsize, n, dtype)
                     dst = _read_span(f, head.start + (head.shape[1] + begin) * dtype.itemsize, n, dtype)
                 else:
-                    width = int(np.prod(head.shape[1:], dtype=np.int64)) if len(head.shape) > 1 else 1
-                    block = _read_span(f, head.start + begin * width * dtype.itemsize, n * width, dtype).reshape(n, width)
+                    if head.fortran and width > 1:
+                        places = (head.start + (c * head.shape[0] + begin) * dtype.itemsize for c in range(width))
+                        block = np.stack([_read_span(f, place, n, dtype) for place in places], axis=1)
+                    else:
+                        block = _read_span(f, head.start + begin * width * dtype.itemsize, n * width, dtype).reshape(n, width)
                     if not self.edges:
                         ids = np.arange(part.base + begin - part.begin, part.base + begin - part.begin + n)
                         flat = pa.array(block.astype(np.float64).ravel())
@@ -130,11 +146,11 @@ class _Written(WriterCommitMessage):
 
 
 class NpyWriter(DataSourceArrowWriter):
-    """One shard per task; the commit writes a manifest, so shards of lost or repeated tasks
-    are never read."""
+    """One shard per task; the commit adds them to the folder's manifest (or replaces it when
+    overwriting), so shards of lost or repeated tasks are never read."""
 
-    def __init__(self, path: str, dtype: str):
-        self.path, self.dtype = path, dtype
+    def __init__(self, path: str, dtype: str, overwrite: bool = False):
+        self.path, self.dtype, self.overwrite, self.job = path, dtype, overwrite, uuid.uuid4().hex[:12]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         import io
@@ -142,7 +158,7 @@ class NpyWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.npy"
+        name = f"part-{self.job}-{context.partitionId():06d}-{context.taskAttemptId()}.npy"
         system, place = _open(self.path)
         system.create_dir(place, recursive=True)
         dtype, rows, width = np.dtype(self.dtype), 0, 0
@@ -167,9 +183,20 @@ class NpyWriter(DataSourceArrowWriter):
         names = [m.name for m in sorted((m for m in messages if m is not None and m.name), key=lambda m: m.task)]
         system, place = _open(self.path)
         system.create_dir(place, recursive=True)
-        with system.open_output_stream(f"{place}/manifest.json") as sink:
+        manifest = f"{place}/manifest.json"
+        if not self.overwrite and system.get_file_info(manifest).type == pafs.FileType.File:
+            with system.open_input_file(manifest) as f:
+                names = json.loads(f.read()) + names
+        with system.open_output_stream(manifest) as sink:
             sink.write(json.dumps(names).encode())
 
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Remove the shards of a failed job."""
+        system, place = _open(self.path)
+        for message in messages:
+            if message is not None and message.name:
+                system.delete_file(f"{place}/{message.name}")
+
 
 def _to_matrix(batch: pa.RecordBatch, dtype: np.dtype) -> np.ndarray:
     """Scalar columns side by side, or one list column as rows."""
@@ -196,7 +223,7 @@ class NpySource(DataSource):
                          int(self.options.get("rows_per_task", ROWS_PER_TASK)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return NpyWriter(self.options["path"], self.options.get("dtype", "<i8"))
+        return NpyWriter(self.options["path"], self.options.get("dtype", "<i8"), overwrite)
 
 
 @dataclass
@@ -279,10 +306,10 @@ def read_csr(spark: SparkSession, prefix: str, rows_per_task: int = ROWS_PER_TAS
     return spark.read.format("csr").option("rows_per_task", rows_per_task).load(prefix)
 
 
-def write_npy(df: DataFrame, path: str, dtype: str = "<i8", order: str | None = None) -> None:
+def write_npy(df: DataFrame, path: str, dtype: str = "<i8", order: str | None = None, mode: str = "append") -> None:
     """A folder of ``.npy`` shards; with ``order`` the shards together are sorted by that column,
-    which is dropped."""
+    which is dropped. Appending keeps the rows of earlier writes and puts the new ones after them."""
     df.sparkSession.dataSource.register(NpySource)
     if order is not None:
         df = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).drop(order)
-    df.write.format("npy").option("dtype", dtype).mode("append").save(path)
+    df.write.format("npy").option("dtype", dtype).mode(mode).save(path)

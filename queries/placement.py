@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.operators import access, gather, layout, ordering, sets
-from nodeloom.plans.store import materialize
+from nodeloom.plans.store import fresh_path, materialize
 from nodeloom.streaming import feeds
 from queries import fixtures as fx
 from queries.fixtures import PER_BATCH, feat_digest, feat_digest_sql, sql
@@ -50,31 +50,54 @@ def _self_adj(spark, sf):
     return materialize(layout.neighbor_order(looped), "adj")
 
 
+_LOOPED = "SELECT src, dst FROM edges UNION SELECT node_id, node_id FROM ids"
+
+
+def _walk_ctes(adj: str, order: str, k: int, cap: int, exclusive: bool) -> dict[str, str]:
+    """The greedy walk, one source a step, as a recursive query: ``adj`` is (src, nb list), ``order`` is (src, rn from 1)."""
+    skip = "NOT list_contains(w.used, a.src)" if exclusive else "true"
+    free = "list_filter(a.nb, lambda x: NOT list_contains(w.used, x))"
+    return {
+        "steps": f"SELECT o.rn, o.src, coalesce(a.nb, []::BIGINT[]) AS nb FROM ({order}) o LEFT JOIN ({adj}) a USING (src)",
+        "walk": "@walk(rn, used, src, took) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, []::BIGINT[] UNION ALL "
+                "SELECT t.rn, list_concat(t.used, t.took), t.src, t.took FROM ("
+                f"SELECT a.rn, w.used, a.src, CASE WHEN {skip} THEN {free}[1:{k} * least({cap}, len({free}) // {k})] ELSE []::BIGINT[] END AS took "
+                "FROM walk w JOIN steps a ON a.rn = w.rn + 1) t)",
+        "wrows": f"SELECT w.rn, w.src, (u.i - 1) // {k} AS g, (u.i - 1) % {k} AS slot, w.took[u.i] AS node_id FROM walk w, unnest(range(1, len(w.took) + 1)) AS u(i)",
+        "groups": "SELECT CAST(dense_rank() OVER (ORDER BY rn, g) - 1 AS BIGINT) AS group_id, src, CAST(slot AS BIGINT) AS slot, node_id FROM wrows",
+    }
+
+
+def _order_sql(edges: str, direction: str) -> str:
+    return ("SELECT s.node_id AS src, row_number() OVER (ORDER BY coalesce(d.n, 0) " + direction + ", s.score DESC, s.node_id) AS rn FROM scores s "
+            f"LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM ({edges}) GROUP BY src) d ON d.src = s.node_id")
+
+
+_WALK = _walk_ctes(f"SELECT src, list(dst ORDER BY dst = src, dst) AS nb FROM ({_LOOPED}) GROUP BY src", _order_sql(_LOOPED, "ASC"), 4, 1, True)
+_WALK_MULTI = _walk_ctes(f"SELECT src, list(dst ORDER BY npos) AS nb FROM ({_RANKED}) GROUP BY src", _order_sql("SELECT src, dst FROM edges", "DESC"), 4, 5, False)
+
+
 def _first_groups(spark, sf, adj, k=4):
     order = layout.degree_order(adj, fx.ids(spark, sf), fx.scores(spark, sf), "degree_asc")
     return layout.group_neighbors(adj, order, k)
 
 
-@query()
+@query(sql("SELECT * FROM groups", "ids", "edges", "scores", recursive=True, **_WALK))
 def group_neighbors(spark, sf):
     return layout.uniform_groups(_first_groups(spark, sf, _self_adj(spark, sf)))
 
 
-@query()
+@query(sql("SELECT * FROM groups", "edges", "scores", recursive=True, **_WALK_MULTI))
 def group_neighbors_multi(spark, sf):
     ranked = materialize(_ranked(spark, sf), "ranked")
     order = layout.degree_order(ranked, fx.ids(spark, sf), fx.scores(spark, sf), "degree_desc")
-    return layout.uniform_groups(layout.group_neighbors_multi(ranked, order, 2, 5))
+    return layout.uniform_groups(layout.group_neighbors_multi(ranked, order, 4, 5))
 
 
-# A stage-one cover for the fill step that SQL can state: the first four neighbours of the
-# sources ending in 0, so groups may share nodes.
-_BASE = ("SELECT (src // 10) AS group_id, src, rn - 1 AS slot, dst AS node_id FROM (SELECT src, dst, row_number() OVER "
-         "(PARTITION BY src ORDER BY dst) AS rn, count(*) OVER (PARTITION BY src) AS len FROM edges) WHERE rn <= 4 AND len >= 4 AND src % 10 = 0")
 _FILL = {
-    "base": _BASE,
-    "cand": "SELECT src, rn - 1 AS slot, dst AS node_id FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn, "
-            "count(*) OVER (PARTITION BY src) AS len FROM edges) WHERE rn <= 4 AND len >= 4 AND src NOT IN (SELECT node_id FROM base)",
+    **_WALK, "base": "SELECT * FROM groups",
+    "cand": f"SELECT src, rn - 1 AS slot, dst AS node_id FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst = src, dst) AS rn, "
+            f"count(*) OVER (PARTITION BY src) AS len FROM ({_LOOPED})) WHERE rn <= 4 AND len >= 4 AND src NOT IN (SELECT node_id FROM base)",
     "fresh": "SELECT src, count(*) AS n FROM (SELECT node_id, min(src) AS src FROM cand WHERE node_id NOT IN (SELECT node_id FROM base) GROUP BY 1) GROUP BY 1",
     "acc": "SELECT c.src, coalesce(sum(4 - coalesce(f.n, 0)) OVER (ORDER BY c.src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before "
            "FROM (SELECT DISTINCT src FROM cand) c LEFT JOIN fresh f USING (src)",
@@ -85,20 +108,37 @@ _FILL = {
 
 
 @query(sql("SELECT group_id, src, slot, node_id FROM base UNION ALL SELECT k.group_id, c.src, c.slot, c.node_id FROM cand c JOIN kept k USING (src)",
-           "edges", "ids", **_FILL))
+           "edges", "ids", "scores", recursive=True, **_FILL))
 def fill_groups(spark, sf):
-    e = fx.edges(spark, sf)
-    adj = e.withColumn("npos", F.col("dst"))
-    base = layout.chunk_groups(adj, 4, 1).filter("src % 10 = 0").select((F.floor(F.col("src") / 10)).alias("group_id"), "src", "slot", "node_id")
-    return layout.uniform_groups(layout.fill_groups(adj, base, fx.ids(spark, sf), 4, 0.2))
+    """The fill step after the real first stage."""
+    adj = _self_adj(spark, sf)
+    return layout.uniform_groups(layout.fill_groups(adj, _first_groups(spark, sf, adj), fx.ids(spark, sf), 4, 0.2))
+
+
+_FILL_MULTI = {
+    **_WALK_MULTI,
+    "active": f"SELECT o.src, o.rn, coalesce(h.n, 0) AS cur FROM ({_order_sql('SELECT src, dst FROM edges', 'DESC')}) o "
+              "LEFT JOIN (SELECT src, count(*) AS n FROM groups WHERE slot = 0 GROUP BY src) h USING (src) WHERE coalesce(h.n, 0) < 5",
+    "cand": "SELECT a.src, a.rn, r.npos // 4 AS g, r.npos % 4 AS slot, r.dst AS node_id FROM (SELECT *, count(*) OVER (PARTITION BY src) AS len FROM ("
+            f"{_RANKED})) r JOIN active a USING (src) WHERE r.npos < 20 AND r.npos // 4 < r.len // 4 AND r.npos // 4 < 5 - a.cur",
+    "fresh": "SELECT rn, count(*) AS n FROM (SELECT node_id, min(rn) AS rn FROM cand WHERE node_id NOT IN (SELECT node_id FROM groups) GROUP BY 1) GROUP BY 1",
+    "slots": "SELECT rn, count(*) AS n FROM cand GROUP BY rn",
+    "acc": "SELECT a.rn, coalesce(sum(coalesce(s.n, 0) - coalesce(f.n, 0)) OVER (ORDER BY a.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before "
+           "FROM active a LEFT JOIN slots s USING (rn) LEFT JOIN fresh f USING (rn)",
+    "start": "SELECT (SELECT count(*) FROM groups) + (SELECT count(*) FROM ids WHERE node_id NOT IN (SELECT node_id FROM groups)) AS n, "
+             "CAST(floor((SELECT count(*) FROM ids) * 1.4::DOUBLE) AS BIGINT) AS most",
+    "served": "SELECT rn FROM acc, start WHERE rn = (SELECT min(rn) FROM active) OR before + n < most",
+    "more": "SELECT dense_rank() OVER (ORDER BY rn, g) - 1 + (SELECT count(DISTINCT group_id) FROM groups) AS group_id, src, slot, node_id "
+            "FROM cand SEMI JOIN served USING (rn)",
+}
 
 
-@query()
+@query(sql("SELECT group_id, src, slot, node_id FROM groups UNION ALL SELECT * FROM more", "ids", "edges", "scores", recursive=True, **_FILL_MULTI))
 def fill_groups_multi(spark, sf):
     ranked = materialize(_ranked(spark, sf), "ranked")
     order = materialize(layout.degree_order(ranked, fx.ids(spark, sf), fx.scores(spark, sf), "degree_desc"), "order")
-    first = layout.group_neighbors_multi(ranked, order, 2, 5)
-    return layout.uniform_groups(layout.fill_groups_multi(ranked, first, order, 2, 5, 0.4))
+    first = layout.group_neighbors_multi(ranked, order, 4, 5)
+    return layout.uniform_groups(layout.fill_groups_multi(ranked, first, order, 4, 5, 0.4))
 
 
 @query(sql("SELECT row_number() OVER (ORDER BY k, group_id, slot, node_id) - 1 AS pos, node_id FROM (SELECT 0 AS k, group_id, slot, node_id FROM cut "
@@ -120,7 +160,24 @@ def layout_from_sets(spark, sf):
     return layout.layout_from_sets(fx.trace(spark, sf).withColumnRenamed("batch_id", "set_rank"), fx.ids(spark, sf))
 
 
-@query()
+_CHAIN = {
+    "low": "SELECT node_id, row_number() OVER (ORDER BY degree DESC, node_id) - 1 AS set_id FROM in_deg WHERE degree < 8 ORDER BY degree DESC, node_id LIMIT 100",
+    "near": "SELECT set_id, node_id FROM low UNION SELECT l.set_id, e.src FROM edges e JOIN low l ON e.dst = l.node_id UNION "
+            "SELECT l.set_id, a.src FROM edges a JOIN edges b ON a.dst = b.src JOIN low l ON b.dst = l.node_id",
+    "shared": "SELECT x.set_id AS i, y.set_id AS j, count(b.node_id) AS n FROM low x CROSS JOIN low y LEFT JOIN near a ON a.set_id = x.set_id "
+              "LEFT JOIN near b ON b.set_id = y.set_id AND b.node_id = a.node_id GROUP BY ALL",
+    "rows_": "SELECT i, list(n ORDER BY j) AS n FROM shared GROUP BY i",
+    "chain": "@chain(pos, here, seen) AS (SELECT 0::BIGINT, 0::BIGINT, [0]::BIGINT[] FROM low WHERE set_id = 0 UNION ALL "
+             "SELECT pos + 1, list_position(left_, list_max(left_)) - 1, list_append(seen, list_position(left_, list_max(left_)) - 1) FROM ("
+             "SELECT c.pos, c.seen, list_transform(r.n, lambda x, j: CASE WHEN list_contains(c.seen, j - 1) THEN -1 ELSE x END) AS left_ "
+             "FROM chain c JOIN rows_ r ON r.i = c.here WHERE len(c.seen) < len(r.n)))",
+    "first": "SELECT n.node_id, min(struct_pack(a := c.pos, b := CASE WHEN n.node_id = l.node_id THEN -1 ELSE n.node_id END)) AS o "
+             "FROM near n JOIN chain c ON c.here = n.set_id JOIN low l USING (set_id) GROUP BY 1",
+}
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY f.o IS NULL, f.o.a, f.o.b, i.node_id) - 1 AS pos, i.node_id FROM ids i LEFT JOIN first f USING (node_id)",
+           "ids", "edges", "in_deg", recursive=True, **_CHAIN))
 def reorganize_graph(spark, sf):
     return layout.reorganize_graph(fx.edges(spark, sf), fx.ids(spark, sf), 2, below=8, k=100)
 
@@ -167,20 +224,28 @@ def layout_report(spark, sf):
     return out.select("layout", "rows_requested", "pages_moved", F.round("amplification", 6).alias("amplification"))
 
 
-@query()
+_COLD = f"SELECT src, dst FROM ({_LOOPED}) WHERE dst NOT IN (SELECT node_id FROM hot)"
+_PREPARED = {
+    "hot": "SELECT node_id FROM scores ORDER BY score DESC, node_id LIMIT (SELECT CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) FROM scores)",
+    "cold": _COLD,
+    **_walk_ctes("SELECT src, list(dst ORDER BY dst = src, dst) AS nb FROM cold GROUP BY src", _order_sql("SELECT src, dst FROM cold", "ASC"), 4, 1, True),
+    **{n: t.replace(f"({_LOOPED})", "cold") for n, t in _FILL.items() if n not in _WALK},
+    "whole": "SELECT group_id, src, slot, node_id FROM base UNION ALL SELECT k.group_id, c.src, c.slot, c.node_id FROM cand c JOIN kept k USING (src)",
+    "seq": "SELECT row_number() OVER (ORDER BY k, group_id, slot, node_id) - 1 AS pos, node_id FROM (SELECT 0 AS k, group_id, slot, node_id FROM whole "
+           "UNION ALL SELECT 1, 0, 0, node_id FROM ids WHERE node_id NOT IN (SELECT node_id FROM whole))",
+}
+
+
+@query(sql("SELECT 'groups' AS part, group_id AS pos, slot, node_id FROM whole UNION ALL SELECT 'sequence', pos, 0::BIGINT, node_id FROM seq",
+           "ids", "edges", "scores", recursive=True, **_PREPARED))
 def prepare_layout(spark, sf):
-    """The offline job end to end: how many rows each product has, with the group check."""
-    nodes = fx.ids(spark, sf)
+    """The offline job end to end: its groups and its node sequence."""
     e = fx.edges(spark, sf)
     hot = ordering.top_nodes(fx.scores(spark, sf), share=0.1).select("node_id")
-    out = layout.prepare_layout(e, nodes, fx.nodes(spark, sf).select("node_id", "feat"), fx.scores(spark, sf), hot)
-    rows = [out[name].agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n")) for name in ("groups", "edges", "sequence", "features")]
-    rows.append(out["check"].select(F.lit("invalid_groups").alias("part"), F.col("invalid").alias("n")))
-    rows.append(out["storage"].select(F.lit("total_slots").alias("part"), F.col("total_slots").alias("n")))
-    result = rows[0]
-    for row in rows[1:]:
-        result = result.unionByName(row)
-    return result
+    out = layout.prepare_layout(e, fx.ids(spark, sf), fx.nodes(spark, sf).select("node_id", "feat"), fx.scores(spark, sf), hot)
+    groups = out["groups"].select(F.lit("groups").alias("part"), F.col("group_id").cast("bigint").alias("pos"), F.col("slot").cast("bigint").alias("slot"), "node_id")
+    places = out["sequence"].select(F.lit("sequence").alias("part"), "pos", F.lit(0).cast("bigint").alias("slot"), "node_id")
+    return groups.unionByName(places)
 
 
 # Streams ------------------------------------------------------------------------
@@ -218,9 +283,11 @@ def stream_frequency(spark, sf):
 
 @query(sql("SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d') AS day, user_id AS node_id, count(*) AS n FROM events GROUP BY 1, 2"))
 def stream_windowed_frequency(spark, sf):
-    events = feeds.file_stream(spark, sf, _EVENTS, "events.parquet").withColumnRenamed("user_id", "node_id")
-    updates = feeds.run_to_table(feeds.stream_windowed_frequency(events, "1 day", "1 hour"), "update", "windows")
-    last = feeds.latest(updates, ["window_start", "node_id"], ["n"])
+    """Counts per day from files in no time order: rows that come late are counted all the same."""
+    folder = fresh_path(spark, "events")
+    fx.table(spark, sf, "events").repartition(4, "event_id").write.parquet(folder)
+    events = feeds.file_stream(spark, folder, _EVENTS).withColumnRenamed("user_id", "node_id")
+    last = feeds.run_windowed_frequency(events, "1 day", "1 hour")
     return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "node_id", "n")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.operators import access, gather, ordering, sets, stats
+from nodeloom.operators import access, gather, ordering, sampling, sets, stats
 from nodeloom.plans import scan
 from nodeloom.plans.store import fresh_path, materialize
 from nodeloom.sources import arrays, tables, writers
@@ -278,11 +278,14 @@ def block_to_global(spark, sf):
     return gather.block_to_global(block, local["src"], local["dst"])
 
 
-@query(sql("SELECT a.batch_id AS i, b.batch_id AS j, count(*) AS n FROM visits a JOIN visits b ON a.node_id = b.node_id "
-           "AND a.batch_id <> b.batch_id GROUP BY 1, 2", "visits"))
+@query(sql("SELECT a.set_id AS i, b.set_id AS j, count(*) AS n FROM near a JOIN near b ON a.node_id = b.node_id AND a.set_id <> b.set_id GROUP BY 1, 2",
+           "in_deg", "edges", low="SELECT node_id FROM in_deg WHERE degree < 12 ORDER BY degree DESC, node_id LIMIT 100",
+           near="SELECT node_id AS set_id, node_id FROM low UNION SELECT dst, src FROM edges WHERE dst IN (SELECT node_id FROM low)"))
 def pairwise_overlap(spark, sf):
-    visits = fx.trace(spark, sf).select(F.col("batch_id").alias("set_id"), "node_id").distinct()
-    return sets.pairwise_overlap(visits)
+    """Overlaps among the neighbourhoods of the 100 low-degree seeds."""
+    e = fx.edges(spark, sf)
+    seeds = ordering.top_low_degree(e, fx.ids(spark, sf), 12, 100).select(F.col("node_id").alias("set_id"), "node_id")
+    return sets.pairwise_overlap(sampling.khop_full(e, seeds, 1))
 
 
 _CUT = ("SELECT src AS group_id, src, rn - 1 AS slot, dst AS node_id FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) "
@@ -485,6 +488,13 @@ def top_nodes(spark, sf):
     return ordering.top_nodes(fx.scores(spark, sf), share=0.1)
 
 
+@query(sql("SELECT node_id, score, rank FROM (SELECT node_id, score, row_number() OVER (ORDER BY score DESC, node_id) - 1 AS rank FROM scores) "
+           "WHERE rank < (SELECT CAST(floor(count(*) * 0.7::DOUBLE) AS BIGINT) FROM scores)", "scores"))
+def top_nodes_ranked(spark, sf):
+    """The branch for a large k: a distributed rank and a filter."""
+    return ordering.top_nodes(fx.scores(spark, sf), share=0.7, small=0)
+
+
 @query(sql("SELECT node_id, degree, row_number() OVER (ORDER BY degree DESC, node_id) - 1 AS rank FROM in_deg WHERE degree < 12 "
            "ORDER BY degree DESC, node_id LIMIT 100", "in_deg"))
 def top_low_degree(spark, sf):

@@ -13,7 +13,7 @@ def cut(request, monkeypatch):
     """Run with and without explicit splitting of hot keys."""
     if request.param:
         original = skew.spread
-        monkeypatch.setattr(algos, "spread", lambda df, key: original(df, key, shares=4, min_rows=5))
+        monkeypatch.setattr(algos, "spread", lambda df, key: original(df, key, key_rows=5))
     return request.param
 
 
@@ -101,3 +101,28 @@ def test_hetero_pagerank_keeps_types_apart(make):
     got = {(t, i): s for t, i, s in rows(algos.pagerank_hetero(edges, nodes, k=1))}
     base = 0.15 / 3
     assert got == pytest.approx({("a", 1): base, ("a", 2): base + 0.85 / 3, ("b", 1): base + 0.85 * 2 / 3})
+
+
+def test_contraction_labels_with_the_least_node(make):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(20, 70)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 300)]
+    rng.shuffle(pairs)
+    got = dict(rows(algos.connected_components(make.edges(pairs), make.nodes([7]))))
+    assert {got[i] for i in range(20, 71)} == {20} and {got[100 + i] for i in range(50)} == {100}
+    assert got[300] == 300 and got[7] == 7 and len(got) == 51 + 50 + 2
+
+
+def test_components_leave_only_their_result_in_the_folder(spark, make):
+    import os
+
+    from nodeloom.plans.components import components
+    from nodeloom.plans.store import shared_folder
+
+    edges = make.edges([(i, i + 1) for i in range(40)]).toDF("a", "b")
+    components(edges).drop()
+    before = set(os.listdir(shared_folder(spark)))
+    found = components(edges)
+    assert set(os.listdir(shared_folder(spark))) - before == {os.path.basename(found.path)}
+    found.drop()

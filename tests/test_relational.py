@@ -49,9 +49,9 @@ def test_tiered_equals_plain_gather_under_skew(make):
     f = feats(make, 40)
     pinned = f.filter("node_id < 8")
     plain = rows(gather.gather_features(index, f), "batch_id", "pos", "node_id", "feat")
-    for limit in (0, 1000):  # shuffle join and broadcast
-        tiered = gather.gather_tiered(index, f, pinned, max_rows=limit)
-        assert rows(tiered, "batch_id", "pos", "node_id", "feat") == plain
+    tiered = gather.gather_tiered(index, f, pinned)
+    assert rows(tiered, "batch_id", "pos", "node_id", "feat") == plain
+    assert {r["node_id"] < 8 for r in tiered.filter("tier = 'pinned'").collect()} == {True}
     assert rows(gather.gather_batches(index, f), "batch_id", "pos", "node_id", "feat") == plain
     total = gather.tier_stats(gather.tag_tier(index, pinned)).filter("batch_id IS NULL").first()
     assert total.accesses == 600 and total.pinned == sum(n < 8 for n in nodes) and total.pinned + total.storage == 600
@@ -208,3 +208,16 @@ def test_volume(make):
     got = access.dataset_volume(trace, access.pages_raw(trace, 4), 100, 400).first()
     assert (got.rows_requested, got.pages_moved, got.bytes_moved) == (3, 2, 800)
     assert got.amplification == pytest.approx(800 / 300)
+
+
+def test_missing_rows_fail_whatever_is_read(make):
+    index = make.table([(0, 0, 1), (0, 1, 99)], "batch_id bigint, pos bigint, node_id bigint")
+    f = feats(make, 4)
+    for gathered in (gather.gather_features(index, f), gather.gather_batches(index, f), gather.gather_tiered(index, f, f.filter("node_id < 2"))):
+        with pytest.raises(Exception, match="no feature row for 99"):
+            gathered.count()
+    with pytest.raises(Exception, match="no feature row for 99"):
+        gather.tier_stats(gather.gather_tiered(index, f, f.filter("node_id < 2"))).collect()
+    layout = make.table([(1, 0)], "node_id bigint, pos bigint")
+    with pytest.raises(Exception, match="no layout slot for 99"):
+        gather.remap_ids(index, layout).count()

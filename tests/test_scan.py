@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from nodeloom.functions.hashing import digest, hash_long, pick_ordinals, uniform
 from nodeloom.plans import scan
 from nodeloom.plans.skew import spread
-from nodeloom.plans.store import broadcast_if_small, save, shared_folder, small_enough
+from nodeloom.plans.store import broadcast_if_small, bucket_count, save, save_bucketed, shared_folder, small_enough
 from tests.conftest import rows
 
 
@@ -92,7 +92,7 @@ def test_uniform_is_open_and_seeded(make):
 
 def test_spread_join_equals_plain_join(make):
     edges = make.edges([(0, d) for d in range(1, 60)] + [(s, 0) for s in range(1, 60)])
-    table = spread(edges, "src", shares=4, min_rows=5)
+    table = spread(edges, "src", key_rows=5)
     assert table.hot is not None and table.hot.count() == 1
     other = make.table([(i, i * 10) for i in range(60)], "src bigint, v bigint")
     assert rows(table.join(other), "src", "dst", "v") == rows(edges.join(other, "src"), "src", "dst", "v")
@@ -112,3 +112,22 @@ def test_broadcast_only_behind_a_size_check(make):
     assert small_enough(df, 10) and not small_enough(df, 9)
     hinted = broadcast_if_small(df, 10)._jdf.queryExecution().logical().toString()
     assert "broadcast" in hinted and "broadcast" not in broadcast_if_small(df, 9)._jdf.queryExecution().logical().toString()
+
+
+def test_bucket_count_stays_below_sparks_limit(spark):
+    assert bucket_count(spark, 1000) == 0
+    assert 0 < bucket_count(spark, 10**9) < bucket_count(spark, 10**13) < 100_000
+
+
+def test_block_digits_follow_the_row_count():
+    assert scan.block_digits(10) == 2
+    for rows_ in (10**8, 10**11, 10**13):
+        digits = scan.block_digits(rows_)
+        assert rows_ / 16 ** digits <= scan.BLOCK < rows_ / 16 ** (digits - 1) or digits == 2
+
+
+def test_dropped_bucketed_table_leaves_the_catalog(spark, make):
+    saved = save_bucketed(make.edges([(i, i) for i in range(50)]), "gone", ["src"], 4)
+    before = {t.name for t in spark.catalog.listTables()}
+    saved.drop()
+    assert before - {t.name for t in spark.catalog.listTables()} == {saved.table}

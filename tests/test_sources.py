@@ -90,3 +90,41 @@ def test_bucketed_tables_join_without_an_exchange(spark, make, tmp_path):
         assert joined.count() == 300
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_npy_appends_keep_earlier_rows_and_overwrites_do_not(spark, make, tmp_path):
+    path = str(tmp_path / "x")
+    for base in (0, 2, 4):
+        arrays.write_npy(make.table([(float(base + i),) for i in range(2)], "v double").coalesce(1), path, "<f8")
+    got = arrays.read_npy(spark, path).orderBy("row").collect()
+    assert [(r.row, r.vals[0]) for r in got] == [(i, float(i)) for i in range(6)]
+    arrays.write_npy(make.table([(9.0,)], "v double"), path, "<f8", mode="overwrite")
+    assert [r.vals[0] for r in arrays.read_npy(spark, path).collect()] == [9.0]
+
+
+def test_npy_column_major(spark, tmp_path):
+    x = np.asfortranarray(np.arange(60, dtype=np.float32).reshape(20, 3))
+    np.save(tmp_path / "x.npy", x)
+    got = arrays.read_npy(spark, str(tmp_path / "x.npy"), rows_per_task=7).orderBy("row").collect()
+    assert np.allclose([r.vals for r in got], x)
+    pairs = np.array(hub_graph(40), dtype="<i8")
+    for data in (pairs, pairs.T):
+        np.save(tmp_path / "e.npy", np.asfortranarray(data))
+        assert rows(arrays.read_npy_edges(spark, str(tmp_path / "e.npy"), rows_per_task=11)) == sorted((int(a), int(b)) for a, b in pairs)
+
+
+def test_wide_rows_make_more_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "TASK_BYTES", 8 * 1024 * 10)
+    x = np.random.default_rng(1).normal(size=(35, 1024))
+    np.save(tmp_path / "x.npy", x)
+    df = arrays.read_npy(spark, str(tmp_path / "x.npy"))
+    assert df.rdd.getNumPartitions() == 4
+    assert np.allclose([r.vals for r in df.orderBy("row").collect()], x)
+
+
+def test_rewritten_epoch_replaces_itself(spark, make, tmp_path):
+    path = str(tmp_path / "trace")
+    batch = make.table([(0, 0, 3), (0, 1, 4)], "batch_id bigint, pos bigint, node_id bigint")
+    for epoch in (0, 1, 1):
+        writers.write_trace(batch, path, epoch)
+    assert spark.read.parquet(path).groupBy("epoch").count().orderBy("epoch").collect() == [(0, 2), (1, 2)]

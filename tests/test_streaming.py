@@ -53,3 +53,18 @@ def test_late_rows_are_left_out_of_closed_windows(spark, make, tmp_path):
     updates = feeds.run_to_table(feeds.stream_windowed_frequency(stream, "1 hour", "30 minutes"), "update")
     got = rows(feeds.latest(updates, ["window_start", "node_id"], ["n"]), "window_start", "n")
     assert got == [(start, 2), (start + timedelta(hours=1), 1), (start + timedelta(hours=5), 2)]
+
+
+def test_unordered_files_lose_no_row_and_late_ones_are_told(spark, make, tmp_path):
+    start = datetime(2024, 1, 1)
+    schema = "ts timestamp, node_id bigint"
+    target = tmp_path / "in"
+    target.mkdir()
+    for i, part in enumerate([(1, 2, 61), (300,), (301, 62), (3, 299)]):
+        make.table([(start + timedelta(minutes=m), 1) for m in part], schema).coalesce(1).write.parquet(str(tmp_path / f"t{i}"))
+        shutil.copy(next((tmp_path / f"t{i}").glob("*.parquet")), target / f"{i}.parquet")
+        os.utime(target / f"{i}.parquet", (1700000000 + i, 1700000000 + i))
+    stream = feeds.file_stream(spark, str(target), make.table([], schema).schema)
+    got = rows(feeds.run_windowed_frequency(stream, "1 hour", "30 minutes"), "window_start", "n", "n_late")
+    hour = lambda h: start + timedelta(hours=h)
+    assert got == [(hour(0), 3, 1), (hour(1), 2, 1), (hour(4), 1, 0), (hour(5), 2, 0)]
