@@ -143,9 +143,12 @@ def choose_cuts(position: np.ndarray, cost: np.ndarray, length: int) -> list[int
     """Indices into ``position`` (rising from 0, steps of at most ``length``) of the cheapest cuts."""
     exact: dict[int, list[int]] = {}
     size = 1
+    place = np.full(int(position[-1]) + 1, -1, np.int32)
+    place[position] = np.arange(len(position))
     while size < length:
-        at = np.searchsorted(position, position - size)
-        for j in np.flatnonzero(position[at] == position - size).tolist():
+        back_to = position - size
+        at = np.where(back_to >= 0, place[np.maximum(back_to, 0)], -1)
+        for j in np.flatnonzero(at >= 0).tolist():
             exact.setdefault(j, []).append(int(at[j]))
         size *= 2
     pos, pay = position.tolist(), cost.tolist()
