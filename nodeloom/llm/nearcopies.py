@@ -241,8 +241,8 @@ def _verified(docs: DataFrame, key: str, text: str, placed: DataFrame, settings:
         rows: list[dict] = []
 
         def finish() -> None:
-            if len(nodes) < 2:
-                return
+            if len(nodes) < 2 or (unit[1] != unit[2] and min(side) == max(side)):
+                return  # a unit of two blocks that only one has nodes for: that block's own unit counts its pairs
             links, roots, bins = compare(members, np.array(side), settings.threshold)
             for k in np.flatnonzero(links).tolist():
                 rows.append({"node": nodes[k], "root": nodes[roots[k]], "links": int(links[k]), "bins": None})

@@ -49,6 +49,15 @@ def test_join_matches_all_pairs(spark, docs):
     assert run(spark, docs, block_nodes=16, block_shingles=3000) == want  # every group in many blocks
 
 
+def test_blocks_without_nodes_count_no_pair_again(spark):
+    rows = []
+    for _ in range(16):  # pairs cut into two blocks each; in about half of them one block has no node
+        base = text(200)
+        rows += [base, f"{base} more"]
+    rows = list(enumerate(rows))
+    assert run(spark, rows, block_shingles=250) == brute.near_copies(rows)
+
+
 def test_shorter_prefixes_are_tried_until_the_recall_is_reached(spark, docs):
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
     first = nearcopies.join(table, settings=nearcopies.Settings(target=0.5))
