@@ -72,6 +72,53 @@ def test_signed_tokens_need_a_json_header():
         assert not [s for s in secrets.find(bad) if s[0] == "token"], bad
 
 
+def method(text, kind):
+    return [text[s:e] for k, s, e in secrets.find(text) if k == kind]
+
+
+PBES2 = bytes.fromhex("2a864886f70d01050d")
+LOCKED = der(0x30, der(0x30, der(6, PBES2), der(0x30, der(0x30, der(6, b"\x2a")), der(0x30, der(6, b"\x2a")))), der(4, bytes(range(80))))
+
+
+def wrap(data, width=76):
+    body = base64.b64encode(data).decode()
+    return "\n".join(body[i:i + width] for i in range(0, len(body), width))
+
+
+def test_armour_with_escapes_headers_and_encrypted_keys():
+    for escaped in (json.dumps(armour(WRAPPED, "PRIVATE KEY"))[1:-1], armour(WRAPPED, "PRIVATE KEY").replace("\n", "\\n").replace("=", "\\u003d")):
+        assert method(json.dumps({"type": "x"}) + f'"private_key": "{escaped}"', "key") == [escaped]
+    locked = armour(bytes(range(64))).replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n", 1)
+    assert method(f"a {locked} b", "key") == [locked]
+    assert not method(locked.replace("DEK-Info", "Comment"), "key")
+    whole = armour(LOCKED, "ENCRYPTED PRIVATE KEY")
+    assert method(f"a {whole} b", "key") == [whole]
+    digest_info = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")), der(5)), der(4, bytes(32)))
+    assert not method(base64.b64encode(digest_info).decode(), "key")
+
+
+@pytest.mark.parametrize("data", [RSA, WRAPPED, CURVE, OPENSSH, LOCKED])
+def test_wrapped_and_nested_keys(data):
+    for width in (20, 64, 76):
+        body = wrap(data, width)
+        assert method(f"key:\n{body}\nEnd of it", "key") == [body], width
+    nested = base64.b64encode(armour(data).encode()).decode()
+    assert method(f"tls.key: {nested}\n", "key") == [nested]
+    assert method(wrap(armour(data).encode()) + "\n\nx", "key") == [wrap(armour(data).encode())]
+    assert not method(wrap(bytes(300)), "key")
+
+
+def test_tokens_by_their_header():
+    spaced = base64.urlsafe_b64encode(b'{ "alg" : "HS256" }').decode().rstrip("=")
+    lined = base64.urlsafe_b64encode(b'\n{\n "alg": "HS256"}').decode().rstrip("=")
+    for head in (spaced, lined, part({"alg": "none"})):
+        good = f"{head}.{part({'sub': '1'})}.c2ln"
+        for before in ("", "eyJhbGciOiJub25l.", "a.b.", "eyJhbGciOiJub25l.eyJhbGciOiJub25l."):
+            assert method(f"x {before}{good} y", "token") == [good]
+        nested = base64.b64encode(good.encode()).decode()
+        assert method(f"token: {nested}", "token") == [nested]
+
+
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
 
