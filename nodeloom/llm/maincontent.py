@@ -31,9 +31,14 @@ from pyspark.sql import types as T
 FIT_BLOCKS = 20_000
 NEAR, SIBLING = 0.6, 0.8
 _CERTAIN = 50.0
+#: Costs of an element whose name ends in, or only has, a word of a page part; and of a form with little text for its controls.
+_NAMED, _PARTLY, _FORM = -5.0, -2.5, -5.0
+#: Words of text a visible control, from which a form is taken for a wrapper; share of a page's text that makes any element one.
+_FORM_WORDS, _MOST = 25, 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
+_UNSEEN = re.compile(r"""type\s*=\s*["']?hidden|\shidden(?=[\s=]|$)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # HTML element groups and the class words that name page parts.
@@ -42,8 +47,11 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
     "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
-_BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "object", "audio", "video", "canvas", "fieldset"}
-_BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
+_BOILERPLATE_TAGS = {"nav", "footer", "aside", "button", "select", "menu", "dialog", "head", "object", "audio", "video", "canvas"}
+_BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "dialog", "alert", "menu", "menubar"}
+_FORMS, _FORM_ROLES, _CONTROLS = {"form", "fieldset"}, {"search", "form"}, {"input", "select", "textarea", "button"}
+#: Before a word, they say what the page has beside the element's text.
+_MODIFIERS = {"has", "with", "without", "no", "is", "show", "hide"}
 _BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie",
     "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup",
@@ -77,40 +85,104 @@ class _Open:
     number: int
     evidence: float
     inside: bool
+    #: The nearest enclosing elements that are judged once the page is read: of all, and of those around the last article; 0 for none.
+    soft: int = 0
+    outer: int = 0
+
+
+@dataclass
+class _Soft:
+    """An element that may be a page part or a wrapper of the text: its cost, text outside links, words and visible controls."""
+
+    cost: float
+    form: bool
+    above: int
+    outer: int
+    size: int = 0
+    words: int = 0
+    controls: int = 0
+
+
+def _name_cost(names: str) -> float:
+    """Cost of an element by its class and id: the last word of a name says what it is, others less; 0 for none."""
+    cost = 0.0
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words and words[0] not in _MODIFIERS:
+            hit = [w in _BOILERPLATE_WORDS for w in words]
+            cost = min(cost, _NAMED if hit[-1] else _PARTLY if any(hit) else 0.0)
+    return cost
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(source)}
 
 
-def _evidence(tag: str, source: str, above: _Open) -> tuple[float, bool]:
-    """Structural evidence of an element's text (positive: content), and whether it lies in an article."""
-    value, inside = above.evidence, above.inside
+def _evidence(tag: str, source: str, above: _Open) -> tuple[float, bool, float]:
+    """Structural evidence of an element's text (positive: content), whether it lies in an article, and the element's own cost."""
+    value, inside, cost = above.evidence, above.inside, 0.0
     if tag in ("article", "main"):
         value, inside = max(value, 0.0) + 4.0 if value > -_CERTAIN else value, True
     if tag in _BOILERPLATE_TAGS or (tag == "header" and not inside):
-        return -_CERTAIN, inside
+        return -_CERTAIN, inside, 0.0
     if source:
         found = _attributes(source)
         style = found.get("style", "").replace(" ", "").lower()
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style:
-            return -_CERTAIN, inside
-        if found.get("role", "").lower() in _BOILERPLATE_ROLES:
-            return -_CERTAIN, inside
-        words = {w.lower() for w in _WORD.findall(found.get("class", "") + " " + found.get("id", ""))}
+            return -_CERTAIN, inside, 0.0
+        role = found.get("role", "").lower()
+        if role in _BOILERPLATE_ROLES:
+            return -_CERTAIN, inside, 0.0
+        names = found.get("class", "") + " " + found.get("id", "")
+        words = {w.lower() for w in _WORD.findall(names)}
         if tag not in ("html", "body"):
-            if words & _BOILERPLATE_WORDS and not (words & {"article", "content", "main"} and tag in ("article", "main")):
-                return -_CERTAIN, inside
-            if "header" in words and not inside:
-                return -_CERTAIN, inside
+            if not (words & {"article", "content", "main"} and tag in ("article", "main")):
+                cost = _name_cost(names)
+            if role in _FORM_ROLES or ("header" in words and not inside):
+                cost = min(cost, _NAMED)
             if words & _CONTENT_WORDS:
                 value = value + 1.0 if value > -_CERTAIN else value
-    return value, inside
+    return value, inside, cost
+
+
+def _judge(found: list[tuple[Block, _Open]], soft: dict[int, _Soft]) -> None:
+    """Charge each block for the page parts around it.
+
+    A form with much text for its controls is a wrapper. So is, where no article stands free of
+    page parts, an article's surroundings, and without any article an element with most of the text.
+    """
+    if not soft:
+        return
+    open_text = [(b, o) for b, o in found if o.evidence > -_CERTAIN]
+    total = 0
+    for block, top in open_text:
+        size = len(block.text) - min(block.links, len(block.text))
+        total += size
+        if top.soft:
+            soft[top.soft].size += size
+            soft[top.soft].words += block.text.count(" ") + 1
+    for own in reversed(soft.values()):  # inner elements come after outer ones
+        if own.above:
+            above = soft[own.above]
+            above.size, above.words, above.controls = above.size + own.size, above.words + own.words, above.controls + own.controls
+    inside = any(o.inside for _, o in open_text)
+    every, near = {0: 0.0}, {}  # least cost on the way out, of all elements and up to the last article
+    for number, own in soft.items():
+        cost = min(own.cost, _FORM if own.form and own.controls and own.words < _FORM_WORDS * own.controls else 0.0)
+        cost = cost if inside or own.size <= _MOST * total else 0.0
+        every[number] = min(cost, every[own.above])
+        near[number] = cost if own.above == own.outer else min(cost, near[own.above])
+    free = any(o.inside and not every[o.soft] for _, o in open_text)
+    for block, top in open_text:
+        cost = every[top.soft] if free else 0.0 if top.soft == top.outer else near[top.soft]
+        if cost < 0:
+            block.structure = min(block.structure, 0.0) + cost
 
 
 def blocks_of(page: str) -> list[Block]:
     """The non-empty text blocks of a page in order."""
-    out: list[Block] = []
+    out: list[tuple[Block, _Open]] = []
+    soft: dict[int, _Soft] = {}
     stack = [_Open("", 0, 0.0, False)]
     parts: list[str] = []
     numbers, links, at, end = 1, 0, 0, len(page)
@@ -125,7 +197,7 @@ def blocks_of(page: str) -> list[Block]:
                     i -= 1
                 top = stack[i]
                 holder = stack[max(i - 1, 0)] if top.tag in _LEAVES else top
-                out.append(Block(text, links, stack[-1].evidence, holder.number, top.tag))
+                out.append((Block(text, links, stack[-1].evidence, holder.number, top.tag), stack[-1]))
             parts.clear()
         links = 0
 
@@ -150,6 +222,9 @@ def blocks_of(page: str) -> list[Block]:
         if found[2] is None:
             continue
         tag, closing = found[2].lower(), bool(found[1])
+        if tag in _CONTROLS and not closing and not _UNSEEN.search(found[3]):
+            if stack[-1].soft:
+                soft[stack[-1].soft].controls += 1
         if tag in _RAW and not closing:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end
@@ -170,11 +245,19 @@ def blocks_of(page: str) -> list[Block]:
             close(_CLOSES[tag], {"ul", "ol", "table", "dl", "div", "article", "section", "body", "select"} - _CLOSES[tag])
         if tag in _VOID or found.group().endswith("/>") and tag in ("img", "path"):
             continue
-        value, inside = _evidence(tag, found[3], stack[-1])
-        stack.append(_Open(tag, numbers, value, inside))
+        above = stack[-1]
+        value, inside, cost = _evidence(tag, found[3], above)
+        own, outer = above.soft, above.outer
+        if tag in ("article", "main"):
+            outer = own
+        if cost or tag in _FORMS:
+            soft[numbers] = _Soft(cost, tag in _FORMS, own, outer)
+            own = numbers
+        stack.append(_Open(tag, numbers, value, inside, own, outer))
         numbers += 1
     flush()
-    return out
+    _judge(out, soft)
+    return [block for block, _ in out]
 
 
 FEATURES = 6

@@ -40,6 +40,21 @@ def test_pages_without_an_article_are_judged_by_text():
     assert maincontent.main_text(page, MODEL) == f"{text}\n{text}"
 
 
+REAL = "A long paragraph of real text, with several sentences in it. It goes on for a while, as paragraphs do."
+
+
+@pytest.mark.parametrize("body", [
+    f"<form><input type=hidden name=s><input name=q><p>{REAL}</p><p>{REAL}</p></form>", f"<form><article><p>{REAL}</p><p>{REAL}</p></article></form>",
+    f"<div class='content has-sidebar'><p>{REAL}<p>{REAL}</div>", f"<div class='content has-sidebar'><article><p>{REAL}<p>{REAL}</article></div>",
+    f"<div id='search-wrapper'><article><p>{REAL}<p>{REAL}</article></div>", f"<div id='search-wrapper'><p>{REAL}<p>{REAL}</div>",
+    f"<div class='sidebar'><main><p>{REAL}<p>{REAL}</main></div>", f"<div class=notice><p>{REAL}<p>{REAL}</div><div class=related><p>Other things</div>",
+    f"<article><p>{REAL}<p>{REAL}</article><div class='related'><article>Read this one too, it is good.</article></div><div class=site-comments>{REAL}</div>",
+    f"<article><p>{REAL}<p>{REAL}<form>Your mail address, for news of us.<input><button>Go</button></form></article>"])
+def test_wrapped_text_is_kept_and_page_parts_are_not(body):
+    page = f"<body><nav><a href=1>Home</a></nav>{body}<footer>End</footer>"
+    assert maincontent.main_text(page, MODEL) == f"{REAL}\n{REAL}"
+
+
 def test_minimum_cut_is_minimal():
     for _ in range(200):
         n = rng.randrange(1, 7)
