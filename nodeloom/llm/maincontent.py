@@ -27,8 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nodeloom.llm.samples import even, spread
+
 #: Sampled blocks the text classifier is fitted on.
 FIT_BLOCKS = 20_000
+#: Blocks that one sampled page gives at most, and that a page has about.
+_PAGE_BLOCKS, _USUAL_BLOCKS = 100, 10
 NEAR, SIBLING = 0.6, 0.8
 _CERTAIN = 50.0
 #: Costs of an element whose name ends in, or only has, a word of a page part; and of a form with little text for its controls.
@@ -285,17 +289,18 @@ def fit(rows: np.ndarray, labels: np.ndarray, rounds: int = 300, rate: float = 0
 
 
 def fit_model(pages: DataFrame, page: str = "html", fit_blocks: int = FIT_BLOCKS) -> list[float]:
-    """Weights of the text features from at most ``fit_blocks`` blocks with clear structural evidence."""
+    """Weights of the text features from at most ``fit_blocks`` blocks with clear structural evidence, from pages of the whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
                 found = [(features(b), float(b.structure > 0)) for b in blocks_of(value.as_py() or "") if b.structure]
+                found = [found[i] for i in even(len(found), _PAGE_BLOCKS)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.float64())], ["x", "y"])
 
-    # Blocks are taken from the first partitions, one after another, until there are enough.
-    sample = pages.select(page).mapInArrow(run, "x array<double>, y double").head(fit_blocks)
+    sample = spread(pages, max(fit_blocks // _USUAL_BLOCKS, 1)).select(page).mapInArrow(run, "x array<double>, y double").collect()
+    sample = [sample[i] for i in even(len(sample), fit_blocks)]
     return fit(np.array([r["x"] for r in sample]).reshape(-1, FEATURES), np.array([r["y"] for r in sample])).tolist()
 
 

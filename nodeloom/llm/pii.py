@@ -10,7 +10,7 @@ passing runs over all documents of a slice at once. A node run is added as a spa
 posterior is at least ``SURE`` and the text has the shape of its kind.
 
 Defined results: null text is empty and has no spans; repeated rows are judged one by one;
-without any labelled word in the sample the field adds nothing; other columns pass through.
+without any labelled word in the table the field adds nothing; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nodeloom.llm.samples import even, share
 from nodeloom.llm.spans import ROWS, SPANS, Span, count, joined, span_array
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,6 +35,8 @@ LABELS = ("", *KINDS)
 _RANK = {kind: i for i, kind in enumerate(KINDS)}
 #: Words (with a digit or at sign) the field is fitted on.
 FIT_WORDS = 40_000
+#: Part of them that one document, or one task looking for kinds the sample lacks, gives at most.
+_EACH = 100
 SURE = 0.9
 ROUNDS = 8
 
@@ -202,24 +205,58 @@ def fit(features: list[list[int]], label: np.ndarray, chain: np.ndarray, skip: n
 
 
 def fit_model(docs: DataFrame, text: str = "text", fit_words: int = FIT_WORDS) -> Model | None:
-    """Fit on at most ``fit_words`` words of documents that have a digit or an at sign."""
+    """Fit on at most ``fit_words`` words of documents that have a digit or an at sign, drawn from the whole table.
+
+    Kinds that the sample lacks are looked for in all rows; their words take up to half of the bound.
+    """
+    each = max(fit_words // _EACH, 1)
+
+    def words(text: str, spans: list[Span]) -> list[tuple]:
+        graph = Graph()
+        add_document(graph, 0, text, spans)
+        before, alike = [-1] * len(graph.spot), [-1] * len(graph.spot)
+        for a, b in graph.chain:
+            before[b] = graph.label[a]
+        for a, b in graph.skip:
+            alike[b] = graph.label[a]
+        return list(zip(graph.features, graph.label, before, alike, strict=True))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        x, *rest = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), *[pa.array(c, pa.int32()) for c in rest]], ["x", "y", "c", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            graph = Graph()
-            for i, value in enumerate(batch.column(0)):
-                add_document(graph, i, value.as_py(), base_spans(value.as_py()))
-            before, alike = [-1] * len(graph.spot), [-1] * len(graph.spot)
-            for a, b in graph.chain:
-                before[b] = graph.label[a]
-            for a, b in graph.skip:
-                alike[b] = graph.label[a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(graph.features, pa.list_(pa.int32())), *[pa.array(c, pa.int32()) for c in (graph.label, before, alike)]], ["x", "y", "c", "s"])
-
-    # Words are taken from the first partitions, one after another, until there are enough.
-    sample = docs.select(text).filter(F.col(text).rlike("[0-9@]"))
-    rows = sample.mapInArrow(run, "x array<int>, y int, c int, s int").head(fit_words)
+            rows: list[tuple] = []
+            for value in batch.column(0):
+                found = words(value.as_py(), base_spans(value.as_py()))
+                rows += [found[i] for i in even(len(found), each)]
+            yield batch_of(rows)
+
+    schema = "x array<int>, y int, c int, s int"
+    some = docs.filter(F.col(text).rlike("[0-9@]"))
+    total = some.agg(F.sum(F.least(F.regexp_count(text, F.lit(r"[0-9@]\S*")), F.lit(each)))).first()[0] or 0
+    rows = share(some, 0.9 * fit_words / max(total, 1) if total > fit_words else 1.0).select(text).mapInArrow(run, schema).collect()
+    rows = [rows[i] for i in even(len(rows), fit_words)]
+    lacking = set(range(1, len(LABELS))) - {r["y"] for r in rows}
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = dict.fromkeys(lacking, each)  # words of each kind that this task still gives
+        for batch in batches:
+            out: list[tuple] = []
+            for value in batch.column(0):
+                spans = base_spans(value.as_py()) if any(left.values()) else []
+                if any(left.get(LABELS.index(kind)) for kind, _, _ in spans):
+                    for row in words(value.as_py(), spans):
+                        if left.get(row[1]):
+                            left[row[1]] -= 1
+                            out.append(row)
+            yield batch_of(out)
+
+    if lacking and total > fit_words:
+        more = some.select(text).mapInArrow(search, schema).collect()
+        more = [more[i] for i in even(len(more), fit_words // 2)]
+        rows = [rows[i] for i in even(len(rows), fit_words - len(more))] + more
     label = np.array([r["y"] for r in rows], int)
     pairs = [np.array([(r[c], r["y"]) for r in rows if r[c] >= 0], int).reshape(-1, 2) for c in ("c", "s")]
     return fit([r["x"] for r in rows], label, *pairs)

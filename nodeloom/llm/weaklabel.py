@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.llm.bytewords import SPACED, Words, mix, slices, words_of
+from nodeloom.llm.samples import even, spread
 
 LABELLERS = ("length", "symbols", "repeats", "variety", "sentences", "lines", "short_words", "bars")
 #: Sampled documents the linear scorer is fitted on.
@@ -213,7 +214,7 @@ def label_model(docs: DataFrame, text: str = "text") -> LabelModel:
 
 
 def scorer(docs: DataFrame, labels: LabelModel, text: str = "text", fit_docs: int = FIT_DOCS) -> np.ndarray:
-    """Fit the hashed linear scorer on at most ``fit_docs`` documents."""
+    """Fit the hashed linear scorer on at most ``fit_docs`` documents of the whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words, hashes in _each_slice(batches, 0):
@@ -223,8 +224,8 @@ def scorer(docs: DataFrame, labels: LabelModel, text: str = "text", fit_docs: in
                 pa.array(np.split(slot, cuts), pa.list_(pa.int64())), pa.array(np.split(value, cuts), pa.list_(pa.float64())),
                 pa.array(labels.posterior(votes(words, hashes)))], ["slot", "value", "good"])
 
-    # Documents are taken from the first partitions, one after another, until there are enough.
-    sample = docs.select(text).mapInArrow(run, "slot array<bigint>, value array<double>, good double").head(fit_docs)
+    sample = spread(docs, fit_docs).select(text).mapInArrow(run, "slot array<bigint>, value array<double>, good double").collect()
+    sample = [sample[i] for i in even(len(sample), fit_docs)]
     return fit_scorer([(np.array(r["slot"], int), np.array(r["value"], float)) for r in sample], np.array([r["good"] for r in sample]))
 
 

@@ -108,6 +108,22 @@ def test_classifier_on_held_out_rows(spark):
     assert sum(r["kept"] == bool(rows[r["doc_id"]][1]) for r in got) >= 0.95 * len(rows)
 
 
+def test_samples_are_drawn_from_the_whole_table(spark):
+    rows = sorted(documents(), key=lambda r: -r[1])  # all good ones first
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string").coalesce(2)
+    weights = weaklabel.scorer(table, weaklabel.label_model(table), fit_docs=300)
+    right = 0
+    for t, good in rows:
+        words = words_of(__import__("pyarrow").array([t]), SPACED)
+        _, slot, value = weaklabel.features(words, words.hashes())
+        right += (weights[slot] @ value + weights[-1] >= 0) == good
+    assert right >= 0.95 * len(rows)
+    pages = [(i, f"<article><p>{'Real words, many of them. ' * 9}</article>") for i in range(300)]
+    pages += [(i, f"<nav><a href=1>Home {i}</a></nav>") for i in range(300, 600)]
+    model = maincontent.fit_model(spark.createDataFrame(pages, "page_id bigint, html string").coalesce(2), fit_blocks=200)
+    assert model != [-2.0, 1.0, -4.0, 1.0, 0.0, 0.0]
+
+
 def test_expectation_maximisation_recovers_rates():
     true = np.array([[[0.6, 0.3, 0.1], [0.02, 0.28, 0.7]], [[0.4, 0.6, 0.0], [0.01, 0.99, 0.0]], [[0.5, 0.2, 0.3], [0.1, 0.2, 0.7]]])
     draw = np.random.default_rng(1)

@@ -179,6 +179,16 @@ def test_field_adds_repeated_and_merged_spans_only():
     assert pii.find(texts, None) == [pii.base_spans(t) for t in texts]
 
 
+def test_field_is_fitted_on_the_whole_table(spark):
+    texts = [" ".join(str(n) for n in range(900))] + [f"{i} and {i + 1} of {i % 7}" for i in range(500)] + corpus() + ["10.1.2.3 "] + ["none"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
+    fitted = pii.fit_model(table, fit_words=800)
+    again = "Call +1 (217) 555-7713 now. Later (217) 555-7713 again."
+    assert fitted is not None and len(pii.find([again], fitted)[0]) == 2
+    rare = spark.createDataFrame([(i, f"{i} of {i + 1} and {i * 7}") for i in range(3000)] + [(-1, "Write to a.b@c.example.com now.")], "doc_id bigint, text string")
+    assert pii.fit_model(rare, fit_words=100) is not None
+
+
 def test_messages_agree_with_exact_marginals_on_a_chain():
     fitted = model()
     graph = pii.Graph()
