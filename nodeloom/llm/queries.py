@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import contamination, maincontent, nearcopies, packing, pii, quality, secrets, urlrules, warc, weaklabel
+from nodeloom.llm import contamination, infill, maincontent, nearcopies, packing, pii, quality, secrets, urlrules, warc, weaklabel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,3 +179,36 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return nearcopies.report(table(spark, sf, "documents"))
+
+
+@query
+def op13_infill(spark: SparkSession, sf: str) -> DataFrame:
+    return infill.report(table(spark, sf, "documents"))
+
+
+SQL["op13_infill"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines,
+    CAST(concat('0x', substr(s, 1, 8)) AS BIGINT) AS h1, CAST(concat('0x', substr(s, 9, 8)) AS BIGINT) AS h2,
+    CAST(concat('0x', substr(s, 17, 8)) AS BIGINT) AS h3, CAST(concat('0x', substr(s, 25, 8)) AS BIGINT) AS h4
+  FROM d
+), c AS (
+  SELECT *, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+         WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT doc_id, t, len(lines) AS n, form, array_to_string(lines[1:a], '') AS pre,
+    array_to_string(lines[a + 1:b], '') AS mid, array_to_string(lines[b + 1:], '') AS suf
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form = 'plain' THEN NULL ELSE CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid)
+    ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
