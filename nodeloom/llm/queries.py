@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import contamination, infill, maincontent, nearcopies, packing, pii, quality, secrets, urlrules, warc, weaklabel
+from nodeloom.llm import (
+    contamination,
+    infill,
+    maincontent,
+    nearcopies,
+    packing,
+    pii,
+    quality,
+    resampling,
+    secrets,
+    urlrules,
+    warc,
+    weaklabel,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -212,3 +225,66 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
   sha256(t) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+#: CRC-32 of each half byte, for SQL that has no such function.
+CRC_NIBBLES = [
+    0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+    3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108,
+]
+
+SQL["op11_resampling"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), df AS (
+  SELECT rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d
+), dn AS (
+  SELECT rid, f, count(*) AS n FROM df GROUP BY rid, f
+), bf AS (
+  SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b
+), bn AS (
+  SELECT f, count(*) AS n FROM bf GROUP BY f
+), names AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM dn UNION SELECT f FROM bn)
+), crc AS (
+  SELECT f, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(h)),
+        lambda i: CAST(strpos('0123456789ABCDEF', substr(h, xor(i, 1) + 1, 1)) - 1 AS BIGINT))),
+      lambda c, x: xor(c >> 4, CRC_NIBBLES[(xor(c, x) & 15) + 1])), CAST(4294967295 AS BIGINT)) % 10000 AS bucket
+  FROM names
+), s AS (
+  SELECT bucket, sum(n) AS n FROM dn JOIN crc USING (f) GROUP BY bucket
+), t AS (
+  SELECT bucket, sum(n) AS n FROM bn JOIN crc USING (f) GROUP BY bucket
+), a AS (
+  SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s_all, (SELECT coalesce(sum(n), 0) FROM t) AS t_all
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE))
+      / (CAST(s.n + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), a
+), m AS (
+  SELECT rid, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+  FROM dn JOIN crc USING (f) JOIN g USING (bucket) GROUP BY rid
+), r AS (
+  SELECT rid, doc_id, len(w) >= 20 AS open, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))
+      AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN m USING (rid)
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY open ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY open) AS n FROM r
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN open AND place <= 25 * n // 100 THEN place END AS rank FROM k
+""".replace("CRC_NIBBLES", str(CRC_NIBBLES))
