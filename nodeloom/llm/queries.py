@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from nodeloom.llm import (
     contamination,
     infill,
+    langid,
     maincontent,
     nearcopies,
     packing,
@@ -288,3 +289,8 @@ WITH d AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN open AND place <= 25 * n // 100 THEN place END AS rank FROM k
 """.replace("CRC_NIBBLES", str(CRC_NIBBLES))
+
+
+@query
+def op12_language(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.report(table(spark, sf, "documents"))
