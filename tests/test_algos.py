@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from nodeloom.operators import algos
-from nodeloom.plans import skew
+from nodeloom.plans import components, skew
 from tests.conftest import hub_graph, rows
 
 
@@ -54,15 +54,56 @@ def test_components(make, cut):
     assert got == [(3, 3), (5, 5), (6, 5), (7, 5), (9, 9), (20, 20), (21, 20), (22, 20)]
 
 
-def test_components_of_a_long_path_take_few_rounds(make, monkeypatch):
+ROUND_TABLES = {"cc_step", "cc_double"}
+
+
+def rounds_of(pairs, make, monkeypatch):
+    """Labels and the number of pointer rounds."""
     calls = []
-    original = algos.save
-    monkeypatch.setattr(algos, "save", lambda df, name="t": calls.append(name) or original(df, name))
-    n = 64
+    original = components.save
+    monkeypatch.setattr(components, "save", lambda df, name="t": calls.append(name) or original(df, name))
+    got = dict(rows(algos.connected_components(make.edges(pairs))))
+    return got, sum(name in ROUND_TABLES for name in calls), calls.count("cc_step")
+
+
+def test_an_ordered_path_takes_as_many_rounds_as_its_length_has_bits(make, monkeypatch):
+    n = 1000
+    got, rounds, contractions = rounds_of([(i, i + 1) for i in range(n)], make, monkeypatch)
+    assert got == dict.fromkeys(range(n + 1), 0)
+    assert rounds <= 15 and contractions == 1
+
+
+def test_orders_that_leave_many_local_minima(make, monkeypatch):
+    """A mixed path, stars whose centre has the largest id, and a comb of them."""
+    n = 200
     order = [(i * 37) % n for i in range(n)]
-    got = rows(algos.connected_components(make.edges(list(zip(order, order[1:])))))
-    assert got == [(i, 0) for i in range(n)]
-    assert len(calls) < 30
+    path = list(zip(order, order[1:]))
+    stars = [(1000 + 100 * s, 300 + 50 * s + i) for s in range(8) for i in range(20)]
+    comb = [(1000 + 100 * s, 1100 + 100 * s) for s in range(7)]
+    got, rounds, contractions = rounds_of(path + stars + comb, make, monkeypatch)
+    assert all(got[i] == 0 for i in range(n)) and all(got[x] == 300 for pair in stars for x in pair)
+    assert contractions <= 8 and rounds <= 32
+
+
+def test_components_match_a_plain_search(make):
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(90)]
+        near = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        want = {}
+        for node in sorted(near):
+            stack = [node] if node not in want else []
+            while stack:
+                x = stack.pop()
+                if x not in want:
+                    want[x] = node
+                    stack += near[x]
+        assert dict(rows(algos.connected_components(make.edges(pairs)))) == want
 
 
 def test_pagerank_matches_numpy(make, cut):
@@ -117,12 +158,11 @@ def test_contraction_labels_with_the_least_node(make):
 def test_components_leave_only_their_result_in_the_folder(spark, make):
     import os
 
-    from nodeloom.plans.components import components
     from nodeloom.plans.store import shared_folder
 
     edges = make.edges([(i, i + 1) for i in range(40)]).toDF("a", "b")
-    components(edges).drop()
+    components.components(edges).drop()
     before = set(os.listdir(shared_folder(spark)))
-    found = components(edges)
+    found = components.components(edges)
     assert set(os.listdir(shared_folder(spark))) - before == {os.path.basename(found.path)}
     found.drop()
