@@ -6,60 +6,34 @@ a small changed set or a node table; only counts reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.plans.components import components
+from nodeloom.plans.frontier import Search
 from nodeloom.plans.skew import SpreadTable, spread
 from nodeloom.plans.store import Saved, materialize, save
 
 
-def propagate_min(
-    edges: SpreadTable, start: DataFrame, message: Callable[[], Column], *,
-    group: list[str] | None = None, max_rounds: int | None = None,
-) -> DataFrame:
-    """Spread minima along edges until nothing changes.
-
-    ``start`` is (*group, node_id, val). Each round only nodes whose value fell send
-    ``message()`` (an expression over ``val`` and edge columns); one aggregation merges the
-    messages with the state and tells which values fell.
-    """
-    keys = [*(group or []), "node_id"]
-    state = save(start.select(*keys, "val", F.lit(True).alias("fell")), "state")
-    rounds, moved = 0, state.rows
-    while moved and (max_rounds is None or rounds < max_rounds):
-        senders = state.df.filter("fell").select(*keys, "val").withColumnRenamed("node_id", "src")
-        sent = edges.join(senders).select(*keys[:-1], F.col("dst").alias("node_id"), message().alias("val"))
-        rows = state.df.select(*keys, "val", F.col("val").alias("_old")).unionByName(
-            sent.withColumn("_old", F.lit(None).cast(start.schema["val"].dataType))
-        )
-        merged = rows.groupBy(*keys).agg(F.min("val").alias("val"), F.min("_old").alias("_old"))
-        merged = merged.select(*keys, "val", (F.col("_old").isNull() | (F.col("val") < F.col("_old"))).alias("fell"))
-        seen = Observation()
-        following = save(merged.observe(seen, F.count_if("fell").alias("moved")), "state")
-        moved = seen.get["moved"]
-        state.drop()
-        state, rounds = following, rounds + 1
-    return state.df.drop("fell")
-
-
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, node_id, dist): hop distance from every root; unreached nodes are absent."""
     start = roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).cast("bigint").alias("val"))
-    out = propagate_min(spread(edges.select("src", "dst"), "src"), start, lambda: F.col("val") + 1,
-                        group=["root"], max_rounds=max_depth)
-    return out.withColumnRenamed("val", "dist")
+    table = spread(edges.select("src", "dst"), "src")
+    found = Search(table, start, lambda: F.col("val") + 1, group=["root"], max_rounds=max_depth).run()
+    return found.withColumnRenamed("val", "dist")
 
 
-def sssp(edges_w: DataFrame, roots: DataFrame, weight: str = "w") -> DataFrame:
-    """(root, node_id, dist): least path weight; works for integer and float weights >= 0."""
+def sssp(edges_w: DataFrame, roots: DataFrame, weight: str = "w", width: float | None = None) -> DataFrame:
+    """(root, node_id, dist): least path weight; works for integer and float weights >= 0.
+
+    ``width`` is the bucket width of :class:`nodeloom.plans.frontier.Search`; without one, every value that fell
+    is sent at once.
+    """
     kind = edges_w.schema[weight].dataType
     start = roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).cast(kind).alias("val"))
     table = spread(edges_w.select("src", "dst", F.col(weight).alias("_w")), "src")
-    out = propagate_min(table, start, lambda: F.col("val") + F.col("_w"), group=["root"])
-    return out.withColumnRenamed("val", "dist")
+    found = Search(table, start, lambda: F.col("val") + F.col("_w"), group=["root"], width=width).run()
+    return found.withColumnRenamed("val", "dist")
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

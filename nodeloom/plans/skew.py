@@ -21,6 +21,13 @@ class SpreadTable:
     saved: Saved
     key: str
     hot: DataFrame | None
+    hot_table: Saved | None = None
+
+    def drop(self) -> None:
+        """Delete the files; call only when nothing lazy still reads them."""
+        self.saved.drop()
+        if self.hot_table:
+            self.hot_table.drop()
 
     def join(self, other: DataFrame) -> DataFrame:
         """Inner join on the key. ``other`` rows of hot keys are repeated once per share."""
@@ -45,7 +52,8 @@ def spread(df: DataFrame, key: str, *, key_rows: int = KEY_ROWS) -> SpreadTable:
     plain = save(df, "edges")
     limit = key_rows
     buckets = bucket_count(df.sparkSession, plain.rows)
-    hot = _hot_keys(plain.df, key, limit) if plain.rows >= limit else None
+    kept = _hot_keys(plain.df, key, limit) if plain.rows >= limit else None
+    hot = kept.df if kept else None
     if hot is None and not buckets:
         return SpreadTable(plain, key, None)
     table, keys = plain.df, [key]
@@ -56,10 +64,13 @@ def spread(df: DataFrame, key: str, *, key_rows: int = KEY_ROWS) -> SpreadTable:
         keys = [key, "_salt"]
     spreaded = save_bucketed(table, "spread", keys, buckets) if buckets else save(table, "spread")
     plain.drop()
-    return SpreadTable(spreaded, key, hot)
+    return SpreadTable(spreaded, key, hot, kept)
 
 
-def _hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame | None:
+def _hot_keys(df: DataFrame, key: str, limit: int) -> Saved | None:
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     hot = save(counts.select(key, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_shares")), "hot")
-    return hot.df if hot.rows else None
+    if not hot.rows:
+        hot.drop()
+        return None
+    return hot

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -59,13 +59,84 @@ class Saved:
         place.getFileSystem(conf).delete(place, True)
 
 
+def write_counted(df: DataFrame, path: str, **measures: Column) -> dict:
+    """Write ``df`` and return its row count ``n`` and the ``measures`` from the same job."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in measures.items()]).write.parquet(path)
+    return seen.get
+
+
+class Parts:
+    """A written table that grows: every ``add`` writes one more part, ``df`` reads all of them.
+
+    Of every level of parts ``FAN`` are merged into one of the next level, so a table of r parts is
+    read from a few files per level and a row is written again log(r) times. The newest part stays
+    alone until the next one is written.
+    """
+
+    FAN = 16
+
+    def __init__(self, blank: DataFrame, name: str):
+        self.blank, self.name = blank, name
+        self.schema, self.spark = blank.schema, blank.sparkSession
+        self.levels: list[list[Saved]] = [[]]
+        self.written = self.merged = 0  # rows added, rows written again by merging
+
+    def _load(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def _write(self, df: DataFrame, **measures: Column) -> tuple[Saved, dict]:
+        path = fresh_path(self.spark, self.name)
+        seen = write_counted(df, path, **measures)
+        return Saved(self._load(path), int(seen["n"]), path), seen
+
+    def add(self, df: DataFrame, **measures: Column) -> dict:
+        """Append the rows of ``df``, which may read this table; the count ``n`` and ``measures``."""
+        part, seen = self._write(df, **measures)
+        self.written += part.rows
+        self._merge()
+        self.levels[0].append(part)
+        return seen
+
+    def _merge(self) -> None:
+        for i in range(len(self.levels)):
+            if len(self.levels[i]) >= self.FAN:
+                old = self.levels[i]
+                together, _ = self._write(self._load(*(p.path for p in old)))
+                self.merged += together.rows
+                self.levels[i] = []
+                if i + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[i + 1].append(together)
+                for p in old:
+                    p.drop()
+
+    @property
+    def rows(self) -> int:
+        return sum(p.rows for level in self.levels for p in level)
+
+    @property
+    def newest(self) -> DataFrame:
+        return self.levels[0][-1].df
+
+    @property
+    def df(self) -> DataFrame:
+        paths = [p.path for level in self.levels for p in level if p.rows]
+        return self._load(*paths) if paths else self.blank.limit(0)
+
+    def drop(self) -> None:
+        for level in self.levels:
+            for p in level:
+                p.drop()
+        self.levels = [[]]
+
+
 def save(df: DataFrame, name: str = "table") -> Saved:
     """Write ``df`` once and read it back; the row count comes from the same job."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return Saved(spark.read.schema(df.schema).parquet(path), int(seen.get["n"]), path)
+    seen = write_counted(df, path)
+    return Saved(spark.read.schema(df.schema).parquet(path), int(seen["n"]), path)
 
 
 ROWS_PER_BUCKET = 8_000_000
