@@ -12,7 +12,8 @@ from functools import reduce as fold
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,27 +71,35 @@ def _vector(col: str) -> Column:
     return array_to_vector(F.col(col).cast("array<double>"))
 
 
-CHUNK = 64  # entries of a vector that are summed as the columns of one row
+#: Widths up to this are summed as columns of generated code, which takes at most 100 fields in one
+#: pass. Per row that is up to ten times faster than a buffer object; at 1,024 entries the buffer is.
+COLUMNS = 96
 
 
-def _vector_sum(df: DataFrame, keys: Sequence[str | Column], col: str, metric: str = "sum") -> DataFrame:
-    """Element-wise sum or mean per key as ``_out``, the same way for every width.
+def _width(df: DataFrame, col: str) -> int:
+    """Entries of the vectors of a table, read from one row; 0 for an empty table."""
+    row = df.filter(F.col(col).isNotNull()).select(F.size(col).alias("k")).first()
+    return row["k"] if row else 0
 
-    Vectors are cut into rows of :data:`CHUNK` entries. The entries of a row are summed as columns in
-    generated code, combined inside each task first; then the chunks of a key are put together.
+
+def _vector_sum(df: DataFrame, keys: Sequence[str | Column], col: str, width: int, metric: str = "sum") -> DataFrame:
+    """Element-wise sum or mean per key as ``_out``, with one exchange for every width.
+
+    Whole vectors are combined inside each task before the exchange: narrow ones as one column per
+    entry, wide ones in a typed buffer. Null vectors are left out; one of another width is an error.
     """
-    keyed = df.select(*keys, F.col(col).alias("_v"))
+    keyed = df.select(*keys, F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
     names = keyed.columns[:-1]
-    last = F.greatest(F.ceil(F.size("_v") / F.lit(CHUNK)).cast("int") - 1, F.lit(0))
-    rows = keyed.withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.select(*names, "_i", F.slice("_v", F.col("_i") * CHUNK + 1, F.lit(CHUNK)).alias("_v"))
-    sums = rows.groupBy(*names, "_i").agg(
-        *[F.sum(F.get("_v", F.lit(j)).cast("double")).alias(f"_c{j}") for j in range(CHUNK)],
-        F.max(F.size("_v")).alias("_k"), F.count(F.lit(1)).alias("_n"))
-    entries = [F.col(f"_c{j}") / F.col("_n") if metric == "mean" else F.col(f"_c{j}") for j in range(CHUNK)]
-    chunk = F.struct("_i", F.slice(F.array(*entries), F.lit(1), F.col("_k")).alias("_v"))
-    whole = sums.select(*names, chunk.alias("_p")).groupBy(*names).agg(F.sort_array(F.collect_list("_p")).alias("_p"))
-    return whole.select(*names, F.flatten(F.transform("_p", lambda p: p["_v"])).alias("_out"))
+    fits = F.when(F.size("_v") == width, F.col("_v")).otherwise(F.raise_error(F.lit(f"a vector has not {width} entries")))
+    if width > COLUMNS:
+        whole = array_to_vector(fits.cast("array<double>"))
+        total = Summarizer.mean(whole) if metric == "mean" else Summarizer.sum(whole)
+        return keyed.groupBy(*names).agg(total.alias("_out")).select(*names, vector_to_array("_out").alias("_out"))
+    rows = keyed.withColumn("_v", fits)
+    sums = rows.groupBy(*names).agg(
+        *[F.sum(F.get("_v", F.lit(j)).cast("double")).alias(f"_c{j}") for j in range(width)], F.count(F.lit(1)).alias("_n"))
+    entries = [F.col(f"_c{j}") / F.col("_n") if metric == "mean" else F.col(f"_c{j}") for j in range(width)]
+    return sums.select(*names, F.array(*entries).cast("array<double>").alias("_out"))
 
 
 def _send(edges: DataFrame, feat: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -102,29 +111,32 @@ def _zeros_like(col: str) -> Column:
 
 
 def aggregate_mean(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None = None,
-                   by: Sequence[str] = ()) -> DataFrame:
+                   by: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """(node_id, feat, neigh): own vector and the mean of the in-neighbours', 0 without any.
 
-    ``nodes`` limits the output to the destinations asked for.
+    ``nodes`` limits the output to the destinations asked for. ``width``, here and below, is the length
+    of the vectors; without it, it is read from one row.
     """
     by = list(by)
-    means = _vector_sum(_send(edges, feat, by), [*by, F.col("dst").alias("node_id")], "feat", "mean")
+    width = _width(feat, "feat") if width is None else width
+    means = _vector_sum(_send(edges, feat, by), [*by, F.col("dst").alias("node_id")], "feat", width, "mean")
     own = feat if nodes is None else feat.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     joined = own.select(*by, "node_id", "feat").join(means, [*by, "node_id"], "left")
     return joined.select(*by, "node_id", "feat", F.coalesce("_out", _zeros_like("feat")).alias("neigh"))
 
 
 def aggregate_gcn(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None = None,
-                  by: Sequence[str] = ()) -> DataFrame:
+                  by: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """(node_id, neigh): sum of feat[u] / sqrt(outdeg(u) * indeg(v)), degrees at least 1."""
     by = list(by)
+    width = _width(feat, "feat") if width is None else width
     out_deg = edges.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("_od"))
     in_deg = edges.groupBy(*by, F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_id"))
     # The degree goes onto the node table, so the edges are joined once, against a written table.
     norm = F.sqrt(F.col("_od").cast("double"))
     scaled = feat.join(out_deg.withColumnRenamed("src", "node_id"), [*by, "node_id"])
     scaled = materialize(scaled.select(*by, "node_id", F.transform("feat", lambda x: x / norm).alias("feat")), "scaled")
-    sums = _vector_sum(_send(edges, scaled, by), [*by, F.col("dst").alias("node_id")], "feat")
+    sums = _vector_sum(_send(edges, scaled, by), [*by, F.col("dst").alias("node_id")], "feat", width)
     sums = sums.join(in_deg, [*by, "node_id"]).withColumn("_n", F.sqrt(F.col("_id").cast("double")))
     sums = sums.select(*by, "node_id", F.transform("_out", lambda x: x / F.col("_n")).alias("_out"))
     own = feat if nodes is None else feat.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
@@ -133,15 +145,16 @@ def aggregate_gcn(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None = N
 
 
 def aggregate_sage_gcn(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None = None,
-                       by: Sequence[str] = ()) -> DataFrame:
+                       by: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """(node_id, neigh): (sum of neighbours + self) / (indegree + 1)."""
     by = list(by)
+    width = _width(feat, "feat") if width is None else width
     own = feat if nodes is None else feat.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     sent = _send(edges, feat, by).select(*by, F.col("dst").alias("node_id"), "feat")
     if nodes is not None:
         sent = sent.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     rows = sent.unionByName(own.select(*by, "node_id", "feat"))
-    return _vector_sum(rows, [*by, "node_id"], "feat", "mean").withColumnRenamed("_out", "neigh")
+    return _vector_sum(rows, [*by, "node_id"], "feat", width, "mean").withColumnRenamed("_out", "neigh")
 
 
 def edge_softmax(edges: DataFrame, logits: Sequence[str] = ("logit",), by: Sequence[str] = ()) -> DataFrame:
@@ -173,21 +186,22 @@ def attention_logits(edges: DataFrame, score_u: DataFrame, score_v: DataFrame, h
     return joined.select(*by, "src", "dst", *[logit(h) for h in range(heads)])
 
 
-def aggregate_attention(edges: DataFrame, z: DataFrame, heads: int = 1, by: Sequence[str] = ()) -> DataFrame:
+def aggregate_attention(edges: DataFrame, z: DataFrame, heads: int = 1, by: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """(node_id, neigh): attention-weighted sum of projected vectors, heads side by side.
 
     ``z`` is (node_id, feat, el, er): the projected vector with its source and destination
     scores per head.
     """
     by = list(by)
+    width = _width(z, "feat") if width is None else width
     edges = edges.select(*by, "src", "dst")
     logits = attention_logits(edges, z.withColumnRenamed("el", "score"), z.withColumnRenamed("er", "score"), heads, by=by)
     names = [f"l{h}" for h in range(heads)]
     alphas = edge_softmax(logits, names, by).withColumn("_a", F.array(*[F.col(f"alpha_{n}") for n in names]))
     sent = _send(alphas, z, by)
-    width = F.size("feat") / F.lit(heads)
-    scaled = F.transform("feat", lambda x, i: x * F.element_at("_a", F.floor(i / width).cast("int") + 1))
-    sums = _vector_sum(sent.withColumn("_f", scaled), [*by, F.col("dst").alias("node_id")], "_f")
+    each = F.lit(max(width, 1) / heads)
+    scaled = F.transform("feat", lambda x, i: x * F.element_at("_a", F.floor(i / each).cast("int") + 1))
+    sums = _vector_sum(sent.withColumn("_f", scaled), [*by, F.col("dst").alias("node_id")], "_f", width)
     return sums.withColumnRenamed("_out", "neigh")
 
 
@@ -253,13 +267,13 @@ def _sage(edges: DataFrame, feat: DataFrame, nodes: DataFrame, w: Mapping[str, n
           act: str | None) -> DataFrame:
     rows, cols = np.asarray(w["neigh"]).shape
     if rows <= cols:
-        agg = aggregate_mean(edges, feat, nodes, by)
+        agg = aggregate_mean(edges, feat, nodes, by, rows)
         return dense(agg, {"feat": w["self"], "neigh": w["neigh"]}, w.get("b"), act, "h").withColumnRenamed("h", "feat")
     # The mean is linear: project first and move the shorter vectors.
     both = dense(feat.select(*by, "node_id", "feat"), {"feat": np.hstack([w["neigh"], w["self"]])}, out="z")
     both = materialize(both, "project")
     sent = _send(edges, both.select(*by, "node_id", F.slice("z", 1, cols).alias("feat")), by)
-    means = _vector_sum(sent, [*by, F.col("dst").alias("node_id")], "feat", "mean")
+    means = _vector_sum(sent, [*by, F.col("dst").alias("node_id")], "feat", cols, "mean")
     own = both.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
     own = own.select(*by, "node_id", F.slice("z", cols + 1, cols).alias("own")).join(means, [*by, "node_id"], "left")
     total = F.zip_with("own", F.coalesce("_out", _zeros_like("own")), lambda a, b: a + b)
@@ -283,15 +297,15 @@ def conv(kind: str, edges: DataFrame, feat: DataFrame, nodes: DataFrame, w: Mapp
         rows, cols = np.asarray(w["W"]).shape
         if rows > cols:  # the sum is linear: project first and move the shorter vectors
             short = materialize(dense(feat.select(*by, "node_id", "feat"), {"feat": w["W"]}, out="z"), "project")
-            agg = combine(edges, short.withColumnRenamed("z", "feat"), nodes, by)
+            agg = combine(edges, short.withColumnRenamed("z", "feat"), nodes, by, cols)
             return agg.select(*by, "node_id", _finish(F.col("neigh"), bias, act).alias("feat"))
-        return dense(combine(edges, feat, nodes, by), {"neigh": w["W"]}, bias, act, "feat")
+        return dense(combine(edges, feat, nodes, by, rows), {"neigh": w["W"]}, bias, act, "feat")
     if kind != "gat":
         raise ValueError(f"unknown layer kind {kind!r}")
     heads, width = np.asarray(w["al"]).shape
     z = dense(feat.select(*by, "node_id", F.col("feat").alias("x")), {"x": w["W"]}, out="feat")
     z = materialize(_heads_score(z, np.asarray(w["al"]), np.asarray(w["ar"])), "gat")
-    sums = aggregate_attention(edges, z, heads, by)
+    sums = aggregate_attention(edges, z, heads, by, heads * width)
     out = nodes.select(*by, "node_id").join(sums, [*by, "node_id"], "left")
     zeros = F.array(*[F.lit(0.0)] * (heads * width))
     out = out.select(*by, "node_id", F.coalesce("neigh", zeros).alias("x"))
@@ -343,13 +357,18 @@ def gnn_infer_hetero(typed_edges: DataFrame, feat: DataFrame, weights: Sequence[
     h = feat
     for i, layer in enumerate(weights):
         stacked = materialize(_relational_layer(inner, typed_edges, h, sorted(kinds), layer), "relations")
-        h = _vector_sum(stacked, ["ntype", "node_id"], "feat", metric).withColumnRenamed("_out", "feat")
+        h = _vector_sum(stacked, ["ntype", "node_id"], "feat", _out_width(inner, layer), metric).withColumnRenamed("_out", "feat")
         act = "relu" if i + 1 < len(weights) else None
         h = materialize(h.withColumn("feat", _finish(F.col("feat"), None, act)), "relational")
     head = dense(h.filter(F.col("ntype") == target).select("node_id", "feat"), {"feat": linear[0]}, linear[1], out="logits")
     return with_argmax(head, "logits")
 
 
+def _out_width(kind: str, layer: Mapping[str, Mapping[str, np.ndarray]]) -> int:
+    w = next(iter(layer.values()))
+    return int(np.asarray(w["al"]).size if kind == "gat" else np.asarray(w["W"]).shape[1])
+
+
 def _relational_layer(kind: str, typed_edges: DataFrame, h: DataFrame, kinds: Sequence[tuple[str, str, str]],
                       layer: Mapping[str, Mapping[str, np.ndarray]]) -> DataFrame:
     """(ntype, node_id, feat): one row per edge type and destination.
@@ -371,11 +390,11 @@ def _relational_layer(kind: str, typed_edges: DataFrame, h: DataFrame, kinds: Se
     nodes = z.filter("node_id < 0").select("etype", "node_id")
     if kind == "gat":
         heads, width = np.asarray(layer[kinds[0][0]]["al"]).shape
-        sums = aggregate_attention(edges, z, heads, ["etype"])
+        sums = aggregate_attention(edges, z, heads, ["etype"], heads * width)
         zeros = F.array(*[F.lit(0.0)] * (heads * width))
         out = nodes.join(sums, ["etype", "node_id"], "left").withColumn("neigh", F.coalesce("neigh", zeros))
     else:
-        out = (aggregate_gcn if kind == "gcn" else aggregate_sage_gcn)(edges, z, nodes, ["etype"])
+        out = (aggregate_gcn if kind == "gcn" else aggregate_sage_gcn)(edges, z, nodes, ["etype"], _out_width(kind, layer))
     ntype, vec = F.lit(None).cast("string"), F.col("neigh")
     for etype, _, dst_type in kinds:
         here = F.col("etype") == etype

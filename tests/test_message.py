@@ -141,3 +141,25 @@ def test_propagation_and_classifier(make):
     model, table = message.train_classifier(hops, nodes.filter("split = 'train'").select("node_id", "label"), 50, 0.001)
     assert message.evaluate(model, table, nodes, "train").first()["accuracy"] > 90
     assert message.evaluate(model, table, nodes, "test").first()["n"] == N // 2
+
+
+@pytest.mark.parametrize("metric", ["sum", "mean"])
+@pytest.mark.parametrize("width", [1, 6, 64, 96, 97, 1024])
+def test_vector_sums_take_one_exchange_at_any_width(spark, make, width, metric):
+    x = RNG.normal(size=(40, width))
+    table = make.table([(i % 7, [float(v) for v in r]) for i, r in enumerate(x)] + [(3, None)], "k bigint, v array<double>").repartition(4)
+    out = message._vector_sum(table, ["k"], "v", message._width(table, "v"), metric)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
+    got = {r["k"]: r["_out"] for r in out.collect()}
+    for k in range(7):
+        assert np.allclose(got[k], getattr(x[k::7], metric)(axis=0))
+    with pytest.raises(Exception, match="entries"):
+        message._vector_sum(table, ["k"], "v", width + 1, metric).collect()
+
+
+def test_mean_aggregation_of_wide_vectors(make):
+    wide = RNG.normal(size=(N, 300))
+    edges, feat = make.edges(PAIRS), features(make, wide)
+    assert np.allclose(matrix(message.aggregate_mean(edges, feat), "neigh"), mean_in(wide))
+    assert message.aggregate_mean(edges, feat.limit(0)).count() == 0
