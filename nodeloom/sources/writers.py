@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def write_blocks(block_edges: DataFrame, path: str, epoch: int = 0) -> None:
     neighbor_map(block_edges).write.mode("overwrite").partitionBy("layer").parquet(f"{path}/epoch={epoch}")
 
 
+def block_nodes(block_edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(batch_id, layer, node_id, is_dst): the nodes a block reads, its destinations among them.
+
+    ``seeds`` (batch_id, layer, node_id) adds destinations that got no edge.
+    """
+    keys = ["batch_id", "layer"]
+    ends = [block_edges.select(*keys, F.col("src").alias("node_id"), F.lit(False).alias("is_dst")),
+            block_edges.select(*keys, F.col("dst").alias("node_id"), F.lit(True).alias("is_dst"))]
+    if seeds is not None:
+        ends.append(seeds.select(*keys, "node_id", F.lit(True).alias("is_dst")))
+    return reduce(DataFrame.unionByName, ends).groupBy(*keys, "node_id").agg(F.max("is_dst").alias("is_dst"))
+
+
+def write_block_nodes(block_edges: DataFrame, path: str, epoch: int = 0, seeds: DataFrame | None = None) -> None:
+    """Source and destination node sets per (epoch, layer, batch); a job that is run again replaces its epoch."""
+    block_nodes(block_edges, seeds).write.mode("overwrite").partitionBy("layer").parquet(f"{path}/epoch={epoch}")
+
+
 def export_dataset(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Labels, features and edges of a graph as three tables under ``path``."""
     nodes.select("node_id", "label").write.parquet(f"{path}/labels")

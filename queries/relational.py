@@ -41,6 +41,25 @@ def read_edges(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_edges(spark, path, "npy")
 
 
+@query(sql("SELECT src, dst FROM edges", "edges"))
+def read_csr(spark, sf):
+    """The edge list written as shards of binary CSR and read back by ranges of edges."""
+    path = fresh_path(spark, "edges-csr")
+    arrays.write_csr(fx.edges(spark, sf), path)
+    return tables.read_edges(spark, path, "csr")
+
+
+@query(sql("SELECT src, dst FROM edges WHERE src BETWEEN (SELECT min(src) + (max(src) - min(src)) // 3 FROM edges) "
+           "AND (SELECT min(src) + (max(src) - min(src)) // 2 FROM edges)", "edges"))
+def read_csr_range(spark, sf):
+    """The neighbour lists of a range of vertices: the range picks shards and offsets."""
+    path = fresh_path(spark, "edges-csr")
+    arrays.write_csr(fx.edges(spark, sf), path)
+    ends = fx.edges(spark, sf).agg(F.min("src").alias("a"), F.max("src").alias("b")).first()
+    a, b = ends["a"], ends["b"]
+    return tables.read_edges(spark, path, "csr").filter(F.col("src").between(a + (b - a) // 3, a + (b - a) // 2))
+
+
 @query(sql(f"SELECT node_id, {feat_digest_sql()} AS feat_md5 FROM nodes", "nodes"))
 def read_features(spark, sf):
     path = fresh_path(spark, "feat-npy")
@@ -104,6 +123,18 @@ def write_blocks(spark, sf):
                        F.array_join("neighbors", ",").alias("neighbors"))
 
 
+@query(sql("SELECT 0::BIGINT AS epoch, 0::BIGINT AS layer, batch_id, node_id, bool_or(is_dst) AS is_dst FROM ("
+           "SELECT src % 4 AS batch_id, src AS node_id, false AS is_dst FROM edges UNION ALL SELECT src % 4, dst, true FROM edges) "
+           "GROUP BY batch_id, node_id", "edges"))
+def write_block_nodes(spark, sf):
+    """Node sets of four blocks that share out all edges by source."""
+    path = fresh_path(spark, "block-nodes")
+    blocks = fx.edges(spark, sf).select((F.col("src") % 4).alias("batch_id"), F.lit(0).cast("bigint").alias("layer"), "src", "dst")
+    writers.write_block_nodes(blocks, path)
+    return spark.read.parquet(path).select(F.col("epoch").cast("bigint").alias("epoch"), F.col("layer").cast("bigint").alias("layer"),
+                                           "batch_id", "node_id", "is_dst")
+
+
 @query(sql("SELECT 'labels' AS part, (SELECT count(*) FROM nodes) AS n, (SELECT CAST(sum(label) AS BIGINT) FROM nodes) AS total "
            "UNION ALL SELECT 'features', (SELECT count(*) FROM nodes), (SELECT CAST(sum(len(feat)) AS BIGINT) FROM nodes) "
            "UNION ALL SELECT 'edges', (SELECT count(*) FROM edges), (SELECT CAST(sum(src + dst) AS BIGINT) FROM edges)", "nodes", "edges"))

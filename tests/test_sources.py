@@ -128,3 +128,95 @@ def test_rewritten_epoch_replaces_itself(spark, make, tmp_path):
     for epoch in (0, 1, 1):
         writers.write_trace(batch, path, epoch)
     assert spark.read.parquet(path).groupBy("epoch").count().orderBy("epoch").collect() == [(0, 2), (1, 2)]
+
+
+def damage(folder, kept):
+    """Make every shard but the kept ones unreadable."""
+    for file in folder.glob("part-*"):
+        if not any(file.name.startswith(k) for k in kept):
+            file.write_bytes(b"")
+
+
+def test_slice_opens_only_the_shards_of_its_range(spark, make, tmp_path):
+    import json
+
+    df = make.table([(i, [float(i), i / 2]) for i in range(300)], "node_id bigint, feat array<double>")
+    for part in range(3):
+        arrays.write_npy(df.filter(f"node_id DIV 100 = {part}").repartition(5), str(tmp_path), "<f8", order="node_id")
+    manifest = json.loads((tmp_path / "manifest.json").read_text())
+    sizes = [e["shape"][0] for e in manifest]
+    assert len(sizes) > 2 and sum(sizes) == 300
+    low = sizes[0] + 3
+    damage(tmp_path, [manifest[1]["name"]])
+    feats = tables.read_features(spark, str(tmp_path), "npy")
+    got = tables.read_slice(feats, low, 10).collect()
+    assert [r.feat[0] for r in got] == [float(i) for i in range(low, low + 10)]
+    assert feats.filter(f"node_id = {low} AND feat[0] >= 0").count() == 1
+    assert feats.filter(f"node_id IN ({low}, {low + 5}, {low + 1})").count() == 3
+    assert feats.filter(f"node_id > {low} AND node_id <= {low + 4}").count() == 4
+    assert feats.filter("node_id < 0").count() == 0 and feats.filter("node_id = 1000").count() == 0
+
+
+def test_pushed_filters_are_exact(spark, tmp_path):
+    x = np.arange(50.0).reshape(50, 1)
+    np.save(tmp_path / "x.npy", x)
+    df = arrays.read_npy(spark, str(tmp_path / "x.npy"), rows_per_task=8)
+    for condition in ("row >= 10 AND row < 20", "row = 7", "row IN (1, 40)", "row IS NULL", "row = 3 OR row = 30", "NOT row = 5", "row > 48",
+                      "row = NULL", "row <=> 4", "row % 7 = 3 AND row < 30"):
+        want = [r.id for r in spark.range(50).filter(condition.replace("row", "id")).orderBy("id").collect()]
+        assert [r.row for r in df.filter(condition).orderBy("row").collect()] == want, condition
+    assert df.filter("row BETWEEN 16 AND 23").rdd.getNumPartitions() == 1
+
+
+def test_names_only_manifests_are_still_read(spark, tmp_path):
+    import json
+
+    for i in range(2):
+        np.save(tmp_path / f"s{i}.npy", np.full((3, 2), float(i)))
+    (tmp_path / "manifest.json").write_text(json.dumps(["s0.npy", "s1.npy"]))
+    assert [(r.row, r.vals[0]) for r in arrays.read_npy(spark, str(tmp_path)).orderBy("row").collect()] == [(i, float(i // 3)) for i in range(6)]
+
+
+def test_csr_shards_round_trip(spark, make, tmp_path):
+    pairs = hub_graph(90) + [(5000, 1), (5000, 2), (10**7, 3)]
+    path = str(tmp_path / "g")
+    arrays.write_csr(make.edges(pairs).repartition(3), path, shard_edges=20, shard_vertices=64)
+    df = arrays.read_csr(spark, path, rows_per_task=9)
+    assert rows(df) == sorted(pairs) and df.rdd.getNumPartitions() > 5
+    assert rows(df.filter("src = 0")) == sorted(p for p in pairs if p[0] == 0)  # a hub goes over several shards
+    assert rows(df.filter("src BETWEEN 60 AND 70")) == sorted(p for p in pairs if 60 <= p[0] <= 70)
+    assert rows(df.filter("src > 4000 AND dst > 1")) == [(5000, 2), (10**7, 3)]
+    assert df.filter("src = 1234").count() == 0
+    arrays.write_csr(make.edges([(7, 7)]), path)
+    assert rows(arrays.read_csr(spark, path)) == sorted([*pairs, (7, 7)])
+    arrays.write_csr(make.edges([(1, 2)]), path, mode="overwrite")
+    assert rows(tables.read_edges(spark, path, "csr")) == [(1, 2)]
+
+
+def test_csr_filter_opens_only_the_shards_of_its_range(spark, make, tmp_path):
+    import json
+
+    pairs = [(i, j) for i in range(100) for j in range(3)]
+    arrays.write_csr(make.edges(pairs), str(tmp_path), shard_edges=30)
+    manifest = json.loads((tmp_path / "manifest.json").read_text())
+    assert sum(e["edges"] for e in manifest) == 300 and len(manifest) >= 10
+    shard = manifest[4]
+    damage(tmp_path, [shard["name"]])
+    inside = shard["first"] + 2
+    assert rows(arrays.read_csr(spark, str(tmp_path)).filter(f"src = {inside}")) == [(inside, j) for j in range(3)]
+
+
+def test_empty_csr_and_negative_ids(spark, make, tmp_path):
+    arrays.write_csr(make.edges([(1, 2)]).limit(0), str(tmp_path / "none"))
+    assert arrays.read_csr(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="negative"):
+        arrays.write_csr(make.edges([(-1, 2)]), str(tmp_path / "bad"))
+
+
+def test_block_nodes(spark, make, tmp_path):
+    block = make.table([(0, 1, 5, 6), (0, 1, 6, 7), (1, 1, 5, 6)], "batch_id bigint, layer bigint, src bigint, dst bigint")
+    seeds = make.table([(1, 1, 9)], "batch_id bigint, layer bigint, node_id bigint")
+    for _ in range(2):  # a second run replaces the epoch
+        writers.write_block_nodes(block, str(tmp_path / "n"), 3, seeds)
+    back = spark.read.parquet(str(tmp_path / "n")).select("epoch", "layer", "batch_id", "node_id", "is_dst")
+    assert rows(back) == [(3, 1, 0, 5, False), (3, 1, 0, 6, True), (3, 1, 0, 7, True), (3, 1, 1, 5, False), (3, 1, 1, 6, True), (3, 1, 1, 9, True)]
