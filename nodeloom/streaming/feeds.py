@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
@@ -34,9 +34,39 @@ def stream_frequency(accesses: DataFrame, key: str = "node_id") -> DataFrame:
     return accesses.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_batch_frequency(accesses: DataFrame) -> DataFrame:
-    """Running number of batches per node: a node counts once per batch (update mode)."""
-    return accesses.dropDuplicates(["batch_id", "node_id"]).groupBy("node_id").agg(F.count(F.lit(1)).alias("n_batches"))
+def stream_batch_frequency(accesses: DataFrame, open_batches: int | None = None) -> DataFrame:
+    """Running number of batches per node: a node counts once per batch (update mode).
+
+    With ``open_batches`` the batch number (0 or more) is the event time: once a batch is so many behind the
+    newest one of earlier triggers, its (batch, node) pairs leave the state and rows of it that still
+    come are not counted (Spark reports them as dropped by the watermark). Without it every pair is kept
+    for ever; :func:`run_batch_frequency` is exact for any order and keeps none.
+    """
+    if open_batches is None:
+        once = accesses.dropDuplicates(["batch_id", "node_id"])
+    else:
+        timed = accesses.withColumn("_at", F.timestamp_seconds(F.col("batch_id") + 1)).withWatermark("_at", f"{open_batches} seconds")
+        once = timed.dropDuplicatesWithinWatermark(["batch_id", "node_id"])
+    return once.groupBy("node_id").agg(F.count(F.lit(1)).alias("n_batches"))
+
+
+def run_batch_frequency(accesses: DataFrame, name: str = "frequency") -> DataFrame:
+    """(node_id, n_batches) over all that has arrived, in any order.
+
+    Each trigger writes the pairs of batch and node that it saw, and reading counts them once: nothing
+    is held in state, and no trigger reads what another wrote.
+    """
+    spark = accesses.sparkSession
+    out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+    pairs = accesses.select("batch_id", "node_id")
+
+    def sink(df: DataFrame, epoch: int) -> None:
+        df.distinct().write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated trigger replaces its own
+
+    query = pairs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+    seen = spark.read.schema(StructType([*pairs.schema.fields, StructField("epoch", LongType())])).parquet(out)
+    return seen.select("batch_id", "node_id").distinct().groupBy("node_id").agg(F.count(F.lit(1)).alias("n_batches"))
 
 
 def stream_windowed_frequency(accesses: DataFrame, width: str, late: str, key: str = "node_id") -> DataFrame:
@@ -52,21 +82,26 @@ def run_windowed_frequency(accesses: DataFrame, width: str, late: str, key: str
 
     Each trigger writes its own partial counts, and reading adds them up: nothing is held in
     state, so no row is ever too late to count. ``n_late`` tells how many of a window's rows came
-    when earlier triggers had already seen times more than ``late`` after the window's end.
+    when earlier triggers had already seen times more than ``late`` after the window's end. The latest
+    time so far is written as one row per trigger, which is all that the next trigger reads.
     """
     spark = accesses.sparkSession
     out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
     parts = StructType([
         StructField("window_start", TimestampType()), accesses.schema[key], StructField("n", LongType()), StructField("n_late", LongType()),
-        StructField("last", TimestampType()), StructField("epoch", LongType())])
+        StructField("epoch", LongType())])
+    marks, mark = fresh_path(spark, f"{name}-mark"), StructType([StructField("last", TimestampType())])
 
     def sink(df: DataFrame, epoch: int) -> None:
-        seen = spark.read.schema(parts).parquet(out).filter(F.col("epoch") < epoch).agg(F.max("last")).first()[0] if epoch else None
+        seen = spark.read.schema(mark).parquet(f"{marks}/{epoch - 1}").first()["last"] if epoch else None
         closed = F.lit(seen) - F.expr(f"INTERVAL {late}") if seen else F.lit(None).cast("timestamp")
         told = df.withColumn("_w", F.window("ts", width)).withColumn("_late", F.coalesce(F.col("_w.end") <= closed, F.lit(False)))
-        part = told.groupBy(F.col("_w.start").alias("window_start"), key).agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("_late").alias("n_late"), F.max("ts").alias("last"))
+        newest = Observation()
+        part = told.observe(newest, F.max("ts").alias("last")).groupBy(F.col("_w.start").alias("window_start"), key).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("_late").alias("n_late"))
         part.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated trigger replaces its own
+        last = max((t for t in (seen, newest.get["last"]) if t is not None), default=None)
+        spark.createDataFrame([(last,)], mark).coalesce(1).write.mode("overwrite").parquet(f"{marks}/{epoch}")
 
     query = accesses.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()

@@ -277,8 +277,7 @@ def stream_tiers(spark, sf):
 
 @query(sql("SELECT node_id, count(*) AS n_batches FROM visits GROUP BY node_id", "visits"))
 def stream_frequency(spark, sf):
-    updates = feeds.run_to_table(feeds.stream_batch_frequency(_item_stream(spark, sf)), "update", "frequency")
-    return feeds.latest(updates, ["node_id"], ["n_batches"])
+    return feeds.run_batch_frequency(_item_stream(spark, sf))
 
 
 @query(sql("SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d') AS day, user_id AS node_id, count(*) AS n FROM events GROUP BY 1, 2"))

@@ -32,6 +32,7 @@ def test_running_frequency_equals_batch_frequency(spark, make, tmp_path):
     updates = feeds.run_to_table(feeds.stream_batch_frequency(stream), "update")
     assert updates.select("epoch").distinct().count() == 4
     assert rows(feeds.latest(updates, ["node_id"], ["n_batches"])) == rows(access.access_frequency(trace))
+    assert rows(feeds.run_batch_frequency(stream)) == rows(access.access_frequency(trace))
     total = feeds.latest(feeds.run_to_table(feeds.stream_frequency(stream), "update"), ["node_id"], ["n"])
     assert rows(total) == rows(trace.groupBy("node_id").count())
 
@@ -68,3 +69,56 @@ def test_unordered_files_lose_no_row_and_late_ones_are_told(spark, make, tmp_pat
     got = rows(feeds.run_windowed_frequency(stream, "1 hour", "30 minutes"), "window_start", "n", "n_late")
     hour = lambda h: start + timedelta(hours=h)
     assert got == [(hour(0), 3, 1), (hour(1), 2, 1), (hour(4), 1, 0), (hour(5), 2, 0)]
+
+
+def write_in_order(make, folder, parts, schema):
+    """One file per part, read in this order."""
+    folder.mkdir()
+    for i, part in enumerate(parts):
+        make.table(part, schema).coalesce(1).write.parquet(str(folder.parent / f"{folder.name}-{i}"))
+        shutil.copy(next((folder.parent / f"{folder.name}-{i}").glob("*.parquet")), folder / f"{i}.parquet")
+        os.utime(folder / f"{i}.parquet", (1700000000 + i, 1700000000 + i))
+
+
+def state_rows(stream, folder):
+    """Rows in the first stateful operator after every trigger."""
+    query = (stream.writeStream.option("checkpointLocation", str(folder)).outputMode("update").trigger(availableNow=True)
+             .foreachBatch(lambda df, epoch: df.write.format("noop").mode("overwrite").save()).start())
+    query.awaitTermination()
+    return [[s.numRowsTotal for s in p.stateOperators] for p in query.recentProgress]
+
+
+def test_state_of_open_batches_stays_flat(spark, make, tmp_path):
+    nodes = 5
+    parts = [[(t, p, p % nodes) for p in range(8)] for t in range(20)]
+    write_in_order(make, tmp_path / "in", parts, TRACE)
+    stream = feeds.file_stream(spark, str(tmp_path / "in"), make.table([], TRACE).schema)
+    bounded = state_rows(feeds.stream_batch_frequency(stream, open_batches=3), tmp_path / "a")
+    assert len(bounded) >= 20
+    pairs = [max(s) for s in bounded]
+    assert max(pairs) <= 8 * nodes and max(pairs[10:]) <= max(pairs[:10])
+    updates = feeds.run_to_table(feeds.stream_batch_frequency(stream, open_batches=3), "update")
+    assert rows(feeds.latest(updates, ["node_id"], ["n_batches"])) == [(n, 20) for n in range(nodes)]
+
+
+def test_no_trigger_reads_what_others_wrote(spark, make, tmp_path, monkeypatch):
+    """A trigger of the windowed count opens one row of the one before, whatever has been written."""
+    start = datetime(2024, 1, 1)
+    parts = [[(start + timedelta(hours=t, minutes=m), 1) for m in range(3)] for t in range(6)] + [[(start, 1)]]
+    write_in_order(make, tmp_path / "in", parts, "ts timestamp, node_id bigint")
+    stream = feeds.file_stream(spark, str(tmp_path / "in"), make.table([], "ts timestamp, node_id bigint").schema)
+    made, read = [], []
+    monkeypatch.setattr(feeds, "fresh_path", lambda s, name: made.append(str(tmp_path / name)) or made[-1])
+    original = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths, **kw: read.extend(paths) or original(self, *paths, **kw))
+    got = rows(feeds.run_windowed_frequency(stream, "1 hour", "30 minutes"), "window_start", "n", "n_late")
+    assert got == [(start, 4, 1)] + [(start + timedelta(hours=h), 3, 0) for h in range(1, 6)]
+    out = str(tmp_path / "windows")
+    assert [p for p in read if p.startswith(out)] == [f"{out}-mark/{i}" for i in range(6)] + [out]
+
+
+def test_batch_counts_in_any_order_keep_no_state(spark, make, tmp_path):
+    parts = [[(3, 0, 7)], [(0, 0, 7), (3, 1, 7)], [(0, 1, 7), (1, 0, 8)], [(3, 2, 8)]]
+    write_in_order(make, tmp_path / "in", parts, TRACE)
+    stream = feeds.file_stream(spark, str(tmp_path / "in"), make.table([], TRACE).schema)
+    assert rows(feeds.run_batch_frequency(stream)) == [(7, 2), (8, 2)]
