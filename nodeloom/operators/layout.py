@@ -226,13 +226,47 @@ def layout_from_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return global_rank(placed, order, "pos").select("pos", "node_id")
 
 
-def chain_sets(overlap: dict[tuple[int, int], int], count: int) -> list[int]:
-    """Order of the sets: from set 0 always to the unvisited set sharing most, lowest on ties."""
-    chain, left = [0], set(range(1, count))
-    while left:
+#: Nearest sets of every set that the driver holds while it chains.
+NEAR = 16
+
+
+def chain_sets(overlap: DataFrame, count: int, near: int = NEAR) -> list[int]:
+    """Order of the sets 0 to ``count`` - 1: from set 0 always to the unvisited set sharing most, lowest on ties.
+
+    ``overlap`` is (i, j, n) for both directions of every pair that shares any; it stays a written
+    table. The driver holds the ``near`` best unvisited neighbours of each set, at most ``count * near`` rows,
+    and draws the lists again from the table, for the sets that are left, when one of them is used up.
+    """
+    table = save(overlap.select("i", "j", "n"), "overlap")
+    chain, used, lists, whole = list(range(min(count, 1))), {0}, {}, set()
+    lowest = 1
+
+    def draw() -> None:
+        left = table.df
+        gone = table.df.sparkSession.createDataFrame([(x,) for x in used], "j bigint")
+        left = left.join(gone, "j", "left_anti").join(gone.filter(F.col("j") != chain[-1]).withColumnRenamed("j", "i"), "i", "left_anti")
+        best = top_k_per_group(left, ["i"], [F.desc("n"), F.col("j")], near).select("i", "j", "rn")
+        lists.clear()
+        whole.clear()
+        for row in sorted(best.collect(), key=lambda r: (r["i"], r["rn"])):
+            lists.setdefault(row["i"], []).append(row["j"])
+        whole.update(i for i, js in lists.items() if len(js) < near)
+
+    drawn = False
+    while 0 < len(chain) < count:
         here = chain[-1]
-        chain.append(max(left, key=lambda j: (overlap.get((here, j), 0), -j)))
-        left.remove(chain[-1])
+        following = next((j for j in lists.get(here, []) if j not in used), None)
+        if following is None and (not drawn or (here in lists and here not in whole)):
+            draw()
+            drawn = True
+            continue
+        if following is None:  # nothing shared with any set that is left
+            while lowest in used:
+                lowest += 1
+            following = lowest
+        chain.append(following)
+        used.add(following)
+    table.drop()
     return chain
 
 
@@ -249,13 +283,10 @@ def seed_sets(edges: DataFrame, nodes: DataFrame, hops: int, below: int, k: int)
 def reorganize_graph(edges: DataFrame, nodes: DataFrame, hops: int, below: int = 8, k: int = 100) -> DataFrame:
     """(pos, node_id): sets of related nodes chained by overlap, then everything else.
 
-    The driver sees the k x k overlap counts only, and k is refused beyond 2,000.
+    The driver sees the order of the k sets and a few nearest sets of each (:func:`chain_sets`).
     """
-    if k > 2000:
-        raise ValueError("the overlap chain is meant for at most 2,000 seeds")
     sets = materialize(seed_sets(edges, nodes, hops, below, k), "sets")
-    counts = {(r.i, r.j): r.n for r in pairwise_overlap(sets).collect()}
-    chain = chain_sets(counts, sets.select("set_id").distinct().count())
+    chain = chain_sets(pairwise_overlap(sets), sets.select("set_id").distinct().count())
     ranks = edges.sparkSession.createDataFrame([(s, i) for i, s in enumerate(chain)], "set_id bigint, set_rank bigint")
     return layout_from_sets(sets.join(F.broadcast(ranks), "set_id").select("set_rank", "pos", "node_id"), nodes)
 

@@ -131,10 +131,49 @@ def test_layout_from_sets_takes_the_first_occurrence(make):
     assert [n for _, n in rows(layout.layout_from_sets(sets_, make.nodes(range(6))))] == [4, 2, 5, 0, 1, 3]
 
 
-def test_chain_prefers_overlap_then_the_lowest():
-    overlap = {(0, 2): 3, (2, 0): 3, (0, 1): 1, (1, 0): 1, (2, 3): 0}
-    assert layout.chain_sets(overlap, 4) == [0, 2, 1, 3]
-    assert layout.chain_sets({}, 1) == [0]
+def overlap_table(make, overlap):
+    return make.table([(i, j, n) for (i, j), n in overlap.items()], "i bigint, j bigint, n bigint")
+
+
+def plain_chain(overlap, count):
+    near = {}
+    for (i, j), n in overlap.items():
+        near.setdefault(i, []).append((-n, j))
+    chain, left, low = [0], set(range(1, count)), 1
+    while left:
+        best = min((x for x in near.get(chain[-1], []) if x[1] in left), default=None)
+        while low not in left:
+            low += 1
+        chain.append(best[1] if best else low)
+        left.remove(chain[-1])
+    return chain
+
+
+def test_chain_prefers_overlap_then_the_lowest(make):
+    overlap = {(0, 2): 3, (2, 0): 3, (0, 1): 1, (1, 0): 1}
+    assert layout.chain_sets(overlap_table(make, overlap), 4) == [0, 2, 1, 3]
+    none = overlap_table(make, overlap).limit(0)
+    assert layout.chain_sets(none, 1) == [0] and layout.chain_sets(none, 3) == [0, 1, 2] and layout.chain_sets(none, 0) == []
+
+
+@pytest.mark.parametrize("near", [1, 3])
+def test_chain_with_short_lists_is_the_plain_chain(make, near):
+    rng = random.Random(6)
+    pairs = {(i, j): rng.randrange(1, 5) for i in range(25) for j in range(i) if rng.random() < 0.3}
+    overlap = pairs | {(j, i): n for (i, j), n in pairs.items()}
+    assert layout.chain_sets(overlap_table(make, overlap), 27, near) == plain_chain(overlap, 27)
+
+
+def test_chain_of_five_thousand_sets(spark, make, monkeypatch):
+    """Every set shares members with its 20 nearest in a ring of mixed order; lists are drawn a few times only."""
+    count, draws = 5000, []
+    place = [(i * 1237) % count for i in range(count)]
+    at = {p: i for i, p in enumerate(place)}
+    overlap = {(i, at[(place[i] + d) % count]): 30 - abs(d) for i in range(count) for d in range(-10, 11) if d}
+    original = layout.top_k_per_group
+    monkeypatch.setattr(layout, "top_k_per_group", lambda *a, **k: draws.append(1) or original(*a, **k))
+    assert layout.chain_sets(overlap_table(make, overlap), count) == plain_chain(overlap, count)
+    assert len(draws) <= 5
 
 
 def test_reorganize_graph_matches_brute_force(make):
