@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.operators import algos, feed, gather, ordering, sampling, stats
+from nodeloom.operators import algos, feed, gather, ordering, partition, sampling, stats
 from nodeloom.plans.store import materialize
 from queries import fixtures as fx
 from queries.fixtures import feat_digest, feat_digest_sql, sql
@@ -274,6 +274,14 @@ def edge_cut(spark, sf):
     return sampling.edge_cut(fx.edges(spark, sf), _parts(spark, sf))
 
 
+@query(sql("SELECT rn * 8 // (SELECT count(*) FROM ids) AS part, count(*) AS nodes FROM (SELECT row_number() OVER (ORDER BY node_id) - 1 AS rn FROM ids) GROUP BY 1",
+           "ids"))
+def partition_graph_sizes(spark, sf):
+    """Nodes per part of the multilevel partition; the cut itself is tested on planted clusters."""
+    found = partition.partition_graph(fx.edges(spark, sf), fx.ids(spark, sf), 8, rounds=3)
+    return found.parts.groupBy("part").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 _CLUSTERS = ("SELECT o.batch_id, p.node_id FROM parts p JOIN (SELECT part, (row_number() OVER (ORDER BY md5('3|0|' || part), part) - 1) // 2 AS batch_id "
              "FROM (SELECT DISTINCT part FROM parts)) o USING (part)")
 
