@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.operators import message
+from nodeloom.operators import message, softmax
+from nodeloom.plans.store import materialize
 from queries import fixtures as fx
 from queries.fixtures import VECTOR_TEXT_SQL, sql, vector_text
 from queries.graph import _blocks, sampled_ctes
@@ -410,42 +411,56 @@ def propagate_features(spark, sf):
     return out.select("node_id", "hop", vector_text("feat").alias("vec"))
 
 
+STEPS, RATE, REG = 4, 4.0, 0.01
+
+
+def _softmax_sql() -> dict[str, str]:
+    """The same gradient steps as CTEs; the bias is the feature after the last one."""
+    ctes = {
+        "x0": _X, "m0": _mean_sql("x0"),
+        "xs": f"SELECT node_id, dim, x FROM x0 UNION ALL SELECT node_id, dim + {WIDTH}, x FROM m0 UNION ALL SELECT node_id, {2 * WIDTH}, 1::DOUBLE FROM nodes",
+        "tr": "SELECT node_id, label FROM nodes WHERE split = 'train' AND label IS NOT NULL",
+        "w0": f"SELECT c, dim, 0::DOUBLE AS w FROM (SELECT unnest(range({CLASSES})) AS c), (SELECT unnest(range({2 * WIDTH + 1})) AS dim)",
+    }
+    for i in range(STEPS):
+        ctes |= {
+            f"z{i}": f"SELECT t.node_id, t.label, w.c, sum(x.x * w.w) AS z FROM tr t JOIN xs x USING (node_id) JOIN w{i} w USING (dim) GROUP BY 1, 2, 3",
+            f"e{i}": f"SELECT node_id, label, c, exp(z - max(z) OVER (PARTITION BY node_id)) AS e FROM z{i}",
+            f"p{i}": f"SELECT node_id, c, e / sum(e) OVER (PARTITION BY node_id) - CASE WHEN c = label THEN 1 ELSE 0 END AS p FROM e{i}",
+            f"g{i}": f"SELECT p.c, x.dim, sum(p.p * x.x) / (SELECT count(*) FROM tr) AS g FROM p{i} p JOIN xs x USING (node_id) GROUP BY 1, 2",
+            f"w{i + 1}": f"SELECT c, dim, w - {RATE}::DOUBLE * (coalesce(g, 0) + {REG}::DOUBLE * w) AS w FROM w{i} LEFT JOIN g{i} USING (c, dim)",
+        }
+    ctes["pr"] = (f"SELECT node_id, arg_min(c, (-z, c)) AS prediction FROM (SELECT x.node_id, w.c, sum(x.x * w.w) AS z FROM xs x JOIN w{STEPS} w USING (dim) "
+                  "GROUP BY 1, 2) GROUP BY node_id")
+    return ctes
+
+
 def _fitted(spark, sf):
+    """The model and the table (node_id, features) of the vectors and their neighbours' means side by side."""
     hops = message.propagate_features(fx.edges(spark, sf), _feats(spark, sf), 1)
+    table = materialize(message.stack_hops(hops), "train")
     labels = fx.nodes(spark, sf).filter("split = 'train'").select("node_id", "label")
-    return message.train_classifier(hops, labels)
+    return softmax.fit(table, labels, CLASSES, steps=STEPS, rate=RATE, reg=REG), table
 
 
-@query(sql("SELECT split, count(*) AS nodes, count(*) AS in_range, true AS settled FROM nodes GROUP BY split", "nodes"))
+@query(sql(f"SELECT c AS class, dim AS feature, round(w, 6) AS weight FROM w{STEPS}", "nodes", "edges", **_softmax_sql()))
 def train_classifier(spark, sf):
-    """What is exact about the fit: a class in range for every node, and a small gradient of the regularised loss."""
+    """The weights after a fixed number of full gradient steps."""
+    model, _ = _fitted(spark, sf)
+    return softmax.weight_table(model, spark).withColumn("weight", F.round("weight", 6))
+
+
+@query(sql("SELECT split, count(*) AS n, sum(CASE WHEN prediction = label THEN 1 ELSE 0 END)::BIGINT AS hits FROM pr JOIN nodes USING (node_id) "
+           "WHERE label IS NOT NULL GROUP BY split", "nodes", "edges", **_softmax_sql()))
+def classifier_hits(spark, sf):
+    """Right predictions per split."""
     model, table = _fitted(spark, sf)
-    truth = fx.nodes(spark, sf).select("node_id", "split", "label")
-    slope = _largest_slope(model, table.join(truth.filter("split = 'train' AND label IS NOT NULL"), "node_id"), 0.01)
-    out = message.predict(model, table).join(truth.select("node_id", "split"), "node_id")
-    return out.groupBy("split").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("prediction").between(0, CLASSES - 1)).alias("in_range"), F.lit(slope < 0.05).alias("settled"))
-
-
-def _largest_slope(model, rows: DataFrame, reg: float) -> float:
-    """Largest entry of the loss gradient over the weights, on standardised features as the solver sees them."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
-    margins = message.dense(rows.select("node_id", "label", "features", F.col("features").alias("x")), {"x": model.coefficientMatrix.toArray().T},
-                            model.interceptVector.toArray(), out="margin")
-    top = F.array_max("margin")
-    odds = margins.withColumn("e", F.transform("margin", lambda m: F.exp(m - top)))
-    chance = F.transform("e", lambda v, i: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b) - F.when(i == F.col("label"), 1.0).otherwise(0.0))
-    parts = odds.withColumn("miss", chance).select(F.posexplode("miss").alias("c", "m"), "features")
-    scaled = F.transform("features", lambda v: v * F.col("m"))
-    means = parts.groupBy("c").agg(Summarizer.mean(array_to_vector(scaled)).alias("g")).collect()  # one row per class
-    spread = rows.select(Summarizer.std(array_to_vector("features")).alias("s")).first()["s"].toArray()
-    weights = model.coefficientMatrix.toArray()
-    return float(max(abs(r["g"].toArray() / np.where(spread > 0, spread, 1) + reg * weights[r["c"]] * spread).max() for r in means))
-
-
-@query()
+    rows = softmax.predict(model, table).join(fx.nodes(spark, sf).filter("label IS NOT NULL").select("node_id", "label", "split"), "node_id")
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("hits"))
+
+
+@query(sql("SELECT round(avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END) * 100, 6) AS accuracy, count(*) AS n FROM pr JOIN nodes USING (node_id) "
+           "WHERE label IS NOT NULL AND split = 'test'", "nodes", "edges", **_softmax_sql()))
 def evaluate_classifier(spark, sf):
     model, table = _fitted(spark, sf)
-    return message.evaluate(model, table, fx.nodes(spark, sf))
+    return softmax.evaluate(model, table, fx.nodes(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
