@@ -7,6 +7,7 @@ column pruning, and gives the optimiser true sizes for its broadcast decisions.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -21,14 +22,14 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables.
 
-    Taken from the session; only a local master gets a folder of its own when the
-    setting is absent, because a machine-local path is useless to other executors.
+    Taken from the session; only a master that runs everything in one process gets a folder of
+    its own when the setting is absent, because a machine-local path is useless to other executors.
     """
     sc = spark.sparkContext
     folder = spark.conf.get(SETTING, None) or sc.getConf().get(SETTING, None)
     folder = folder or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError(f"set {SETTING} to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="nodeloom-")
         sc.setCheckpointDir(folder)
@@ -169,13 +170,3 @@ def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return save(df, name).df
-
-
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint behind a checked size; otherwise the plain DataFrame."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from nodeloom.functions.hashing import digest, hash_long, pick_ordinals, uniform
 from nodeloom.plans import scan
 from nodeloom.plans.skew import spread
-from nodeloom.plans.store import broadcast_if_small, bucket_count, save, save_bucketed, shared_folder, small_enough
+from nodeloom.plans.store import bucket_count, save, save_bucketed, shared_folder
 from tests.conftest import rows
 
 
@@ -107,13 +107,6 @@ def test_saved_tables_live_in_the_shared_folder(spark, make):
     saved.drop()
 
 
-def test_broadcast_only_behind_a_size_check(make):
-    df = make.nodes(range(10))
-    assert small_enough(df, 10) and not small_enough(df, 9)
-    hinted = broadcast_if_small(df, 10)._jdf.queryExecution().logical().toString()
-    assert "broadcast" in hinted and "broadcast" not in broadcast_if_small(df, 9)._jdf.queryExecution().logical().toString()
-
-
 def test_bucket_count_stays_below_sparks_limit(spark):
     assert bucket_count(spark, 1000) == 0
     assert 0 < bucket_count(spark, 10**9) < bucket_count(spark, 10**13) < 100_000
