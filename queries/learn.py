@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.operators import message, softmax
+from nodeloom.operators import custom, message, softmax
 from nodeloom.plans.store import materialize
 from queries import fixtures as fx
 from queries.fixtures import VECTOR_TEXT_SQL, sql, vector_text
@@ -53,6 +53,18 @@ def _vals(spark, sf):
     return fx.scores(spark, sf).withColumnRenamed("score", "val")
 
 
+@query(sql("SELECT e.dst AS node_id, round(quantile_cont(score, 0.5), 6) AS median FROM edges e JOIN scores s ON s.node_id = e.src GROUP BY e.dst", "edges", "scores"))
+def copy_u_median(spark, sf):
+    return custom.quantile(fx.edges(spark, sf), _vals(spark, sf)).select("node_id", F.round("val", 6).alias("median"))
+
+
+@query(sql("SELECT e.dst AS node_id, round(var_pop(score), 4) AS spread FROM edges e JOIN scores s ON s.node_id = e.src GROUP BY e.dst", "edges", "scores"))
+def update_all_variance(spark, sf):
+    """A reducer written by the user: the variance of the messages through states of three numbers."""
+    out = custom.update_all(fx.edges(spark, sf), _vals(spark, sf), lambda v: v, custom.VARIANCE)
+    return out.select("node_id", F.round("val", 4).alias("spread"))
+
+
 @query(sql("SELECT e.dst AS node_id, CAST(sum(score) AS BIGINT) AS total, round(avg(score), 6) AS mean, max(score) AS top FROM edges e JOIN scores s "
            "ON s.node_id = e.src GROUP BY e.dst", "edges", "scores"))
 def copy_u(spark: SparkSession, sf: str) -> DataFrame:
