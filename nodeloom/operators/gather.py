@@ -89,14 +89,15 @@ def tag_tier(index: DataFrame, pinned: DataFrame) -> DataFrame:
 def gather_tiered(index: DataFrame, features: DataFrame, pinned: DataFrame) -> DataFrame:
     """Same rows as a plain gather plus the serving tier.
 
-    ``pinned`` is (node_id, feat). Rows of pinned nodes take their vector from it, by broadcast
-    while Spark measures it below its threshold; the others take the shuffle join, which
-    thereby loses its hottest keys.
+    ``pinned`` is (node_id, feat). The index is evaluated once: its narrow rows are written with their
+    tier. Rows of pinned nodes take their vector from ``pinned``, by broadcast while Spark measures it
+    below its threshold; the others take the shuffle join, which thereby loses its hottest keys.
     """
-    near = index.join(pinned.select("node_id", "feat"), "node_id").withColumn("tier", F.lit("pinned"))
-    far = index.join(pinned.select("node_id"), "node_id", "left_anti").withColumn("tier", F.lit("storage"))
+    tagged = materialize(tag_tier(index, pinned), "tagged")
+    near = tagged.filter(F.col("tier") == "pinned").join(pinned.select("node_id", "feat"), "node_id")
+    far = tagged.filter(F.col("tier") == "storage")
     far = require(far.join(_found(features.select("node_id", "feat")), "node_id", "left"), "feature row")
-    return near.unionByName(far)
+    return near.unionByName(far.select(*near.columns))
 
 
 def remap_ids(index: DataFrame, layout: DataFrame) -> DataFrame:
