@@ -14,7 +14,8 @@ characters, and a document meets one block after another.
 Defined results: null or empty text has no words, no hits and is not contaminated; items
 without words are ignored; an item with a null id marks words but is neither counted nor
 listed; repeated items count once by id; repeated documents are judged row by row; an empty
-benchmark hits nothing. Other columns are passed through, whatever their names.
+benchmark hits nothing. Other columns are passed through, but the
+struct of hits replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.llm.bytewords import ALNUM, Words, mix, slices, words_of
+from nodeloom.llm.columns import Added
 
 WINDOW = 13
 #: Share of a document's words, as 1 / COVER, from which it counts as contaminated.
@@ -300,14 +302,14 @@ def _blocks(benchmark: DataFrame, key: str, text: str, block_chars: int) -> list
 
 def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "item_id", item_text: str = "text",
          window: int = WINDOW, cover: int = COVER, out: str = "hits", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with a struct of word counts, matched items, matched word spans and the verdict."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, HITS)])
+    """``docs`` with a struct of word counts, matched items, matched word spans and the verdict, which replaces a column of that name."""
+    added = Added(docs, [T.StructField(out, HITS)])
 
     def finish(part: pa.RecordBatch, rows: list[dict], words: Words) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, HITS_ARROW)], [*part.schema.names, out])
+        return added.batch(part, [pa.array(rows, HITS_ARROW)])
 
     handles = _blocks(benchmark, key, item_text, block_chars)
-    return docs.mapInArrow(_matcher(handles, docs.columns.index(text), window, cover, finish), schema)
+    return docs.mapInArrow(_matcher(handles, docs.columns.index(text), window, cover, finish), added.schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", cut_spans: bool = False, **options) -> DataFrame:

@@ -371,17 +371,16 @@ def main_text(page: str | None, model: list[float]) -> str:
 
 
 def extract(pages: DataFrame, *, page: str = "html", out: str = "text", model: list[float] | None = None) -> DataFrame:
-    """``pages`` without the html column but with the main text of each page."""
+    """``pages`` without the html column but with the main text of each page, which replaces a column of that name."""
     weights = model or fit_model(pages, page)
     index = pages.columns.index(page)
-    kept = [f for f in pages.schema.fields if f.name != page]
-    schema = T.StructType([*kept, T.StructField(out, T.StringType())])
+    kept = [i for i, f in enumerate(pages.schema.fields) if f.name != page and f.name.lower() != out.lower()]
+    schema = T.StructType([*(pages.schema.fields[i] for i in kept), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pa.array([main_text(value.as_py(), weights) for value in batch.column(index)], pa.string())
-            rest = [c for i, c in enumerate(batch.columns) if i != index]
-            yield pa.RecordBatch.from_arrays([*rest, text], schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), text], schema.names)
 
     return pages.mapInArrow(run, schema)
 

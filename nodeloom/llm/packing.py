@@ -51,7 +51,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: Words of Latin letters, digits and marks (no apostrophe, no odd white space, no superscript digit): the tokenizer
+#: Words of Latin letters, digits and marks (no apostrophe, no odd white space, no superscript figure): the tokenizer
 #: lower-cases them and splits them into runs of letters, single digits and runs of marks.
 _PLAIN = re.compile(r"[!-&(-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u00ff]+")
 _PARTS = re.compile(r"[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+")

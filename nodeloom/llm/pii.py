@@ -1,7 +1,7 @@
 """Personal data in text: base patterns and a skip-chain conditional random field.
 
 Base spans are pattern matches and are always reported. The field's nodes are the words that
-hold a digit or an at sign. Chain edges join neighbouring nodes; skip edges join consecutive
+hold a figure 0-9 or an at sign. Chain edges join neighbouring nodes; skip edges join consecutive
 occurrences of equal or similar words anywhere in the document (same digits, same last seven
 digits, same local part of an address), so that one clear occurrence decides for the unclear
 ones. Potentials are fitted piecewise on a bounded sample labelled by the base patterns: node
@@ -17,25 +17,28 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nodeloom.llm.columns import Added
 from nodeloom.llm.samples import even, share
 from nodeloom.llm.spans import ROWS, SPANS, Span, count, joined, span_array
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
 _RANK = {kind: i for i, kind in enumerate(KINDS)}
-#: Words (with a digit or at sign) the field is fitted on.
+#: Words (with a figure 0-9 or at sign) the field is fitted on.
 FIT_WORDS = 40_000
-#: Part of them that one document, or one task looking for kinds the sample lacks, gives at most.
+#: Part of them that one document gives at most.
 _EACH = 100
 SURE = 0.9
 ROUNDS = 8
@@ -205,9 +208,9 @@ def fit(features: list[list[int]], label: np.ndarray, chain: np.ndarray, skip: n
 
 
 def fit_model(docs: DataFrame, text: str = "text", fit_words: int = FIT_WORDS) -> Model | None:
-    """Fit on at most ``fit_words`` words of documents that have a digit or an at sign, drawn from the whole table.
+    """Fit on at most ``fit_words`` words of documents that have a figure 0-9 or an at sign, drawn from the whole table.
 
-    Kinds that the sample lacks are looked for in all rows; their words take up to half of the bound.
+    The words of kinds that the sample lacks are counted over all rows, and drawn at the rate that takes half of the bound.
     """
     each = max(fit_words // _EACH, 1)
 
@@ -240,21 +243,26 @@ def fit_model(docs: DataFrame, text: str = "text", fit_words: int = FIT_WORDS) -
     rows = [rows[i] for i in even(len(rows), fit_words)]
     lacking = set(range(1, len(LABELS))) - {r["y"] for r in rows}
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = dict.fromkeys(lacking, each)  # words of each kind that this task still gives
+    def lacking_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            out: list[tuple] = []
             for value in batch.column(0):
-                spans = base_spans(value.as_py()) if any(left.values()) else []
-                if any(left.get(LABELS.index(kind)) for kind, _, _ in spans):
-                    for row in words(value.as_py(), spans):
-                        if left.get(row[1]):
-                            left[row[1]] -= 1
-                            out.append(row)
-            yield batch_of(out)
+                spans = base_spans(value.as_py())
+                if any(LABELS.index(kind) in lacking for kind, _, _ in spans):
+                    yield from (row for row in words(value.as_py(), spans) if row[1] in lacking)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = Counter(row[1] for row in lacking_words(batches))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["y", "n"])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chance = np.random.default_rng(TaskContext.get().partitionId())  # a repeated task draws the same
+        yield batch_of([row for row in lacking_words(batches) if chance.random() < rate.get(row[1], 0.0)])
 
     if lacking and total > fit_words:
-        more = some.select(text).mapInArrow(search, schema).collect()
+        own = some.select(text)
+        sums = own.mapInArrow(tally, "y int, n bigint").groupBy("y").agg(F.sum("n").alias("n")).collect()  # one row per kind
+        rate = {r["y"]: fit_words / 2 / len(sums) / r["n"] for r in sums}
+        more = own.mapInArrow(draw, schema).collect() if rate else []
         more = [more[i] for i in even(len(more), fit_words // 2)]
         rows = [rows[i] for i in even(len(rows), fit_words - len(more))] + more
     label = np.array([r["y"] for r in rows], int)
@@ -388,13 +396,13 @@ def _over(docs: DataFrame, text: str, schema: T.StructType, model: Model | None,
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "spans", model: Model | None = None) -> DataFrame:
-    """``docs`` with the personal data of each text."""
+    """``docs`` with the personal data of each text; ``out`` replaces a column of the same name."""
+    added = Added(docs, [T.StructField(out, SPANS)])
 
     def finish(part: pa.RecordBatch, texts: list[str], found: list[list[Span]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*part.columns, span_array(found)], [*part.schema.names, out])
+        return added.batch(part, [span_array(found)])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, SPANS)])
-    return _over(docs, text, schema, model or fit_model(docs, text), finish)
+    return _over(docs, text, added.schema, model or fit_model(docs, text), finish)
 
 
 def mask(docs: DataFrame, text: str = "text", size: str | None = None, model: Model | None = None) -> DataFrame:

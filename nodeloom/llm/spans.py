@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nodeloom.llm.columns import Added
+
 SPANS = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -25,10 +27,10 @@ def span_array(found: list[list[Span]]) -> pa.Array:
 def with_spans(docs: DataFrame, text: str, out: str, detector: Callable[[], Callable[[str], list[Span]]]) -> DataFrame:
     """``docs`` with the spans of each text; ``detector`` is made once per task, null text is empty.
 
-    Positions count code points, the end is exclusive.
+    Positions count code points, the end is exclusive. ``out`` replaces a column of the same name.
     """
     index = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, SPANS)])
+    added = Added(docs, [T.StructField(out, SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detect = detector()
@@ -36,9 +38,9 @@ def with_spans(docs: DataFrame, text: str, out: str, detector: Callable[[], Call
             for begin in range(0, batch.num_rows, ROWS):
                 part = batch.slice(begin, ROWS)
                 found = [detect(value.as_py() or "") for value in part.column(index)]
-                yield pa.RecordBatch.from_arrays([*part.columns, span_array(found)], [*part.schema.names, out])
+                yield added.batch(part, [span_array(found)])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, added.schema)
 
 
 def count(spans: str, kind: str) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.llm.bytewords import SPACED, Words, mix, slices, words_of
+from nodeloom.llm.columns import Added
 from nodeloom.llm.samples import even, spread
 
 LABELLERS = ("length", "symbols", "repeats", "variety", "sentences", "lines", "short_words", "bars")
@@ -230,13 +231,16 @@ def scorer(docs: DataFrame, labels: LabelModel, text: str = "text", fit_docs: in
 
 
 def classify(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the weak label's posterior, the scorer's probability and the verdict."""
+    """``docs`` with the weak label's posterior, the scorer's probability and the verdict (kept from 0.5 on).
+
+    New columns replace those of the same name; ``prefix`` keeps them apart.
+    """
     labels = label_model(docs, text)
     weights = scorer(docs, labels, text)
     index = docs.columns.index(text)
     names = [f"{prefix}{n}" for n in ("posterior", "score", "kept")]
     kinds = [T.DoubleType(), T.DoubleType(), T.BooleanType()]
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
+    added = Added(docs, [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words, hashes in _each_slice(batches, index):
@@ -244,10 +248,9 @@ def classify(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
             line = np.bincount(owner, value * weights[slot], minlength=part.num_rows) + weights[-1]
             score = 1 / (1 + np.exp(-np.clip(line, -500, 500)))
             good = labels.posterior(votes(words, hashes))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(good), pa.array(score), pa.array(score >= KEEP)], schema.names)
+            yield added.batch(part, [pa.array(good), pa.array(score), pa.array(score >= KEEP)])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, added.schema)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
