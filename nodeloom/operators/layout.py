@@ -72,7 +72,9 @@ def _walk(adj: DataFrame, order: DataFrame, k: int, max_groups: int, exclusive:
         claims = live.df.select(F.col("dst").alias("node_id"), "rank")
         if exclusive:
             claims = claims.unionByName(live.df.select(F.col("src").alias("node_id"), "rank"))
-        holders = claims.groupBy("node_id").agg(F.min("rank").alias("holder"))
+        # Written, since a join splits a node that is in very many heads only if no aggregate on it lies below.
+        holding = save(claims.groupBy("node_id").agg(F.min("rank").alias("holder")), "holders")
+        holders = holding.df
         head = top_k_per_group(live.df, ["src"], [F.col("npos")], k * max_groups)
         seen = head.join(holders.select(F.col("node_id").alias("dst"), "holder"), "dst")
         lost = F.min(F.when(F.col("holder") != F.col("rank"), F.col("rn")))
@@ -95,6 +97,7 @@ def _walk(adj: DataFrame, order: DataFrame, k: int, max_groups: int, exclusive:
         )
         batch = save(taken, "commits")
         commits.append(batch)
+        holding.drop()
         following = save(_enough(_left(live.df, batch.df, max_groups, exclusive), k), "live")
         live.drop()
         live = following

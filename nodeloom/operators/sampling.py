@@ -92,22 +92,35 @@ def sample_neighbors_hetero(
     """Sampling per edge type. ``seeds`` is (batch_id, ntype, node_id); every frontier node draws
     up to the fan-out from each edge type that ends in its type."""
     keys = ["etype", "src_type", "dst_type"]
-    index = materialize(grouped_rank(typed_edges, [*keys, "dst"], "src", "ord"), "typed_index")
-    deg = materialize(index.groupBy(*keys, "dst").agg(F.count(F.lit(1)).alias("deg")), "typed_deg")
+    spark = typed_edges.sparkSession
+    found = sorted(tuple(r) for r in typed_edges.select(*keys).distinct().collect())  # one row per edge type
+    kinds = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "kind int, etype string, src_type string, dst_type string"))
+    index = _typed_index(typed_edges.join(kinds, keys).select("kind", "src", "dst"))
     frontier = seeds.select("batch_id", "ntype", "node_id").distinct()
     blocks = []
     for layer in reversed(range(len(fanouts))):
         at = frontier.select("batch_id", F.col("ntype").alias("dst_type"), F.col("node_id").alias("dst"))
-        asked = at.join(deg, ["dst_type", "dst"])
+        asked = at.join(kinds, "dst_type").join(index.degrees, ["kind", "dst"])
         ords = pick_ordinals(F.col("deg"), fanouts[layer], seed, epoch, layer, F.col("etype"), F.col("batch_id"), F.col("dst"))
-        draws = asked.select("batch_id", *keys, "dst", F.explode(ords).alias("ord"))
-        block = materialize(draws.join(index, [*keys, "dst", "ord"]).select("batch_id", *keys, "src", "dst"), "block")
+        draws = asked.select("batch_id", "kind", "dst", F.explode(ords).alias("ord"))
+        drawn = draws.join(index.rows, ["kind", "dst", "ord"]).join(kinds, "kind")
+        block = materialize(drawn.select("batch_id", *keys, "src", "dst"), "block")
         grown = block.select("batch_id", F.col("src_type").alias("ntype"), F.col("src").alias("node_id"))
         frontier = materialize(frontier.unionByName(grown).distinct(), "frontier")
         blocks.append(block.select("batch_id", F.lit(layer).cast("bigint").alias("layer"), *keys, "src", "dst"))
     return reduce(DataFrame.unionByName, reversed(blocks)), frontier
 
 
+def _typed_index(numbered: DataFrame) -> EdgeIndex:
+    """As :func:`edge_index` for (kind, src, dst): rows (kind, dst, ord, src), a large table in buckets of (kind, dst, ord)."""
+    ranked = grouped_rank(numbered, ["kind", "dst"], "src", "ord").select("kind", "dst", "ord", "src")
+    degrees = save(numbered.groupBy("kind", "dst").agg(F.count(F.lit(1)).alias("deg")), "typed_degrees").df
+    total = degrees.agg(F.sum("deg")).first()[0] or 0
+    buckets = bucket_count(numbered.sparkSession, total)
+    rows = save_bucketed(ranked, "typed_index", ["kind", "dst", "ord"], buckets) if buckets else save(ranked, "typed_index")
+    return EdgeIndex(rows.df, degrees)
+
+
 def sample_group_neighbors(
     edges: DataFrame, groups: DataFrame, seeds: DataFrame, fanouts: Sequence[int], seed: int = 0, epoch: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
@@ -267,7 +280,8 @@ def assign_partitions(edges: DataFrame, nodes: DataFrame, k: int, rounds: int =
     from nodeloom.plans.scan import global_rank
 
     comm = propagate_labels(edges, nodes, rounds)
-    sizes = comm.groupBy("comm").agg(F.count(F.lit(1)).alias("size"))
+    # Written, so that a giant community is split by the join with its size.
+    sizes = materialize(comm.groupBy("comm").agg(F.count(F.lit(1)).alias("size")), "sizes")
     placed = save(comm.join(sizes, "comm"), "comm_sizes")
     ranked = global_rank(placed.df, [F.col("size").desc(), F.col("comm"), F.col("node_id")])
     return ranked.select("node_id", F.floor(F.col("rank") * F.lit(k) / F.lit(max(placed.rows, 1))).cast("bigint").alias("part"))

@@ -146,3 +146,28 @@ def test_zipf_over_many_blocks_equals_the_inverse_cdf(spark, make):
     cdf = np.cumsum(np.arange(1, 501) ** -1.2)
     u = dict(rows(slots.select("slot", uniform(3, F.col("slot")).alias("u"))))
     assert got == {s: int(np.searchsorted(cdf / cdf[-1], x, side="right")) for s, x in u.items()}
+
+
+def test_large_typed_index_is_bucketed_by_type_and_place(spark, make, monkeypatch):
+    """Draws are the same from a bucketed index, which no layer shuffles."""
+    from nodeloom.plans import store
+
+    typed = make.table([(e, "a", a, "b" if e == "e" else "a", b) for e in ("e", "f") for a, b in hub_graph(30)],
+                       "etype string, src_type string, src bigint, dst_type string, dst bigint")
+    seeds = make.table([(0, t, n) for t in ("a", "b") for n in (0, 3, 5)], "batch_id bigint, ntype string, node_id bigint")
+    plain, _ = sampling.sample_neighbors_hetero(typed, seeds, [3, 2], seed=5)
+    want = rows(plain)
+    assert {r[2] for r in want} == {"e", "f"}
+    monkeypatch.setattr(store, "ROWS_PER_BUCKET", 10)
+    indexes = []
+    original = sampling._typed_index
+    monkeypatch.setattr(sampling, "_typed_index", lambda df: indexes.append(original(df)) or indexes[-1])
+    cut, _ = sampling.sample_neighbors_hetero(typed, seeds, [3, 2], seed=5)
+    assert rows(cut) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        draws = make.table([(0, 0, 0)], "kind int, dst bigint, ord bigint")
+        plan = draws.join(indexes[0].rows, ["kind", "dst", "ord"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
