@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from nodeloom.llm import contamination, nearcopies, packing, pii, quality
-from nodeloom.plans.store import fresh_path
+from nodeloom.plans.store import save
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -53,10 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each one's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``; each one's rows are written, read again, and dropped once the next are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = fresh_path(spark, name.replace(" ", "_"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        held = save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before:
+            before.drop()
+        docs, before = held.df, held
     return docs
