@@ -163,3 +163,18 @@ def test_mean_aggregation_of_wide_vectors(make):
     edges, feat = make.edges(PAIRS), features(make, wide)
     assert np.allclose(matrix(message.aggregate_mean(edges, feat), "neigh"), mean_in(wide))
     assert message.aggregate_mean(edges, feat.limit(0)).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_never_broadcast(make):
+    """Their bytes on disk say nothing about their size in memory."""
+    edges = make.edges(PAIRS)
+    wide = features(make).select("node_id", F.flatten(F.array(*[F.col("feat")] * 20)).alias("feat"))
+    got = message.aggregate_mean(edges, wide)
+    assert "Broadcast" not in plan(got)
+    want = np.tile(A @ X / np.maximum(A.sum(1, keepdims=True), 1), 20)
+    found = {r["node_id"]: r["neigh"] for r in got.collect()}
+    assert np.allclose([found[i] for i in range(N)], want)
