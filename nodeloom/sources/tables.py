@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nodeloom.plans.scan import prefix_scan
+from nodeloom.plans.skew import shuffled
 
 _LONG = T.LongType()
 CHUNK = 1 << 16
@@ -85,7 +86,8 @@ def read_trace(ids: DataFrame, lengths: DataFrame) -> DataFrame:
 
     Batch starts are the exclusive running total of sizes. Batches are cut into chunks of at
     most ``CHUNK`` ordinals and each chunk lists its own, so the join key is the ordinal itself:
-    unique on both sides however long or short the batches are.
+    unique on both sides however long or short the batches are. There are as many ordinals as
+    ids, whatever Spark makes of the size of the few lengths, so they are not broadcast.
     """
     starts = prefix_scan(lengths, "batch_id", "size", "start", inclusive=False).filter(F.col("size") > 0)
     stop = F.col("start") + F.col("size")
@@ -93,7 +95,7 @@ def read_trace(ids: DataFrame, lengths: DataFrame) -> DataFrame:
     cut = starts.withColumn("_c", F.explode(chunks))
     first, last = F.greatest("start", F.col("_c") * CHUNK), F.least(stop, (F.col("_c") + 1) * CHUNK) - 1
     places = cut.select("batch_id", "start", F.explode(F.sequence(first, last)).alias("ord"))
-    placed = ids.join(places, "ord")
+    placed = ids.join(shuffled(places), "ord")
     return placed.select("batch_id", (F.col("ord") - F.col("start")).cast("bigint").alias("pos"), "node_id")
 
 

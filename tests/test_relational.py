@@ -68,6 +68,16 @@ def test_type_offsets_round_trip_and_unknown_type(make):
         gather.encode_type_offset(make.table([("c", 1)], "ntype string, node_id bigint"), offsets).collect()
 
 
+def test_read_trace_does_not_broadcast_the_places(make):
+    """A few lengths stand for as many rows as there are ids."""
+    ids = make.table([(i, i % 7) for i in range(1000)], "ord bigint, node_id bigint")
+    lengths = make.table([(0, 400), (1, 600)], "batch_id bigint, size bigint")
+    got = tables.read_trace(ids, lengths)
+    last = got._jdf.queryExecution().executedPlan().toString().split("Project")[1]
+    assert "SortMergeJoin [ord" in last and "BroadcastHashJoin [ord" not in last
+    assert got.count() == 1000 and got.filter("node_id = (pos + 400 * batch_id) % 7").count() == 1000
+
+
 def test_read_trace_with_empty_batches_and_long_ones(make):
     sizes = [3, 0, 9000, 1]
     ids = make.table([(i, i * 3) for i in range(sum(sizes))], "ord bigint, node_id bigint")
