@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.operators.stats import accuracy
 from nodeloom.plans.skew import shuffled
-from nodeloom.plans.store import materialize
+from nodeloom.plans.store import materialize, save, save_last
 
 Reducer = str | Callable[[Column], Column]
 _REDUCERS = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
@@ -141,8 +141,10 @@ def aggregate_gcn(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None = N
     sums = sums.join(in_deg, [*by, "node_id"]).withColumn("_n", F.sqrt(F.col("_id").cast("double")))
     sums = sums.select(*by, "node_id", F.transform("_out", lambda x: x / F.col("_n")).alias("_out"))
     own = feat if nodes is None else feat.join(nodes.select(*by, "node_id"), [*by, "node_id"], "left_semi")
-    joined = own.select(*by, "node_id", "feat").join(sums, [*by, "node_id"], "left")
-    return joined.select(*by, "node_id", F.coalesce("_out", _zeros_like("feat")).alias("neigh"))
+    # Of the own vectors only the length is needed.
+    size = F.when(F.col("feat").isNotNull(), F.size("feat"))
+    joined = own.select(*by, "node_id", size.alias("_k")).join(sums, [*by, "node_id"], "left")
+    return joined.select(*by, "node_id", F.coalesce("_out", F.array_repeat(F.lit(0.0), F.col("_k"))).alias("neigh"))
 
 
 def aggregate_sage_gcn(edges: DataFrame, feat: DataFrame, nodes: DataFrame | None = None,
@@ -187,16 +189,18 @@ def attention_logits(edges: DataFrame, score_u: DataFrame, score_v: DataFrame, h
     return joined.select(*by, "src", "dst", *[logit(h) for h in range(heads)])
 
 
-def aggregate_attention(edges: DataFrame, z: DataFrame, heads: int = 1, by: Sequence[str] = (), width: int | None = None) -> DataFrame:
+def aggregate_attention(edges: DataFrame, z: DataFrame, heads: int = 1, by: Sequence[str] = (), width: int | None = None,
+                        into: DataFrame | None = None) -> DataFrame:
     """(node_id, neigh): attention-weighted sum of projected vectors, heads side by side.
 
     ``z`` is (node_id, feat, el, er): the projected vector with its source and destination
-    scores per head.
+    scores per head. ``into`` (node_id, er) has the destinations when they are not in ``z``.
     """
     by = list(by)
     width = _width(z, "feat") if width is None else width
     edges = edges.select(*by, "src", "dst")
-    logits = attention_logits(edges, z.withColumnRenamed("el", "score"), z.withColumnRenamed("er", "score"), heads, by=by)
+    to = z if into is None else into
+    logits = attention_logits(edges, z.withColumnRenamed("el", "score"), to.withColumnRenamed("er", "score"), heads, by=by)
     names = [f"l{h}" for h in range(heads)]
     alphas = edge_softmax(logits, names, by).withColumn("_a", F.array(*[F.col(f"alpha_{n}") for n in names]))
     sent = _send(alphas, z, by)
@@ -355,12 +359,16 @@ def gnn_infer_hetero(typed_edges: DataFrame, feat: DataFrame, weights: Sequence[
     metric = "mean" if kind == "rgcn" else "sum"
     kinds = [(r.etype, r.src_type, r.dst_type)
              for r in typed_edges.select("etype", "src_type", "dst_type").distinct().collect()]  # one row per edge type
-    h = feat
+    h, old = feat, None
     for i, layer in enumerate(weights):
-        stacked = materialize(_relational_layer(inner, typed_edges, h, sorted(kinds), layer), "relations")
-        h = _vector_sum(stacked, ["ntype", "node_id"], "feat", _out_width(inner, layer), metric).withColumnRenamed("_out", "feat")
+        stacked = save_last(lambda: _relational_layer(inner, typed_edges, h, sorted(kinds), layer), "relations")  # noqa: B023
+        mixed = _vector_sum(stacked.df, ["ntype", "node_id"], "feat", _out_width(inner, layer), metric).withColumnRenamed("_out", "feat")
         act = "relu" if i + 1 < len(weights) else None
-        h = materialize(h.withColumn("feat", _finish(F.col("feat"), None, act)), "relational")
+        new = save(mixed.withColumn("feat", _finish(F.col("feat"), None, act)), "relational")
+        stacked.drop()
+        if old:
+            old.drop()
+        h, old = new.df, new
     head = dense(h.filter(F.col("ntype") == target).select("node_id", "feat"), {"feat": linear[0]}, linear[1], out="logits")
     return with_argmax(head, "logits")
 
@@ -378,23 +386,28 @@ def _relational_layer(kind: str, typed_edges: DataFrame, h: DataFrame, kinds: Se
     Destinations get ids of their own side by negation, so a source and a destination with the
     same number stay apart.
     """
-    parts = []
+    parts, ends = [], []
     for etype, src_type, dst_type in kinds:
         w = layer[etype]
         src = h.filter(F.col("ntype") == src_type).select("node_id", "feat")
         dst = h.filter(F.col("ntype") == dst_type).select((-F.col("node_id") - 1).alias("node_id"), "feat")
-        x = src.unionByName(dst).select(F.lit(etype).alias("etype"), "node_id", F.col("feat").alias("x"))
-        z = dense(x, {"x": w["W"]}, out="feat")
-        parts.append(_heads_score(z, np.asarray(w["al"]), np.asarray(w["ar"])) if kind == "gat" else z)
+        tagged = lambda df: df.select(F.lit(etype).alias("etype"), "node_id", F.col("feat").alias("x"))  # noqa: B023, E731
+        if kind == "gat":
+            project = lambda df: _heads_score(dense(tagged(df), {"x": w["W"]}, out="feat"), np.asarray(w["al"]), np.asarray(w["ar"]))  # noqa: B023, E731
+            parts.append(project(src).drop("er"))
+            ends.append(project(dst).select("etype", "node_id", "er"))  # of a destination only its score counts
+        else:
+            parts.append(dense(tagged(src.unionByName(dst)), {"x": w["W"]}, out="feat"))
     z = materialize(fold(DataFrame.unionByName, parts), "project")
     edges = typed_edges.select("etype", "src", (-F.col("dst") - 1).alias("dst"))
-    nodes = z.filter("node_id < 0").select("etype", "node_id")
     if kind == "gat":
         heads, width = np.asarray(layer[kinds[0][0]]["al"]).shape
-        sums = aggregate_attention(edges, z, heads, ["etype"], heads * width)
+        into = materialize(fold(DataFrame.unionByName, ends), "ends")
+        sums = aggregate_attention(edges, z, heads, ["etype"], heads * width, into)
         zeros = F.array(*[F.lit(0.0)] * (heads * width))
-        out = nodes.join(sums, ["etype", "node_id"], "left").withColumn("neigh", F.coalesce("neigh", zeros))
+        out = into.select("etype", "node_id").join(sums, ["etype", "node_id"], "left").withColumn("neigh", F.coalesce("neigh", zeros))
     else:
+        nodes = z.filter("node_id < 0").select("etype", "node_id")
         out = (aggregate_gcn if kind == "gcn" else aggregate_sage_gcn)(edges, z, nodes, ["etype"], _out_width(kind, layer))
     ntype, vec = F.lit(None).cast("string"), F.col("neigh")
     for etype, _, dst_type in kinds:

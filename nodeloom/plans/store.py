@@ -10,13 +10,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Delete the shuffle files of a query once it has ended, instead of when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,10 +64,22 @@ class Saved:
         place.getFileSystem(conf).delete(place, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes in the block leave no shuffle files: the written table is all that is read later."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def write_counted(df: DataFrame, path: str, **measures: Column) -> dict:
     """Write ``df`` and return its row count ``n`` and the ``measures`` from the same job."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in measures.items()]).write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in measures.items()]).write.parquet(path)
     return seen.get
 
 
@@ -163,10 +179,30 @@ def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -
     path = fresh_path(spark, name)
     table = f"nodeloom_{name}_{uuid.uuid4().hex[:12]}"
     seen = Observation()
-    (df.repartition(buckets, *keys).observe(seen, F.count(F.lit(1)).alias("n"))
-     .write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    with shuffles_dropped(spark):
+        (df.repartition(buckets, *keys).observe(seen, F.count(F.lit(1)).alias("n"))
+         .write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
     return Saved(spark.table(table), int(seen.get["n"]), path, table)
 
 
+_SCRATCH: ContextVar[list[Saved] | None] = ContextVar("scratch", default=None)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    return save(df, name).df
+    saved = save(df, name)
+    if (scratch := _SCRATCH.get()) is not None:
+        scratch.append(saved)
+    return saved.df
+
+
+def save_last(build: Callable[[], DataFrame], name: str) -> Saved:
+    """The written result of ``build``; the tables that it materialized on the way are deleted."""
+    scratch: list[Saved] = []
+    token = _SCRATCH.set(scratch)
+    try:
+        result = save(build(), name)
+    finally:
+        _SCRATCH.reset(token)
+    for table in scratch:
+        table.drop()
+    return result

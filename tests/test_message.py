@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nodeloom.operators import message
+from nodeloom.plans.store import materialize, shared_folder
 from tests.conftest import hub_graph, rows
 
 N, F_IN = 30, 6
@@ -171,10 +174,24 @@ def plan(df):
 
 def test_vectors_are_never_broadcast(make):
     """Their bytes on disk say nothing about their size in memory."""
-    edges = make.edges(PAIRS)
-    wide = features(make).select("node_id", F.flatten(F.array(*[F.col("feat")] * 20)).alias("feat"))
+    edges = materialize(make.edges(PAIRS))
+    wide = materialize(features(make).select("node_id", F.flatten(F.array(*[F.col("feat")] * 20)).alias("feat")))
     got = message.aggregate_mean(edges, wide)
     assert "Broadcast" not in plan(got)
     want = np.tile(A @ X / np.maximum(A.sum(1, keepdims=True), 1), 20)
     found = {r["node_id"]: r["neigh"] for r in got.collect()}
     assert np.allclose([found[i] for i in range(N)], want)
+
+
+@pytest.mark.parametrize("kind", ["rsage", "rgat", "rgcn"])
+def test_relational_layers_leave_one_table(make, spark, kind):
+    """Tables and shuffles of a layer are deleted once its result is written."""
+    edges = materialize(make.table([("to", "a", s, "a", d) for s, d in PAIRS], "etype string, src_type string, src bigint, dst_type string, dst bigint"))
+    feat = materialize(features(make).select(F.lit("a").alias("ntype"), "node_id", "feat"))
+    w = lambda n: {"to": {"W": np.ones((n, 4)), "al": np.ones((2, 2)), "ar": np.ones((2, 2))}}
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = message.gnn_infer_hetero(edges, feat, [w(F_IN), w(4)], kind, (np.ones((4, 2)), np.zeros(2)), "a")
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left == {"relational"} and len(set(folder.iterdir()) - before) == 1
+    assert out.count() == N
