@@ -24,6 +24,7 @@ from nodeloom.operators.sets import (
 )
 from nodeloom.operators.stats import degrees, graph_stats, in_neighborhoods, neighborhood_sizes, storage_report
 from nodeloom.plans.scan import global_rank, grouped_rank, prefix_scan, top_k_per_group
+from nodeloom.plans.skew import shuffled
 from nodeloom.plans.store import Saved, materialize, save
 
 _LAST = (1 << 62) - 1
@@ -86,7 +87,8 @@ def _walk(adj: DataFrame, order: DataFrame, k: int, max_groups: int, exclusive:
         lists = lists.withColumn("groups", ready).filter("groups > 0")
         if exclusive:
             own = holders.select(F.col("node_id").alias("src"), F.col("holder").alias("rank"))
-            lists = lists.join(own, ["src", "rank"], "left_semi")
+            # One broadcast table with a key of two columns takes a whole memory page, in every round.
+            lists = lists.join(shuffled(own), ["src", "rank"], "left_semi")
         taken = lists.select(
             "src", "rank", "done", "groups",
             F.posexplode(F.slice("items", F.lit(1), F.col("groups") * k)).alias("i", "item"),
@@ -105,7 +107,7 @@ def _walk(adj: DataFrame, order: DataFrame, k: int, max_groups: int, exclusive:
         return live.df.select(F.col("rank").alias("group_id"), "src", F.col("npos").alias("slot"), F.col("dst").alias("node_id"))
     every = reduce(DataFrame.unionByName, [c.df for c in commits])
     ids = global_rank(every.filter("slot = 0").select("src", "rank", "g"), [F.col("rank"), F.col("g")], "group_id")
-    return every.join(ids.select("src", "g", "group_id"), ["src", "g"]).select("group_id", "src", "slot", "node_id")
+    return every.join(shuffled(ids.select("src", "g", "group_id")), ["src", "g"]).select("group_id", "src", "slot", "node_id")
 
 
 def _left(live: DataFrame, taken: DataFrame, max_groups: int, exclusive: bool) -> DataFrame:
@@ -143,7 +145,7 @@ def _append(groups: DataFrame, extra: DataFrame, order_col: str) -> DataFrame:
     start = groups.select("group_id").distinct().count()
     extra = materialize(extra, "extra")
     ids = global_rank(extra.filter("slot = 0").select("src", "g", order_col), [F.col(order_col), F.col("g")], "_i")
-    numbered = extra.join(ids.select("src", "g", "_i"), ["src", "g"])
+    numbered = extra.join(shuffled(ids.select("src", "g", "_i")), ["src", "g"])
     numbered = numbered.select((F.col("_i") + F.lit(start)).alias("group_id"), "src", "slot", "node_id")
     return groups.select("group_id", "src", "slot", "node_id").unionByName(numbered)
 

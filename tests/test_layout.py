@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -111,6 +112,29 @@ def test_multi_groups_equal_the_walk_and_the_fill(make, seed, n, m, k, cap):
         assert as_groups(layout.fill_groups_multi(ranked, got, order, k, cap, redundancy)) == want + extra
 
 
+def test_rounds_broadcast_no_table_with_two_keys(make, monkeypatch, capsys):
+    """Such a table takes a whole memory page on the driver, however few rows it has, and the walk has many rounds."""
+    n = 30
+    pairs = sorted(set(random_graph(n, 160, 6) + [(i, i) for i in range(n)]))
+    order = make.table([(i, i) for i in range(n)], "node_id bigint, rank bigint")
+    adj = layout.neighbor_order(make.edges(pairs))
+    rounds = []
+
+    def kept(df, name="table", real=layout.save):
+        rounds.extend([df] * (name == "commits"))
+        if name == "commits":
+            df.explain()
+        return real(df, name)
+
+    monkeypatch.setattr(layout, "save", kept)
+    groups = layout.group_neighbors(adj, order, 4)
+    filled = layout.fill_groups(adj, groups, make.nodes(range(n)), 4, 5.0)
+    groups.explain()
+    filled.explain()
+    assert rounds
+    assert not re.findall(r"BroadcastHashJoin \[[^\]]*, [^\]]*\], .*", capsys.readouterr().out)
+
+
 def test_no_source_can_fill_a_group(make):
     order = make.table([(0, 0), (1, 1)], "node_id bigint, rank bigint")
     adj = layout.neighbor_order(make.edges([(0, 1)]))
