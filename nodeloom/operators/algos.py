@@ -6,7 +6,9 @@ a small changed set or a node table; only counts reach the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.plans.components import components
@@ -93,14 +95,46 @@ def pagerank_hetero(typed_edges: DataFrame, nodes: DataFrame, damp: float = 0.85
     """(ntype, node_id, score) over all types: N counts every node, contributions add up across
     edge types, and a node's value is divided by its total out-degree over edge types.
 
-    Typed ids become one struct-free key (type and id as text) for the shared rounds.
+    Typed ids become one struct-free key (:func:`_typed_keys`) for the shared rounds.
     """
-    key = lambda t, i: F.concat_ws(":", F.col(t), F.col(i).cast("string"))
+    key, names = _typed_keys(typed_edges, nodes)
     flat = typed_edges.select(key("src_type", "src").alias("src"), key("dst_type", "dst").alias("dst"))
     table = spread(flat, "src")
     ends = table.saved.df.select(F.col("src").alias("node_id"), F.lit(1).cast("bigint").alias("d"))
     zero = nodes.select(key("ntype", "node_id").alias("node_id"), F.lit(0).cast("bigint").alias("d"))
     deg = save(ends.unionByName(zero).groupBy("node_id").agg(F.greatest(F.sum("d"), F.lit(1)).alias("deg")), "deg")
     out = _rank_rounds(table, deg, damp, k, write_every)
-    part = F.split("node_id", ":")
-    return out.select(part[0].alias("ntype"), part[1].cast("bigint").alias("node_id"), "score")
+    return out.select(*names(F.col("node_id")), "score")
+
+
+def _typed_keys(typed_edges: DataFrame, nodes: DataFrame) -> tuple[Callable[[str, str], Column], Callable[[Column], list[Column]]]:
+    """How a type and an id become one key, and a key (ntype, node_id) again.
+
+    The key is the id with the type's number in its lowest bits, half as long in every exchange as a text. Ids that
+    leave no bits free, and missing ones, take the type and the id as text.
+    """
+    end = lambda t, i: F.struct(F.col(t).alias("t"), F.col(i).alias("i"))
+    ends = typed_edges.select(F.explode(F.array(end("src_type", "src"), end("dst_type", "dst"))).alias("x")).select("x.*")
+    ends = ends.unionByName(nodes.select(F.col("ntype").alias("t"), F.col("node_id").alias("i")))
+    found = ends.groupBy("t").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count_if(F.col("i").isNull()).alias("missing"))
+    rows = sorted(found.collect(), key=lambda r: r["t"] or "")  # one row per node type
+    bits = max(len(rows) - 1, 1).bit_length()
+    room = 1 << (63 - bits)
+    if any(r["t"] is None or r["missing"] or r["lo"] < -room or r["hi"] >= room for r in rows):
+        part = lambda key: F.split(key, ":")
+        return (lambda t, i: F.concat_ws(":", F.col(t), F.col(i).cast("string")),
+                lambda key: [part(key)[0].alias("ntype"), part(key)[1].cast("bigint").alias("node_id")])
+    types = [r["t"] for r in rows]
+
+    def key_of(t: str, i: str) -> Column:
+        code = F.lit(None).cast("bigint")
+        for n, name in enumerate(types):
+            code = F.when(F.col(t) == name, F.lit(n).cast("bigint")).otherwise(code)
+        return F.shiftleft(F.col(i).cast("bigint"), bits).bitwiseOR(code)
+
+    def names(key: Column) -> list[Column]:
+        number = key.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
+        listed = F.array(*[F.lit(name) for name in types]) if types else F.array().cast("array<string>")
+        return [F.get(listed, number).alias("ntype"), F.shiftright(key, bits).alias("node_id")]
+
+    return key_of, names

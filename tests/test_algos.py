@@ -144,6 +144,17 @@ def test_hetero_pagerank_keeps_types_apart(make):
     assert got == pytest.approx({("a", 1): base, ("a", 2): base + 0.85 / 3, ("b", 1): base + 0.85 * 2 / 3})
 
 
+def test_hetero_pagerank_moves_numbers_and_keeps_every_id(make):
+    for far in (-7, (1 << 63) - 1):  # the second leaves no bits for the type
+        edges = make.table([("e", "a", 1, "b", far), ("f", "b", far, "c", 1)], "etype string, src_type string, src bigint, dst_type string, dst bigint")
+        nodes = make.table([("a", 1), ("c", 1), ("b", far), ("b", 1)], "ntype string, node_id bigint")
+        got = {(t, i): s for t, i, s in rows(algos.pagerank_hetero(edges, nodes, k=1))}
+        base = 0.15 / 4
+        assert got == pytest.approx({("a", 1): base, ("b", 1): base, ("b", far): base + 0.85 / 4, ("c", 1): base + 0.85 / 4})
+        key, _ = algos._typed_keys(edges, nodes)
+        assert nodes.select(key("ntype", "node_id").alias("k")).schema["k"].dataType.simpleString() == ("bigint" if far < 0 else "string")
+
+
 def test_contraction_labels_with_the_least_node(make):
     import random
 
