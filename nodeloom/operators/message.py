@@ -199,15 +199,37 @@ def aggregate_attention(edges: DataFrame, z: DataFrame, heads: int = 1, by: Sequ
     by = list(by)
     width = _width(z, "feat") if width is None else width
     edges = edges.select(*by, "src", "dst")
-    to = z if into is None else into
-    logits = attention_logits(edges, z.withColumnRenamed("el", "score"), to.withColumnRenamed("er", "score"), heads, by=by)
-    names = [f"l{h}" for h in range(heads)]
-    alphas = edge_softmax(logits, names, by).withColumn("_a", F.array(*[F.col(f"alpha_{n}") for n in names]))
-    sent = _send(alphas, z, by)
+    ends = lambda df, end, *cols: df.groupBy(*by, F.col("node_id").alias(end)).agg(*[F.collect_list(c).alias(c) for c in cols])
+    u, v = ends(z, "src", "el", "feat"), ends(z if into is None else into, "dst", "er")
+    # The leaky ReLU grows with its argument, so the largest logit is that of the largest scores: one number per
+    # destination is added up, and the edges meet the vectors once, without a written table of logits.
+    most = lambda col, h: F.array_max(F.transform(col, lambda s: s[h]))
+    tops = edges.join(u.select(*by, "src", *[most("el", h).alias(f"_t{h}") for h in range(heads)]), [*by, "src"])
+    tops = tops.groupBy(*by, "dst").agg(*[F.max(f"_t{h}").alias(f"_t{h}") for h in range(heads)]).join(v, [*by, "dst"])
+    tops = materialize(tops.select(*by, "dst", "er", F.array(*[_leaky(F.col(f"_t{h}") + most("er", h)) for h in range(heads)]).alias("_m")), "tops")
+    add = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
+    first = F.get("feat", F.lit(0))
+    total = F.when(F.size("feat") < 2, first).otherwise(F.aggregate(F.slice("feat", F.lit(2), F.size("feat")), first, add))
+    sent = edges.join(tops, [*by, "dst"]).join(shuffled(u.select(*by, "src", "el", total.cast("array<double>").alias("_f"))), [*by, "src"])
+    sent = sent.withColumn("_p", F.array(*[_attention_weight(h) for h in range(heads)]))
     each = F.lit(max(width, 1) / heads)
-    scaled = F.transform("feat", lambda x, i: x * F.element_at("_a", F.floor(i / each).cast("int") + 1))
-    sums = _vector_sum(sent.withColumn("_f", scaled), [*by, F.col("dst").alias("node_id")], "_f", width)
-    return sums.withColumnRenamed("_out", "neigh")
+    scaled = F.transform("_f", lambda x, i: x * F.element_at("_p", F.floor(i / each).cast("int") + 1))
+    scaled = F.concat(F.coalesce(scaled, F.array_repeat(F.lit(0.0), width)), "_p")
+    sums = _vector_sum(sent.withColumn("_f", scaled), [*by, F.col("dst").alias("node_id")], "_f", width + heads)
+    share = F.transform(F.slice("_out", 1, width), lambda x, i: x / F.element_at("_out", F.floor(i / each).cast("int") + F.lit(width + 1)))
+    return sums.select(*by, "node_id", share.alias("neigh"))
+
+
+def _leaky(x: Column, slope: float = 0.2) -> Column:
+    return F.when(x >= 0, x).otherwise(x * F.lit(slope))
+
+
+def _attention_weight(h: int) -> Column:
+    """exp(logit - largest logit) of head ``h``, added up over the scores ``el`` and ``er`` when a node comes more than once."""
+    weight = lambda a, b: F.exp(_leaky(a[h] + b[h]) - F.col("_m")[h])
+    pairs = F.flatten(F.transform("el", lambda a: F.transform("er", lambda b: weight(a, b))))
+    once = (F.size("el") == 1) & (F.size("er") == 1)
+    return F.when(once, weight(F.col("el")[0], F.col("er")[0])).otherwise(F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y))
 
 
 # Dense layers -------------------------------------------------------------------

@@ -92,6 +92,21 @@ def test_attention_network_with_two_heads(make):
     assert [p for _, p in rows(out, "node_id", "prediction")] == list(h.argmax(1))
 
 
+def test_attention_writes_no_table_of_edges_and_counts_repeated_nodes(make, monkeypatch):
+    written = []
+    monkeypatch.setattr(message, "materialize", lambda df, name="table": written.append((name, df.count())) or df)
+    z = make.table([(0, [1.0, 2.0], [0.5], [0.1]), (1, [3.0, -1.0], [-2.0], [0.3]), (2, [0.5, 0.5], [900.0], [-0.2])],
+                   "node_id bigint, feat array<double>, el array<double>, er array<double>")
+    edges = make.edges([(0, 1), (1, 1), (2, 1), (0, 2), (1, 2), (1, 2)])
+    got = dict(rows(message.aggregate_attention(edges, z)))
+    logits = np.array([0.5 - 0.2, 0.2 * (-2.0 - 0.2), 0.2 * (-2.0 - 0.2)])
+    p = np.exp(logits) / np.exp(logits).sum()
+    assert np.allclose(got[1], [0.5, 0.5]) and np.allclose(got[2], p @ np.array([[1.0, 2.0], [3.0, -1.0], [3.0, -1.0]]))
+    assert all(n < 6 for _, n in written)
+    twice = dict(rows(message.aggregate_attention(edges, z.unionByName(z))))
+    assert all(np.allclose(twice[i], 2 * np.array(got[i])) for i in (1, 2))
+
+
 @pytest.mark.parametrize("kind", ["rsage", "rgat", "rgcn"])
 def test_relational_network(make, kind):
     """Two node types, one edge type each way; ids overlap between the types."""
