@@ -445,9 +445,13 @@ def _relational_layer(kind: str, typed_edges: DataFrame, h: DataFrame, kinds: Se
 def propagate_features(edges: DataFrame, feat: DataFrame, hops: int) -> DataFrame:
     """(node_id, feat, hop): the vectors and their repeated in-neighbour means."""
     layers = [feat.select("node_id", F.col("feat").cast("array<double>").alias("feat"), F.lit(0).cast("bigint").alias("hop"))]
-    current = layers[0].select("node_id", "feat")
+    current, width = feat.select("node_id", "feat"), _width(feat, "feat")
     for hop in range(1, hops + 1):
-        current = materialize(aggregate_mean(edges, current).select("node_id", F.col("neigh").alias("feat")), "hop")
+        means = _vector_sum(_send(edges, current, []), [F.col("dst").alias("node_id")], "feat", width, "mean")
+        # Of the own vectors only the length is needed.
+        own = current.select("node_id", F.when(F.col("feat").isNotNull(), F.size("feat")).alias("_k"))
+        mean = F.coalesce("_out", F.array_repeat(F.lit(0.0), F.col("_k")))
+        current = materialize(own.join(shuffled(means), "node_id", "left").select("node_id", mean.alias("feat")), "hop")
         layers.append(current.withColumn("hop", F.lit(hop).cast("bigint")))
     return fold(DataFrame.unionByName, layers)
 

@@ -107,6 +107,15 @@ def test_attention_writes_no_table_of_edges_and_counts_repeated_nodes(make, monk
     assert all(np.allclose(twice[i], 2 * np.array(got[i])) for i in (1, 2))
 
 
+def test_propagation_moves_only_the_length_of_own_vectors(make):
+    feat = features(make).withColumn("feat", F.col("feat").cast("array<float>"))
+    plans = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(message, "materialize", lambda df, name="table": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+        message.propagate_features(make.edges(PAIRS), feat, 1)
+    assert "size(" in plans[0] and "lambdafunction(0.0" not in plans[0]  # zeros made from the own vector
+
+
 @pytest.mark.parametrize("kind", ["rsage", "rgat", "rgcn"])
 def test_relational_network(make, kind):
     """Two node types, one edge type each way; ids overlap between the types."""
