@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -64,67 +64,105 @@ def chunk_groups(ranked: DataFrame, k: int, max_groups: int) -> DataFrame:
 
 
 def _walk(adj: DataFrame, order: DataFrame, k: int, max_groups: int, exclusive: bool) -> DataFrame:
-    """(group_id, src, slot, node_id) of the greedy walk; ``exclusive`` drops used sources."""
+    """(group_id, src, slot, node_id) of the greedy walk; ``exclusive`` drops used sources.
+
+    A node that a source holds is free when its turn comes, so ``c`` nodes taken and ``h`` held make at least
+    ``(c + h) // k`` groups; what lies within them is taken at once, whatever becomes of the nodes not held. As many
+    groups as the list could fill at best are the most, and nothing behind their last held node is claimed any longer.
+    """
+    most = k * max_groups
     ranks = order.select(F.col("node_id").alias("src"), "rank")
-    live = adj.select("src", "dst", "npos").join(ranks, "src").withColumn("done", F.lit(0))
-    live = save(_enough(live, k), "live")
+    start = adj.select("src", "dst", "npos").join(ranks, "src").withColumn("done", F.lit(0).cast("bigint"))
+    live = save(_listed(start, k, most), "live")
     commits: list[Saved] = []
     while live.rows:
-        claims = live.df.select(F.col("dst").alias("node_id"), "rank")
-        if exclusive:
-            claims = claims.unionByName(live.df.select(F.col("src").alias("node_id"), "rank"))
-        # Written, since a join splits a node that is in very many heads only if no aggregate on it lies below.
-        holding = save(claims.groupBy("node_id").agg(F.min("rank").alias("holder")), "holders")
-        holders = holding.df
-        head = top_k_per_group(live.df, ["src"], [F.col("npos")], k * max_groups)
-        seen = head.join(holders.select(F.col("node_id").alias("dst"), "holder"), "dst")
-        lost = F.min(F.when(F.col("holder") != F.col("rank"), F.col("rn")))
-        lists = seen.groupBy("src", "rank", "done").agg(
-            F.least(F.count(F.lit(1)), F.coalesce(lost - 1, F.lit(k * max_groups))).alias("held"),
-            F.sort_array(F.collect_list(F.struct("rn", "dst"))).alias("items"),  # at most k * max_groups
-        )
-        ready = F.least(F.floor(F.col("held") / F.lit(k)), F.lit(max_groups) - F.col("done")).cast("int")
-        lists = lists.withColumn("groups", ready).filter("groups > 0")
-        if exclusive:
-            own = holders.select(F.col("node_id").alias("src"), F.col("holder").alias("rank"))
-            # One broadcast table with a key of two columns takes a whole memory page, in every round.
-            lists = lists.join(shuffled(own), ["src", "rank"], "left_semi")
-        taken = lists.select(
-            "src", "rank", "done", "groups",
-            F.posexplode(F.slice("items", F.lit(1), F.col("groups") * k)).alias("i", "item"),
-        ).select(
-            "src", "rank", (F.col("done") + F.floor(F.col("i") / F.lit(k))).cast("bigint").alias("g"),
-            (F.col("i") % F.lit(k)).cast("bigint").alias("slot"), F.col("item.dst").alias("node_id"),
-            (F.col("done") + F.col("groups")).alias("after"),
-        )
-        batch = save(taken, "commits")
+        heads = save(_heads(live.df, k, most, exclusive), "heads")
+        batch = save(heads.df.filter("taken").select("src", "rank", "npos", F.col("dst").alias("node_id")), "commits")
         commits.append(batch)
-        holding.drop()
-        following = save(_enough(_left(live.df, batch.df, max_groups, exclusive), k), "live")
+        following = save(_listed(_left(live.df, heads.df, batch.df, exclusive), k, most), "live")
+        heads.drop()
         live.drop()
         live = following
     if not commits:
         return live.df.select(F.col("rank").alias("group_id"), "src", F.col("npos").alias("slot"), F.col("dst").alias("node_id"))
     every = reduce(DataFrame.unionByName, [c.df for c in commits])
-    ids = global_rank(every.filter("slot = 0").select("src", "rank", "g"), [F.col("rank"), F.col("g")], "group_id")
-    return every.join(shuffled(ids.select("src", "g", "group_id")), ["src", "g"]).select("group_id", "src", "slot", "node_id")
+    # At most k * max_groups rows per window group.
+    placed = every.withColumn("i", F.row_number().over(W.partitionBy("src", "rank").orderBy("npos")) - 1)
+    placed = materialize(placed.select(
+        "src", "rank", F.floor(F.col("i") / F.lit(k)).cast("bigint").alias("g"), (F.col("i") % F.lit(k)).cast("bigint").alias("slot"), "node_id",
+    ), "placed")
+    for c in commits:
+        c.drop()
+    ids = global_rank(placed.filter("slot = 0").select("src", "rank", "g"), [F.col("rank"), F.col("g")], "group_id")
+    return placed.join(shuffled(ids.select("src", "g", "group_id")), ["src", "g"]).select("group_id", "src", "slot", "node_id")
 
 
-def _left(live: DataFrame, taken: DataFrame, max_groups: int, exclusive: bool) -> DataFrame:
-    used = taken.select(F.col("node_id").alias("dst"))
-    rest = live.join(used, "dst", "left_anti")
-    if exclusive:
-        rest = rest.join(used.withColumnRenamed("dst", "src"), "src", "left_anti")
-    counts = taken.filter("slot = 0").groupBy("src").agg(F.max("after").alias("after"))
-    rest = rest.join(counts, "src", "left")
-    rest = rest.filter(F.col("after").isNull() | (F.col("after") < max_groups))
-    return rest.select("src", "dst", "npos", "rank", F.coalesce("after", "done").alias("done"))
+def _fills(taken: Column, free: Column, k: int, most: int) -> Column:
+    """Members of the groups that a source makes with ``free`` nodes besides those it has taken."""
+    return F.least(F.lit(most), F.floor((taken + free) / F.lit(k)) * F.lit(k))
+
+
+def _listed(live: DataFrame, k: int, most: int) -> DataFrame:
+    """``live`` with the place ``rn`` in what is left of a source's list and its length, for sources that can still fill a group."""
+    mine = W.partitionBy("src")
+    listed = live.withColumn("rn", F.row_number().over(mine.orderBy("npos")).cast("bigint")).withColumn("len", F.count(F.lit(1)).over(mine))
+    return listed.filter(_fills(F.col("done"), F.col("len"), k, most) > F.col("done"))
 
 
-def _enough(live: DataFrame, k: int) -> DataFrame:
-    """Only sources that can still fill a group."""
-    able = live.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-    return live.join(able, "src", "left_semi")
+def _heads(live: DataFrame, k: int, most: int, exclusive: bool) -> DataFrame:
+    """(src, rank, dst, npos, taken, after, cut): the first nodes a source holds and which of them it takes now.
+
+    ``after`` counts the nodes it has then; its list ends at ``cut`` if that is given. A node has one holder, so
+    this is a table of nodes, not of edges.
+    """
+    none = F.lit(None).cast("bigint")
+    sources = live.filter("rn = 1").select("src", "rank", "done", "len")
+    claims = live.select(F.col("dst").alias("node_id"), "rank", "rn", "npos", none.alias("self"))
+    if exclusive:  # until it has taken any, a source's own node must not go to an earlier one
+        claims = claims.unionByName(sources.filter("done = 0").select(
+            F.col("src").alias("node_id"), none.alias("rank"), none.alias("rn"), none.alias("npos"), F.col("rank").alias("self")))
+    # Fixed-width buffers, so that the claims are combined by hashing.
+    holders = claims.groupBy("node_id").agg(
+        F.min("rank").alias("rank"), F.min_by("rn", "rank").alias("rn"), F.min_by("npos", "rank").alias("npos"), F.min("self").alias("self"))
+    if exclusive:  # a source that holds its own node holds it as one more row of place 0
+        own = F.col("self").isNotNull() & (F.col("rank").isNull() | (F.col("self") <= F.col("rank")))
+        held = F.col("rank").isNotNull() & (F.col("self").isNull() | (F.col("rank") <= F.col("self")))
+        zero = F.lit(0).cast("bigint")
+        edge = F.struct("rank", "rn", "npos", F.col("node_id").alias("dst"))
+        self_ = F.struct(F.col("self").alias("rank"), zero.alias("rn"), none.alias("npos"), none.alias("dst"))
+        both = F.filter(F.array(F.when(held, edge), F.when(own, self_)), lambda x: x.isNotNull())
+        rows = holders.select(F.explode(both).alias("x")).select("x.*")
+        top = top_k_per_group(rows, ["rank"], [F.col("rn")], most + 1, "hp")
+    else:
+        top = top_k_per_group(holders.select("rank", "rn", "npos", F.col("node_id").alias("dst")), ["rank"], [F.col("rn")], most, "hp")
+    top = top.join(shuffled(sources), "rank")
+    mine = W.partitionBy("rank")  # at most ``most`` + 1 rows
+    if exclusive:
+        top = top.withColumn("own", F.max(F.col("rn") == 0).over(mine))
+        top = top.withColumn("hp", F.col("hp") - F.when(F.col("own"), F.lit(1)).otherwise(F.lit(0))).filter("rn > 0")
+    else:
+        top = top.withColumn("own", F.lit(True))
+    top = top.withColumn("sure", _fills(F.col("done"), F.count(F.lit(1)).over(mine), k, most))
+    top = top.withColumn("taken", (F.col("own") | (F.col("done") > 0)) & (F.col("rn") <= F.col("sure") - F.col("done")))
+    fresh = F.count(F.when(F.col("taken"), F.lit(1))).over(mine)
+    top = top.withColumn("after", F.col("done") + fresh)
+    # Taken nodes are held ones, so the length that is left and they together are the length before.
+    best = _fills(F.col("done"), F.col("len"), k, most)
+    cut = F.max(F.when(F.col("hp") == best - F.col("done"), F.col("npos"))).over(mine)
+    return top.withColumn("cut", cut).select("src", "rank", "dst", "npos", "taken", "after", "cut")
+
+
+def _left(live: DataFrame, heads: DataFrame, taken: DataFrame, exclusive: bool) -> DataFrame:
+    """What is left of the lists after a round: neither nodes in use, nor what lies behind a cut, nor used sources."""
+    turns = heads.select("src", "after", "cut", F.lit(0).alias("used"))
+    if exclusive:
+        none = F.lit(None).cast("bigint")
+        turns = turns.unionByName(taken.select(F.col("node_id").alias("src"), none.alias("after"), none.alias("cut"), F.lit(1).alias("used")))
+    turns = turns.groupBy("src").agg(F.max("after").alias("after"), F.max("cut").alias("cut"), F.max("used").alias("used"))
+    rest = live.select("src", "dst", "npos", "rank", "done").join(taken.select(F.col("node_id").alias("dst")), "dst", "left_anti")
+    rest = rest.join(turns, "src", "left").withColumn("done", F.coalesce("after", "done"))
+    rest = rest.filter((F.col("cut").isNull() | (F.col("npos") <= F.col("cut"))) & (F.coalesce("used", F.lit(0)) * (F.col("done") == 0).cast("int") == 0))
+    return rest.select("src", "dst", "npos", "rank", "done")
 
 
 def group_neighbors(adj: DataFrame, order: DataFrame, k: int = 4) -> DataFrame:

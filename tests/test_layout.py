@@ -112,6 +112,21 @@ def test_multi_groups_equal_the_walk_and_the_fill(make, seed, n, m, k, cap):
         assert as_groups(layout.fill_groups_multi(ranked, got, order, k, cap, redundancy)) == want + extra
 
 
+@pytest.mark.parametrize("exclusive", [True, False])
+def test_what_a_source_holds_for_certain_is_taken_at_once(make, monkeypatch, exclusive):
+    """Every list ends with the first choice of the next source; nobody needs to wait for the one before."""
+    n, k = 12, 2
+    pairs = [(i, x) for i in range(n) for x in (100 + i, 200 + i, 300 + i, 101 + i)]
+    adj = make.table([(i, x, p) for p, (i, x) in enumerate(pairs)], "src bigint, dst bigint, npos bigint")
+    order = make.table([(i, i) for i in range(n)], "node_id bigint, rank bigint")
+    rounds = []
+    original = layout.save
+    monkeypatch.setattr(layout, "save", lambda df, name="table": rounds.append(name) or original(df, name))
+    got = layout.group_neighbors(adj, order, k) if exclusive else layout.group_neighbors_multi(adj, order, k, 1)
+    assert as_groups(got) == [(i, [100 + i, 200 + i]) for i in range(n)]
+    assert rounds.count("live") <= 4
+
+
 def test_rounds_broadcast_no_table_with_two_keys(make, monkeypatch, capsys):
     """Such a table takes a whole memory page on the driver, however few rows it has, and the walk has many rounds."""
     n = 30
