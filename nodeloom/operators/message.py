@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from nodeloom.operators.stats import accuracy
@@ -53,16 +53,35 @@ def edge_op(edges: DataFrame, op: str, node_val: DataFrame, weight: str = "w") -
     return joined.select("src", "dst", out.alias("val"))
 
 
+def _coded(col: str, values: Sequence) -> Column:
+    """The place of a column's value in ``values``, null for any other."""
+    return fold(lambda rest, i: F.when(F.col(col).eqNullSafe(F.lit(values[i])), F.lit(i)).otherwise(rest),
+                range(len(values)), F.lit(None).cast("int"))
+
+
+def edge_kinds(typed_edges: DataFrame) -> DataFrame:
+    """(etype, src_type, dst_type), one row per edge type."""
+    return typed_edges.select("etype", "src_type", "dst_type").distinct()
+
+
 def multi_update(typed_edges: DataFrame, node_val: DataFrame, reduce: Reducer = "sum",
-                 cross: str = "sum") -> DataFrame:
-    """(ntype, node_id, val): reduction per edge type, then across edge types."""
-    sent = typed_edges.join(
-        node_val.select(F.col("ntype").alias("src_type"), F.col("node_id").alias("src"), "val"), ["src_type", "src"]
-    )
-    per_type = sent.groupBy("etype", F.col("dst_type").alias("ntype"), F.col("dst").alias("node_id")).agg(
-        _reducer(reduce)(F.col("val")).alias("val")
-    )
-    return per_type.groupBy("ntype", "node_id").agg(_reducer(cross)(F.col("val")).alias("val"))
+                 cross: str = "sum", kinds: Sequence[Row] | None = None) -> DataFrame:
+    """(ntype, node_id, val): reduction per edge type, then across edge types.
+
+    Types travel as small numbers: their names would be most of what is shuffled, sorted and compared per edge.
+    ``kinds`` are the rows of :func:`edge_kinds`, if they are known.
+    """
+    kinds = edge_kinds(typed_edges).collect() if kinds is None else kinds
+    text = lambda x: (x is not None, x)
+    etypes, starts, ends = (sorted({r[c] for r in kinds}, key=text) for c in ("etype", "src_type", "dst_type"))
+    starts = [s for s in starts if s is not None]
+    coded = typed_edges.select(_coded("etype", etypes).alias("_e"), _coded("src_type", starts).alias("_s"), "src",
+                               _coded("dst_type", ends).alias("_d"), F.col("dst").alias("node_id")).filter("_s IS NOT NULL")
+    vals = node_val.select(_coded("ntype", starts).alias("_s"), F.col("node_id").alias("src"), "val").filter("_s IS NOT NULL")
+    per_type = coded.join(vals, ["src", "_s"]).groupBy("_e", "_d", "node_id").agg(_reducer(reduce)(F.col("val")).alias("val"))
+    out = per_type.groupBy("_d", "node_id").agg(_reducer(cross)(F.col("val")).alias("val"))
+    name = fold(lambda rest, i: F.when(F.col("_d") == i, F.lit(ends[i])).otherwise(rest), range(len(ends)), F.lit(None).cast("string"))
+    return out.select(name.alias("ntype"), "node_id", "val")
 
 
 # Vector aggregation -------------------------------------------------------------

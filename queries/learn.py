@@ -97,15 +97,20 @@ def edge_op(spark, sf):
            m="SELECT etype, dst_type AS ntype, dst AS node_id, avg(src % 97) AS v FROM twoway GROUP BY 1, 2, 3"))
 def multi_update(spark, sf):
     e = fx.typed_edges(spark, sf)
-    back = e.select(F.concat(F.lit("rev_"), "etype").alias("etype"), F.col("dst_type").alias("src_type"), F.col("dst").alias("src"),
-                    F.col("src_type").alias("dst_type"), F.col("src").alias("dst"))
-    both = e.unionByName(back)
+    both = _both_ways(e)
+    kinds = _both_ways(message.edge_kinds(e).withColumns({"src": F.lit(0), "dst": F.lit(0)})).collect()
     vals = fx.typed_nodes(spark, sf).withColumn("val", F.col("node_id") % 97)
-    out = [message.multi_update(both, vals, "mean", cross).select(F.lit(cross).alias("cross_type"), "ntype", "node_id", F.round("val", 6).alias("val"))
+    out = [message.multi_update(both, vals, "mean", cross, kinds).select(F.lit(cross).alias("cross_type"), "ntype", "node_id", F.round("val", 6).alias("val"))
            for cross in ("sum", "mean")]
     return out[0].unionByName(out[1])
 
 
+def _both_ways(e: DataFrame) -> DataFrame:
+    back = e.select(F.concat(F.lit("rev_"), "etype").alias("etype"), F.col("dst_type").alias("src_type"), F.col("dst").alias("src"),
+                    F.col("src_type").alias("dst_type"), F.col("src").alias("dst"))
+    return e.unionByName(back)
+
+
 # Vector messages ----------------------------------------------------------------
 
 _X = "SELECT node_id, generate_subscripts(feat, 1) - 1 AS dim, CAST(unnest(feat) AS DOUBLE) AS x FROM nodes"

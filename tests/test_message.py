@@ -219,3 +219,16 @@ def test_relational_layers_leave_one_table(make, spark, kind):
     left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
     assert left == {"relational"} and len(set(folder.iterdir()) - before) == 1
     assert out.count() == N
+
+
+def test_multi_update_shuffles_no_names_of_types(make):
+    edges = [("a", "x", 1, "y", 7), ("a", "z", 1, "y", 7), ("b", "x", 2, "y", 7), ("b", "x", 1, None, 7), (None, "x", 2, "y", 7), ("c", None, 1, "y", 7), ("b", "x", 9, "y", 7)]
+    vals = [("x", 1, 1.0), ("x", 2, 10.0), ("z", 1, 3.0), ("w", 1, 50.0), (None, 1, 70.0)]
+    e = make.table(edges, "etype string, src_type string, src bigint, dst_type string, dst bigint")
+    v = make.table(vals, "ntype string, node_id bigint, val double")
+    out = message.multi_update(e, v, "mean", "sum")
+    assert {tuple(r) for r in out.select("ntype", "node_id", "val").collect()} == {("y", 7, 2.0 + 10.0 + 10.0), (None, 7, 1.0)}
+    known = message.multi_update(e, v, "mean", "max", message.edge_kinds(e).collect())
+    assert {tuple(r) for r in known.select("ntype", "node_id", "val").collect()} == {("y", 7, 10.0), (None, 7, 1.0)}
+    exchanges = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in line]
+    assert exchanges and not any("_type" in line or "etype" in line for line in exchanges)
