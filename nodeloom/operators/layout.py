@@ -3,8 +3,8 @@
 The grouping rule is a walk over the nodes in a given order in which each takes its first
 unused neighbours. The same groups come out of parallel rounds: every waiting source puts
 its rank on all nodes it could still take, each node keeps the lowest rank, and a source
-whose next group is all its own takes it. Whoever could interfere comes earlier in the
-order and would hold a lower rank.
+takes those of its own that are in its groups whatever becomes of the others. Whoever could
+interfere comes earlier in the order and would hold a lower rank.
 """
 
 from __future__ import annotations
