@@ -72,7 +72,9 @@ def _walk(adj: DataFrame, order: DataFrame, k: int, max_groups: int, exclusive:
     """
     most = k * max_groups
     ranks = order.select(F.col("node_id").alias("src"), "rank")
-    start = adj.select("src", "dst", "npos").join(ranks, "src").withColumn("done", F.lit(0).cast("bigint"))
+    # A neighbour or a node listed twice counts at its first place: the rounds know one holder and one copy of a node.
+    start = adj.select("src", "dst", "npos").join(ranks, "src").groupBy("src", "dst").agg(F.min("npos").alias("npos"), F.min("rank").alias("rank"))
+    start = start.withColumn("done", F.lit(0).cast("bigint"))
     live = save(_listed(start, k, most), "live")
     commits: list[Saved] = []
     while live.rows:
